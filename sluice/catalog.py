@@ -20,9 +20,11 @@ from .operators.filter import filter_items
 from .operators.limit import limit_items
 from .operators.merge import merge
 from .operators.sort import rank_column, sort_items
+from .plans.history import owner_logs, recent_runs, run_log
 from .plans.rank import global_rank
 from .sinks.documents import json_envelope, rss_document, rss_fragments, webhook_payloads
 from .sources.feed_source import feed_items, feed_summary, limit_per_source
+from .sinks.versions import latest_versions, pipes_to_run, published_outputs
 from .sources.json_source import json_items, to_payload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +60,7 @@ SQL_RTRIM = "regexp_replace(@X@, '" + SQL_WS + "+$', '', 'g')"
 
 
 def sql_truncate(table_sql: str, key: str, field: str, n: int, suffix: str = "...") -> str:
+    # ``key``: the columns carried through, as a comma-separated list
     """Byte-budget truncation in DuckDB: longest character prefix within n
     bytes, dangling bytes of a cut character as U+FFFD each."""
     strip = SQL_STRIP.replace("@X@", field)
@@ -382,3 +385,402 @@ def flagship(spark, sf):
     f = sort_items(f, "n_chars", "desc")
     f = limit_items(f, 25)
     return ranked(f, "doc_id", "source", "n_chars")
+
+
+# ---------------------------------------------------------------------------
+# S: JSON source
+# ---------------------------------------------------------------------------
+
+PAYLOAD_ITEMS = 50  # items per landed test payload (bounds every payload)
+
+
+def event_payloads(spark, sf, items_path="data.items") -> DataFrame:
+    """events landed as JSON documents of <= 50 items, nested under a path."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    ev = ev.withColumn("payload_id", F.floor(F.col("event_id") / PAYLOAD_ITEMS))
+    return to_payload(ev, ["payload_id"], "event_id", items_path)
+
+
+@query("json_items_path", """
+select cast(event_id as double) as event_id, cast(user_id as double) as user_id, event_type, value
+from events""")
+def q_json_items_path(spark, sf):
+    f = json_items(event_payloads(spark, sf), items_path="data.items", order_cols=["payload_id"])
+    return f.df.select("event_id", "user_id", "event_type", "value")
+
+
+@query("json_path_index", f"""
+select cast(min(event_id) as double) as event_id from events group by event_id // {PAYLOAD_ITEMS}""")
+def q_json_path_index(spark, sf):
+    f = json_items(event_payloads(spark, sf), items_path="data.items.0", order_cols=["payload_id"])
+    return f.df.select("event_id")
+
+
+@query("json_single_object", """
+select cast(event_id as double) as id, cast(json_extract_string(props, '$.k') as double) as k from events""")
+def q_json_single_object(spark, sf):
+    ev = table(spark, sf, "events")
+    payloads = ev.select("event_id", F.to_json(F.struct("event_id", "user_id",
+                                                        F.from_json("props", "k bigint").alias("props")))
+                         .alias("payload"))
+    f = json_items(payloads, order_cols=["event_id"])
+    return map_fields(f, "id:event_id, k:props.k").items()
+
+
+@query("json_filter_sort_top", """
+select cast(event_id as double) as event_id, value,
+       row_number() over (order by value desc, event_id) as rank
+from events where event_type = 'purchase' qualify rank <= 30""")
+def q_json_filter_sort_top(spark, sf):
+    f = json_items(event_payloads(spark, sf), items_path="data.items", order_cols=["payload_id"])
+    f = limit_items(sort_items(filter_items(f, "event_type", "equals", "purchase"), "value", "desc"), 30)
+    return ranked(f, "event_id", "value")
+
+
+# ---------------------------------------------------------------------------
+# S / O: feed source and RSS output
+# ---------------------------------------------------------------------------
+
+FEED_GROUP = 16  # documents per landed test feed
+
+
+def document_items(spark, sf) -> DataFrame:
+    """documents shaped as feed items (text -> description, source -> feed)."""
+    d = table(spark, sf, "documents")
+    return d.select(
+        "doc_id", "source", "lang", "text", "n_chars",
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
+        F.col("text").alias("description"),
+        F.concat(F.lit("http://example.com/"), F.col("source"), F.lit("/"),
+                 F.col("doc_id").cast("string")).alias("link"),
+        F.col("doc_id").cast("string").alias("guid"),
+        F.col("lang").alias("author"),
+        (F.col("n_chars") * 86400).alias("published_at"),
+        F.array("lang", "source").alias("categories"),
+        F.concat(F.lit("http://feeds.example.com/"), F.col("source"), F.lit("/"),
+                 F.floor(F.col("doc_id") / FEED_GROUP).cast("string")).alias("feed_url"))
+
+
+def feed_payloads(spark, sf, docs: DataFrame | None = None) -> DataFrame:
+    """Land documents as RSS payloads of <= 16 items (built by the RSS output)."""
+    docs = docs if docs is not None else document_items(spark, sf)
+    feed = Feed.from_table(docs, "doc_id")
+    out = rss_document(feed, title="Documents", description="documents as feed items",
+                       link="http://example.com/", group_cols=["feed_url"], limit=FEED_GROUP)
+    return out.select("feed_url", F.col("document").alias("payload"))
+
+
+FEED_URL_SQL = "'http://feeds.example.com/' || source || '/' || cast(doc_id // 16 as varchar)"
+
+
+@query("feed_roundtrip", """
+select cast(doc_id as varchar) as guid, 'doc ' || cast(doc_id as varchar) as title, text as description,
+       text as content, 'http://example.com/' || source || '/' || cast(doc_id as varchar) as link,
+       lang as author, n_chars * 86400 as published_at, lang || ',' || source as categories
+from documents""")
+def q_feed_roundtrip(spark, sf):
+    f = feed_items(feed_payloads(spark, sf))
+    return f.df.select("guid", "title", "description", "content", "link", "author", "published_at",
+                       F.array_join("categories", ",").alias("categories"))
+
+
+@query("feed_summary", f"""
+select {FEED_URL_SQL} as feed_url, 'Documents' as title, count(*) as item_count
+from documents group by all""")
+def q_feed_summary(spark, sf):
+    return feed_summary(feed_payloads(spark, sf)).select("feed_url", "title", "item_count")
+
+
+@query("feed_limit_per_source", f"""
+select doc_id, {FEED_URL_SQL} as feed_url from documents
+qualify row_number() over (partition by {FEED_URL_SQL} order by doc_id) <= 5""")
+def q_feed_limit_per_source(spark, sf):
+    f = feed_items(feed_payloads(spark, sf), limit=5)
+    return f.df.select(F.col("guid").cast("bigint").alias("doc_id"), "feed_url")
+
+
+@query("limit_per_source_table", """
+select doc_id, source from documents qualify row_number() over (partition by source order by doc_id) <= 5""")
+def q_limit_per_source_table(spark, sf):
+    f = limit_per_source(items(spark, sf, "documents", ["source", "doc_id"]), 5)
+    return f.df.select("doc_id", "source")
+
+
+DATE_LAYOUTS = 5
+
+
+@query("feed_dates", """
+select event_id, case when event_id % 5 = 4 then (cast(floor(epoch(ts)) as bigint) // 60) * 60
+                      else cast(floor(epoch(ts)) as bigint) end as published_at
+from events""")
+def q_feed_dates(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    k = F.pmod(F.col("event_id"), F.lit(DATE_LAYOUTS))
+    shifted = F.col("ts") - F.expr("INTERVAL 7 HOURS")
+    text = (F.when(k == 0, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+            .when(k == 1, F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+            .when(k == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
+            .when(k == 3, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .otherwise(F.concat(F.date_format(shifted, "dd MMM yy HH:mm"), F.lit(" -0700"))))
+    return ev.select("event_id", parse_feed_date(text).alias("published_at"))
+
+
+@query("rss_render_dates", """
+select event_id, strftime(make_timestamp(cast(floor(epoch(ts)) as bigint) * 1000000),
+                          '%a, %d %b %Y %H:%M:%S') || ' +0000' as pub_date
+from events""")
+def q_rss_render_dates(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", epoch_to_rfc1123z(F.unix_seconds(F.col("ts").cast("timestamp")))
+                     .alias("pub_date"))
+
+
+def _sql_xml(x: str) -> str:
+    e = f"regexp_replace({x}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]', '�', 'g')"
+    for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;"),
+                 ("chr(9)", "&#x9;"), ("chr(10)", "&#xA;"), ("chr(13)", "&#xD;")]:
+        src = a if a.startswith("chr(") else f"'{a}'"
+        e = f"replace({e}, {src}, '{b}')"
+    return e
+
+
+def _sql_el(tag: str, x: str) -> str:
+    return f"chr(10) || '      <{tag}>' || {_sql_xml(x)} || '</{tag}>'"
+
+
+@query("rss_items", f"""
+select doc_id, chr(10) || '    <item>'
+  || {_sql_el('title', "'doc ' || cast(doc_id as varchar)")}
+  || {_sql_el('description', 'text')}
+  || {_sql_el('link', "'http://example.com/' || source || '/' || cast(doc_id as varchar)")}
+  || case when n_chars > 0 then {_sql_el('pubDate', "strftime(make_timestamp(n_chars * 86400 * 1000000), '%a, %d %b %Y %H:%M:%S') || ' +0000'")} else '' end
+  || {_sql_el('guid', 'cast(doc_id as varchar)')}
+  || {_sql_el('author', 'lang')}
+  || {_sql_el('category', 'lang')} || {_sql_el('category', 'source')}
+  || chr(10) || '    </item>' as fragment
+from documents""")
+def q_rss_items(spark, sf):
+    docs = document_items(spark, sf).drop("feed_url")
+    f = rss_fragments(Feed.from_table(docs, "doc_id"), keep=["doc_id"])
+    return f.df.select("doc_id", "fragment")
+
+
+@query("json_envelope")
+def q_json_envelope(spark, sf):
+    f = limit_items(sort_items(items(spark, sf, "orders", "o_orderkey"), "o_totalprice", "desc"), 20)
+    m = map_fields(f, "id:o_orderkey, price:o_totalprice, status:o_orderstatus")
+    return json_envelope(m, 20)
+
+
+@query("webhook_batches", """
+select (rn - 1) // 500 as batch, count(*) as count, min(rn) as first_position
+from (select row_number() over (order by o_orderdate, o_orderkey) as rn from orders) group by all""")
+def q_webhook_batches(spark, sf):
+    f = items(spark, sf, "orders", ["o_orderdate", "o_orderkey"])
+    return webhook_payloads(f, 500).select("batch", "count", "first_position")
+
+
+# ---------------------------------------------------------------------------
+# Saved and published outputs (events / orders as versions)
+# ---------------------------------------------------------------------------
+
+@query("latest_output", """
+select user_id, event_type, event_id from events
+qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1""")
+def q_latest_output(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    return latest_versions(ev, keys=["user_id", "event_type"], ts="ts", tie="event_id") \
+        .select("user_id", "event_type", "event_id")
+
+
+_ORDER_VERSIONS_SQL = """
+with v as (select o_custkey as pipe_id, case when o_orderstatus = 'F' then 'json' else 'rss' end as format,
+                  o_orderkey, o_orderdate from orders),
+l as (select * from v qualify row_number() over (partition by pipe_id, format
+                                                 order by o_orderdate desc, o_orderkey desc) = 1)"""
+
+
+def _order_versions(spark, sf):
+    o = table(spark, sf, "orders")
+    v = o.select(F.col("o_custkey").alias("pipe_id"),
+                 F.when(F.col("o_orderstatus") == "F", "json").otherwise("rss").alias("format"),
+                 "o_orderkey", F.col("o_orderdate").alias("created_at"))
+    latest = latest_versions(v, ts="created_at", tie="o_orderkey")
+    pipes = table(spark, sf, "customer").select(F.col("c_custkey").alias("pipe_id"),
+                                                (F.col("c_acctbal") > 0).alias("is_public"))
+    return pipes, latest
+
+
+@query("published_outputs", _ORDER_VERSIONS_SQL + """
+select c.c_custkey as pipe_id, l.o_orderkey from customer c join l on l.pipe_id = c.c_custkey
+where c.c_acctbal > 0 and l.format = 'json'""")
+def q_published_outputs(spark, sf):
+    pipes, latest = _order_versions(spark, sf)
+    return published_outputs(pipes, latest, "json").select("pipe_id", "o_orderkey")
+
+
+@query("pipes_to_run", _ORDER_VERSIONS_SQL + """
+select c_custkey as pipe_id from customer
+where c_acctbal > 0 and c_custkey not in (select pipe_id from l where format = 'json')""")
+def q_pipes_to_run(spark, sf):
+    pipes, latest = _order_versions(spark, sf)
+    return pipes_to_run(pipes, latest, "json")
+
+
+# ---------------------------------------------------------------------------
+# R: run history (orders = runs, lineitem = log lines, customer = owners)
+# ---------------------------------------------------------------------------
+
+@query("recent_runs", """
+select o_custkey as pipe_id, o_orderkey as id,
+       row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n
+from orders qualify n <= 10""")
+def q_recent_runs(spark, sf):
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("pipe_id"),
+                                             F.col("o_orderkey").alias("id"),
+                                             F.col("o_orderdate").alias("started_at"))
+    return recent_runs(runs, 10).select("pipe_id", "id", "n")
+
+
+@query("run_log", """
+select l_orderkey as execution_id, l_linenumber as seq,
+       row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber) as line
+from lineitem""")
+def q_run_log(spark, sf):
+    logs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("execution_id"),
+                                               F.col("l_linenumber").alias("seq"),
+                                               F.col("l_shipdate").alias("timestamp"))
+    return run_log(logs).select("execution_id", "seq", "line")
+
+
+@query("owner_logs", """
+select l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey
+where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')""")
+def q_owner_logs(spark, sf):
+    logs = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pipe_id"))
+    pipes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    return owner_logs(logs, runs, pipes, F.col("c_mktsegment") == "BUILDING",
+                      run_key=("l_orderkey", "id"), pipe_key=("pipe_id", "id"))
+
+
+# ---------------------------------------------------------------------------
+# C: flow composer, run record
+# ---------------------------------------------------------------------------
+
+FLOW_E2E = {
+    "version": "1",
+    "nodes": [
+        {"id": "docs", "type": "table-source", "config": {"table": "documents", "order_by": "doc_id"}},
+        {"id": "bench", "type": "table-source", "config": {"table": "benchmark", "order_by": "item_id"}},
+        {"id": "m", "type": "merge", "config": {"dedupe_field": "text", "sort_field": "n_chars",
+                                                "sort_order": "desc"}},
+        {"id": "f", "type": "filter", "config": {"field": "text", "operator": "contains", "value": "the"}},
+        {"id": "p", "type": "map", "config": {"mappings": "title:source, body:text, id:doc_id, item:item_id",
+                                              "keep_original": False}},
+        {"id": "t", "type": "truncate", "config": {"field": "body", "max_length": 100}},
+        {"id": "l", "type": "limit", "config": {"count": 25}},
+    ],
+    "connections": [
+        {"id": "1", "source": "docs", "target": "m"}, {"id": "2", "source": "bench", "target": "m"},
+        {"id": "3", "source": "m", "target": "f"}, {"id": "4", "source": "f", "target": "p"},
+        {"id": "5", "source": "p", "target": "t"}, {"id": "6", "source": "t", "target": "l"},
+    ],
+}
+
+_FLOW_E2E_BASE = """
+select doc_id, item_id, source, text, rank from (
+  select *, row_number() over (order by n_chars desc nulls first, src, doc_id, item_id) as rank
+  from (select * from (select doc_id, null::bigint as item_id, source, text, n_chars, 0 as src from documents
+                       union all select null, item_id, null, text, null, 1 from benchmark)
+        qualify row_number() over (partition by text order by src, doc_id, item_id) = 1)
+  where contains(lower(text), 'the')
+  qualify rank <= 25)"""
+
+
+@query("flow_e2e", "select doc_id as id, item_id as item, source as title, text as body, rank from ("
+       + sql_truncate(_FLOW_E2E_BASE, "doc_id, item_id, source, rank", "text", 100) + ")")
+def q_flow_e2e(spark, sf):
+    from .plans.flow import run_flow
+    res = run_flow(spark, FLOW_E2E, {"documents": table(spark, sf, "documents"),
+                                     "benchmark": table(spark, sf, "benchmark")})
+    return ranked(res.outputs["l"], "id", "item", "title", "body")
+
+
+FLOW_RECORD = {
+    "nodes": [
+        {"id": "src", "type": "table-source", "config": {"table": "events", "order_by": "event_id"}},
+        {"id": "f", "type": "filter", "config": {"field": "event_type", "operator": "equals",
+                                                 "value": "purchase"}},
+        {"id": "out", "type": "json-output", "config": {}},
+    ],
+    "connections": [{"id": "1", "source": "src", "target": "f"}, {"id": "2", "source": "f", "target": "out"}],
+}
+
+
+@query("flow_run_record", """
+select 'success' as status, count(*) as items_processed from events where event_type = 'purchase'""")
+def q_flow_run_record(spark, sf):
+    import uuid
+
+    from .plans.flow import run_flow
+    from .session import scratch_path
+    base = scratch_path(spark, f"flow_run_record/{uuid.uuid4().hex}")
+    res = run_flow(spark, FLOW_RECORD, {"events": table(spark, sf, "events")}, out_dir=f"{base}/out",
+                   runs_table=f"{base}/runs", pipe_id="events-purchases")
+    runs = spark.read.parquet(f"{base}/runs")
+    return runs.where(F.col("id") == res.id).select("status", "items_processed")
+
+
+# ---------------------------------------------------------------------------
+# X: incremental runs (Structured Streaming)
+# ---------------------------------------------------------------------------
+
+def _stream_out(spark, name):
+    import uuid
+
+    from .session import scratch_path
+    return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
+
+
+@query("stream_dedupe", "select distinct user_id from events")
+def q_stream_dedupe(spark, sf):
+    from .streaming.incremental import dedupe_stream, incremental_run, read_stream
+    ev = table(spark, sf, "events")
+    base = _stream_out(spark, "dedupe")
+    s = read_stream(spark, f"{sf.rstrip('/')}/events.parquet", ev.schema, single_file=True)
+    d = dedupe_stream(s.select("event_id", "user_id", "ts"), ["user_id"], "ts", "1 hour")
+    incremental_run(d, lambda f: f, f"{base}/out", "dedupe", f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select("user_id")
+
+
+@query("stream_incremental", """
+select event_id, user_id as who, value as amount from events where event_type = 'purchase'""")
+def q_stream_incremental(spark, sf):
+    from .streaming.incremental import incremental_run, read_stream
+    ev = table(spark, sf, "events")
+    base = _stream_out(spark, "incremental")
+    s = read_stream(spark, f"{sf.rstrip('/')}/events.parquet", ev.schema, single_file=True)
+
+    def flow(f):
+        f = filter_items(f, "event_type", "equals", "purchase", spark)
+        return map_fields(f, "event_id:event_id, who:user_id, amount:value")
+    incremental_run(s, flow, f"{base}/out", "incremental", f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select("event_id", "who", "amount")
+
+
+@query("skip_unchanged", f"""
+select {FEED_URL_SQL} as feed_url from documents group by all
+having bool_or(lang = 'de' and upper(text) <> text)""")
+def q_skip_unchanged(spark, sf):
+    from .streaming.incremental import changed_payloads, payload_hash
+    docs = document_items(spark, sf)
+    current = feed_payloads(spark, sf, docs)
+    edited = docs.withColumn("description", F.when(F.col("lang") == "de", F.upper("description"))
+                             .otherwise(F.col("description")))
+    previous = feed_payloads(spark, sf, edited)
+    older = current  # an older fetch equal to today's: must not count, the newest fetch decides
+    seen = older.select("feed_url", payload_hash().alias("payload_hash"), F.lit(0).alias("fetched_at")) \
+        .unionByName(previous.select("feed_url", payload_hash().alias("payload_hash"),
+                                     F.lit(1).alias("fetched_at")))
+    return changed_payloads(current, seen).select("feed_url")

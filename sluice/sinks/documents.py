@@ -53,12 +53,11 @@ def write_json_lines(feed: Feed, path: str, mode: str = "overwrite") -> int:
     """O1, scalable form: items as JSON lines in feed order; returns count.
 
     Empty input writes nothing (the previous output stays)."""
-    obs = Observation(fresh("json_out"))
-    out = feed.ordered().select(item_json(feed).alias("value")).observe(obs, F.count(F.lit(1)).alias("n"))
-    probe = out.limit(1).count()
-    if probe == 0:
+    lines = feed.ordered().select(item_json(feed).alias("value"))
+    if lines.isEmpty():
         return 0
-    out.write.mode(mode).text(path)
+    obs = Observation(fresh("json_out"))
+    lines.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).text(path)
     return int(obs.get["n"])
 
 

@@ -92,7 +92,7 @@ def infer_item_schema(feed: Feed, item: str = "__item") -> T.StructType:
     ddl = row["s"] if row and row["s"] else "OBJECT<>"
     if not ddl.startswith("OBJECT<") or ddl == "OBJECT<>":
         return T.StructType([])
-    inner = ddl[len("OBJECT<"):-1]
+    inner = ddl[len("OBJECT<"):-1].replace("OBJECT<", "STRUCT<")
     spark = feed.df.sparkSession
     st = _ddl_type(spark, "struct<" + inner + ">")
     return _numbers_to_double(st)
