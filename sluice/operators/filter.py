@@ -56,35 +56,46 @@ def _go_float_text(x: float) -> str:
     return sign + digits[:dp] + "." + digits[dp:]
 
 
-def _equals(x: Column, dtype: T.DataType, value: str) -> Column:
-    """NULL-free predicate: canonical_text(x) == value, pushdown-friendly."""
+def _equals(x: Column, dtype: T.DataType, value: str, negate: bool = False) -> Column:
+    """``canonical_text(x) == value`` (or ``!=``) as a NULL-free predicate.
+
+    Written as plain comparisons plus ``IS NULL`` so that Parquet pushdown
+    applies: a NULL ``x`` prints ``<nil>``, so it equals only ``<nil>``.
+    """
+    def eq(lit_value):
+        return (x.isNull() | (x != lit_value)) if negate else (x == lit_value)
+
+    def is_nil():
+        return x.isNotNull() if negate else x.isNull()
+
+    def never():
+        return F.lit(negate)
+
     if isinstance(dtype, T.NullType):
-        return F.lit(value == NIL_TEXT)
+        return F.lit((value == NIL_TEXT) != negate)
     if isinstance(dtype, T.StringType):
         if value == NIL_TEXT:
-            return x.isNull() | (x == F.lit(value))
-        return F.coalesce(x == F.lit(value), F.lit(False))
+            both = x.isNull() | (x == F.lit(value))
+            return ~both if negate else both
+        return eq(F.lit(value))
     if isinstance(dtype, INTEGRAL_TYPES):
         if value == NIL_TEXT:
-            return x.isNull()
+            return is_nil()
         if not _INT_TEXT.fullmatch(value) or abs(int(value)) >= 2 ** 63:
-            return F.lit(False)
-        return F.coalesce(x == F.lit(int(value)).cast(dtype), F.lit(False))
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            return never()
+        return eq(F.lit(int(value)).cast(dtype))
+    if isinstance(dtype, T.DoubleType):
         if value == NIL_TEXT:
-            return x.isNull()
+            return is_nil()
         try:
             num = float(value)
         except ValueError:
             num = None
-        if num is None or num != num or _go_float_text(num) != value:
-            # not the canonical text of any double: only the text form can
-            # match (floats, exotic values) -> compare texts
-            return canonical_text(x, dtype) == F.lit(value)
-        if isinstance(dtype, T.FloatType):
-            return canonical_text(x, dtype) == F.lit(value)
-        return F.coalesce(x == F.lit(num), F.lit(False))
-    return canonical_text(x, dtype) == F.lit(value)
+        if num is not None and num == num and _go_float_text(num) == value:
+            # the shortest text of a double identifies it uniquely
+            return eq(F.lit(num))
+    text = canonical_text(x, dtype)
+    return (text != F.lit(value)) if negate else (text == F.lit(value))
 
 
 def predicate(feed: Feed, field: str, operator: str, value: str, spark=None) -> Column:
@@ -97,7 +108,7 @@ def predicate(feed: Feed, field: str, operator: str, value: str, spark=None) ->
     elif operator == "equals":
         cond = _equals(x, dtype, value)
     elif operator == "not-equals":
-        cond = ~_equals(x, dtype, value)
+        cond = _equals(x, dtype, value, negate=True)
     elif operator == "regex":
         try:
             t = compile_re2(value, spark)

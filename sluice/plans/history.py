@@ -38,9 +38,15 @@ def recent_runs(runs: DataFrame, limit=DEFAULT_RUNS, pipe_col="pipe_id", started
 
 
 def run_log(logs: DataFrame, run_col="execution_id", ts_col="timestamp", seq_col="seq") -> DataFrame:
-    """R2 for every run: log lines by time, then sequence, numbered."""
-    w = Window.partitionBy(run_col).orderBy(F.col(ts_col), F.col(seq_col))
-    return logs.withColumn("line", F.row_number().over(w))
+    """R2 for every run: log lines by time, then sequence, numbered.
+
+    Skew-safe: the numbering comes from ``rank_within`` (range-partitioned
+    global rank), not from a per-run window, so one huge run is spread over
+    many tasks."""
+    from ..feed import Feed
+    from .rank import rank_within
+    feed = Feed.from_table(logs, [ts_col, seq_col])
+    return rank_within(feed, [run_col], "line").items()
 
 
 def owner_logs(logs: DataFrame, runs: DataFrame, pipes: DataFrame, owner_pred,

@@ -45,3 +45,27 @@ def global_rank(feed: Feed, name: str = "rank", partitions: int | None = None,
         .withColumn(name, col("__off") + col(mid).bitwiseAND(F.lit(_LOW_BITS)) + 1) \
         .drop(pid, "__off", mid)
     return feed.with_df(ranked)
+
+
+def rank_within(feed: Feed, keys: list[str], name: str = "rank") -> Feed:
+    """1-based position of each item within its key, in feed order, without
+    a per-key window (a key holding a third of the rows would otherwise be
+    sorted in one task).
+
+    The global rank over (key, ordering) makes each key's rows contiguous;
+    a key's first rank is a partial-aggregated ``min`` per key, joined back
+    (AQE broadcasts it when small, and splits a skewed partition if not).
+    """
+    from ..feed import OrderKey
+    g = fresh("g")
+    keyed = Feed(feed.df, [OrderKey(k) for k in keys] + list(feed.ordering))
+    ranked = global_rank(keyed, g)
+    first = fresh("first")
+    starts = ranked.df.groupBy(*[col(k) for k in keys]).agg(F.min(col(g)).alias(first))
+    cond = None
+    for k in keys:
+        c = ranked.df[k].eqNullSafe(starts[k])
+        cond = c if cond is None else cond & c
+    joined = ranked.df.join(starts, cond).select(ranked.df["*"], starts[first])
+    out = joined.withColumn(name, col(g) - col(first) + 1).drop(g, first)
+    return feed.with_df(out)
