@@ -86,45 +86,27 @@ def resolve_flat(schema: T.StructType, name: str) -> tuple[Column, T.DataType]:
 def float_text(x: Column) -> Column:
     """Shortest round-trip text of a float/double in Go's ``%v`` layout.
 
-    Java's ``Double.toString`` already yields the shortest digits (as
-    ``123.45`` or ``1.2345E7``); they are re-laid out: exponent form
-    (``1.2345e+07``) when the decimal exponent is < -4 or >= 6, else plain
-    decimal without a trailing ``.0``.
+    Java's ``Double.toString`` gives the shortest digits, plain for
+    1e-3 <= |x| < 1e7 and ``d.dddE[-]n`` otherwise; Go's ``%v`` is plain for
+    1e-4 <= |x| < 1e6 and ``d.ddde[+-]nn`` otherwise. So only two bands
+    move: [1e6, 1e7) to exponent form and [1e-4, 1e-3) to plain form; the
+    rest is spelling (no ``.0``, ``e+07``). A short chain of regex rewrites.
     """
     s = x.cast("string")
-    neg = s.startswith("-")
-    body = F.regexp_replace(s, "^-", "")
-    pat = r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
-    ip = F.regexp_extract(body, pat, 1)
-    fp = F.regexp_extract(body, pat, 2)
-    ex = F.regexp_extract(body, pat, 3)
-    raw = F.concat(ip, fp)
-    stripped = F.regexp_replace(raw, "^0+", "")
-    digits = F.regexp_replace(stripped, "0+$", "")
-    nd = F.length(digits)
-    lead_zeros = F.length(raw) - F.length(stripped)
-    # dp: digits before the decimal point when written 0.d1d2d3 x 10^dp
-    dp = (F.when(ex == "", F.length(ip) - lead_zeros)
-          .otherwise(ex.cast("int") + F.length(ip) - lead_zeros))
-    exp10 = dp - 1
-    sign = F.when(neg, F.lit("-")).otherwise(F.lit(""))
-    mant = F.when(nd > 1, F.concat(_substr(digits, 1, 1), F.lit("."), _substr_from(digits, 2))
-                  ).otherwise(digits)
-    eabs = F.abs(exp10)
-    etxt = F.concat(F.when(exp10 < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                    F.lpad(eabs.cast("string"), 2, "0"))
-    sci = F.concat(mant, etxt)
-    plain = (F.when(dp <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -dp), digits))
-             .when(dp >= nd, F.concat(digits, F.repeat(F.lit("0"), dp - nd)))
-             .otherwise(F.concat(_substr(digits, 1, dp), F.lit("."), _substr_from(digits, dp + 1))))
-    finite = (F.when(nd == 0, F.lit("0"))
-              .when((exp10 < -4) | (exp10 >= 6), sci)
-              .otherwise(plain))
-    return (F.when(x.isNull(), F.lit(None).cast("string"))
-            .when(s == "NaN", F.lit(NAN_TEXT))
+    exp_small = F.regexp_replace(s, r"^(?<s>-?)(?<d>[0-9])\.(?<f>[0-9]*?)0*E-4$", "${s}0.000${d}${f}")
+    exp_form = F.regexp_replace(s, r"\.0E", "E")
+    exp_form = F.regexp_replace(exp_form, r"E(?<s>-?)(?<d>[0-9])$", "E${s}0${d}")
+    exp_form = F.regexp_replace(F.regexp_replace(exp_form, "E-", "e-"), "E", "e+")
+    million = F.regexp_replace(s, r"^(?<s>-?)(?<d>[0-9])(?<r>[0-9]{6})\.(?<f>[0-9]*)$", "${s}${d}.${r}${f}e+06")
+    million = F.regexp_replace(million, r"\.?0+e", "e")
+    plain = F.regexp_replace(s, r"\.0$", "")
+    return (F.when(s == "NaN", F.lit(NAN_TEXT))
             .when(s == "Infinity", F.lit(POS_INF_TEXT))
             .when(s == "-Infinity", F.lit(NEG_INF_TEXT))
-            .otherwise(F.concat(sign, finite)))
+            .when(s.endswith("E-4"), exp_small)
+            .when(s.contains("E"), exp_form)
+            .when(s.rlike(r"^-?[0-9]{7}\."), million)
+            .otherwise(plain))
 
 
 def _substr(s: Column, pos, length) -> Column:
