@@ -106,7 +106,7 @@ def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
     elif isinstance(schema, str):
         schema = _ddl_type(feed.df.sparkSession, "struct<" + schema + ">")
     v = col(item)
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     fields = []
     for f in schema.fields:
         if isinstance(f.dataType, T.VariantType):
