@@ -9,25 +9,33 @@ from pyspark.sql import functions as F
 # (ASCII \t \n \v \f \r and space, U+0085, U+00A0, and the Unicode
 # White_Space code points U+1680, U+2000-U+200A, U+2028, U+2029, U+202F,
 # U+205F, U+3000).
+UNICODE_SPACE_CODES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680,
+                       0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007,
+                       0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+UNICODE_SPACE_CHARS = "".join(chr(c) for c in UNICODE_SPACE_CODES)
 UNICODE_SPACE_CLASS = (
     "[\\t\\n\\x{B}\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 )
 # Tags: from '<' up to and including the next '>' (or to the end when it is
 # never closed); a '>' outside a tag is dropped too. Entities and the text
-# inside <script>/<style> are kept, as in the item model.
-HTML_TAG_PATTERN = "<[^>]*>?|>"
-REPLACEMENT_CHAR = "�"
+# inside <script>/<style> are kept, as in the item model. (The possessive
+# '*+' cannot change the match -- '[^>]' never matches '>' -- it only
+# spares the engine backtracking.)
+HTML_TAG_PATTERN = "<[^>]*+>?|>"
+REPLACEMENT_CHAR = "\ufffd"
 DEFAULT_SUFFIX = "..."
 DEFAULT_MAX_LENGTH = 200
 
 
 def unicode_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{UNICODE_SPACE_CLASS}+|{UNICODE_SPACE_CLASS}+\\z", "")
+    """Trim Unicode white space at both ends (a character-set trim: only the
+    ends are looked at, unlike an anchored regex that scans the text)."""
+    return F.trim(c, F.lit(UNICODE_SPACE_CHARS))
 
 
 def unicode_rtrim(c: Column) -> Column:
-    return F.regexp_replace(c, f"{UNICODE_SPACE_CLASS}+\\z", "")
+    return F.rtrim(c, F.lit(UNICODE_SPACE_CHARS))
 
 
 def strip_html(c: Column) -> Column:

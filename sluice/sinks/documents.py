@@ -90,11 +90,14 @@ def json_envelope(feed: Feed, limit: int = DEFAULT_DOCUMENT_BOUND) -> DataFrame:
 # XML text escapes (in this order; '&' first).
 XML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"),
                ("\t", "&#x9;"), ("\n", "&#xA;"), ("\r", "&#xD;")]
-XML_INVALID_CHARS = "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]"
+# Characters outside XML's range (controls other than tab, LF, CR; U+FFFE,
+# U+FFFF) are written as U+FFFD.
+XML_INVALID_CHARS = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20),
+                                             0xFFFE, 0xFFFF])
 
 
 def xml_escape(c: Column) -> Column:
-    c = F.regexp_replace(c, XML_INVALID_CHARS, "�")
+    c = F.translate(c, XML_INVALID_CHARS, "\ufffd" * len(XML_INVALID_CHARS))
     for a, b in XML_ESCAPES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
