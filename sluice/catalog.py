@@ -22,7 +22,7 @@ from .operators.merge import merge
 from .operators.sort import rank_column, sort_items
 from .plans.history import owner_logs, recent_runs, run_log
 from .plans.rank import global_rank
-from .sinks.documents import json_envelope, rss_document, rss_fragments, webhook_payloads
+from .sinks.documents import json_envelope, rss_channel, rss_document, rss_fragments, webhook_payloads
 from .sources.feed_source import feed_items, feed_summary, limit_per_source
 from .sinks.versions import latest_versions, pipes_to_run, published_outputs
 from .sources.json_source import json_items, to_payload
@@ -565,7 +565,12 @@ def q_rss_items(spark, sf):
     return f.df.select("doc_id", "fragment")
 
 
-@query("json_envelope")
+@query("json_envelope", """
+select count(*) as count,
+       '{"count":' || count(*) || ',"items":[' || string_agg(j, ',' order by rank) || ']}' as document
+from (select to_json(struct_pack(id := o_orderkey, price := o_totalprice, status := o_orderstatus))::varchar as j,
+             row_number() over (order by o_totalprice desc, o_orderkey) as rank
+      from orders qualify rank <= 20)""")
 def q_json_envelope(spark, sf):
     f = limit_items(sort_items(items(spark, sf, "orders", "o_orderkey"), "o_totalprice", "desc"), 20)
     m = map_fields(f, "id:o_orderkey, price:o_totalprice, status:o_orderstatus")
@@ -784,3 +789,111 @@ def q_skip_unchanged(spark, sf):
         .unionByName(previous.select("feed_url", payload_hash().alias("payload_hash"),
                                      F.lit(1).alias("fetched_at")))
     return changed_payloads(current, seen).select("feed_url")
+
+
+# ---------------------------------------------------------------------------
+# more outputs: JSON lines, RSS documents per feed, webhook delivery
+# ---------------------------------------------------------------------------
+
+@query("json_lines_out", """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders
+where o_orderstatus = 'O'""")
+def q_json_lines_out(spark, sf):
+    import uuid
+
+    from .session import scratch_path
+    from .sinks.documents import write_json_lines
+    path = scratch_path(spark, f"json_lines_out/{uuid.uuid4().hex}")
+    f = filter_items(items(spark, sf, "orders", "o_orderkey"), "o_orderstatus", "equals", "O")
+    f = map_fields(f, "o_orderkey:o_orderkey, o_custkey:o_custkey, o_orderstatus:o_orderstatus, "
+                      "o_totalprice:o_totalprice, o_orderpriority:o_orderpriority")
+    write_json_lines(f, path)
+    return spark.read.schema("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                             "o_orderpriority string").json(path)
+
+
+def _sql_text(text: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10))."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_RSS_HEAD, _RSS_TAIL = (_sql_text(x) for x in rss_channel("Documents", "documents as feed items",
+                                                          "http://example.com/"))
+
+
+@query("rss_feed_documents", f"""
+select feed_url, count(*) as count,
+       {_RSS_HEAD} || string_agg(fragment, '' order by doc_id) || {_RSS_TAIL} as document
+from (select {FEED_URL_SQL} as feed_url, doc_id, fragment
+      from (@RSS_ITEMS@) join documents using (doc_id))
+group by feed_url""".replace("@RSS_ITEMS@", ORACLE["rss_items"]))
+def q_rss_feed_documents(spark, sf):
+    docs = document_items(spark, sf)
+    out = rss_document(Feed.from_table(docs, "doc_id"), title="Documents", description="documents as feed items",
+                       link="http://example.com/", group_cols=["feed_url"], limit=FEED_GROUP)
+    return out.select("feed_url", "count", "document")
+
+
+@query("webhook_delivery", """
+select (rn - 1) // 250 as batch, count(*) as count, min(o_orderkey) as first_key, max(o_orderkey) as last_key
+from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders) group by all""")
+def q_webhook_delivery(spark, sf):
+    import uuid
+
+    from .session import scratch_path
+    from .sinks.webhook import deliver
+    target = scratch_path(spark, f"webhook_delivery/{uuid.uuid4().hex}")
+    f = map_fields(items(spark, sf, "orders", "o_orderkey"), "key:o_orderkey")
+    deliver(webhook_payloads(f, 250), target if "://" in target else "file://" + target)
+    sent = spark.read.text(target, wholetext=True).select(
+        F.from_json("value", "count bigint, items array<struct<key bigint>>").alias("p"),
+        F.regexp_extract(F.input_file_name(), r"batch-([0-9]+)\.json", 1).cast("bigint").alias("batch"))
+    return sent.select("batch", F.col("p.count").alias("count"),
+                       F.array_min(F.col("p.items.key")).alias("first_key"),
+                       F.array_max(F.col("p.items.key")).alias("last_key"))
+
+
+@query("json_limit_per_payload", f"""
+select cast(event_id as double) as event_id from events
+qualify row_number() over (partition by event_id // {PAYLOAD_ITEMS} order by event_id) <= 3""")
+def q_json_limit_per_payload(spark, sf):
+    f = json_items(event_payloads(spark, sf), items_path="data.items", order_cols=["payload_id"], limit=3)
+    return f.df.select("event_id")
+
+
+@query("flow_node_counts", """
+select 'src' as node_id, count(*) as n from events
+union all select 'f', count(*) from events where event_type = 'click'
+union all select 'l', least(count(*), 100) from events where event_type = 'click'""")
+def q_flow_node_counts(spark, sf):
+    import uuid
+
+    from .plans.flow import run_flow
+    from .session import scratch_path
+    base = scratch_path(spark, f"flow_node_counts/{uuid.uuid4().hex}")
+    cfg = {"nodes": [
+        {"id": "src", "type": "table-source", "config": {"table": "events", "order_by": "event_id"}},
+        {"id": "f", "type": "filter", "config": {"field": "event_type", "operator": "equals", "value": "click"}},
+        {"id": "l", "type": "limit", "config": {"count": 100}},
+        {"id": "out", "type": "json-output", "config": {}}],
+        "connections": [{"source": "src", "target": "f"}, {"source": "f", "target": "l"},
+                        {"source": "l", "target": "out"}]}
+    res = run_flow(spark, cfg, {"events": table(spark, sf, "events")}, out_dir=base, observe_nodes=True)
+    # one row per node of the flow description (bounded by its size)
+    return spark.createDataFrame(sorted(res.node_counts.items()), "node_id string, n bigint")
+
+
+@query("stream_top_per_batch", """
+select event_id, value, row_number() over (order by value desc, event_id) as rank
+from events where event_type = 'purchase' qualify rank <= 10""")
+def q_stream_top_per_batch(spark, sf):
+    from .streaming.incremental import foreach_batch_top, read_stream
+    ev = table(spark, sf, "events")
+    base = _stream_out(spark, "top")
+    s = read_stream(spark, f"{sf.rstrip('/')}/events.parquet", ev.schema, single_file=True)
+
+    def per_batch(f):
+        f = limit_items(sort_items(filter_items(f, "event_type", "equals", "purchase"), "value", "desc"), 10)
+        return Feed(f.df.withColumn("rank", rank_column(f)), f.ordering)
+    foreach_batch_top(s, per_batch, f"{base}/out", "top", ["event_id"], f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select("event_id", "value", "rank")

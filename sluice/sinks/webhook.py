@@ -79,6 +79,11 @@ class WebhookDataSource(DataSource):
 
 
 def register(spark) -> None:
+    # ship the writer by value: executors need not have this package installed
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(WebhookDataSource)
 
 
