@@ -99,69 +99,47 @@ def epoch_to_rfc1123z(seconds: Column) -> Column:
 # "02 Jan 06 15:04 MST", "Mon, 2 Jan 2006 15:04:05 MST",
 # "Mon, 2 Jan 2006 15:04:05 -0700", "2006-01-02T15:04:05Z",
 # "2006-01-02T15:04:05-07:00", "2006-01-02 15:04:05", "2006-01-02".
-# They fall into five shapes, matched below. A zone abbreviation parsed
-# against UTC gets offset 0 (only numeric offsets move the time); hours
-# take one or two digits; a fraction may follow the seconds.
-DAY_NAMES = "mon tue wed thu fri sat sun"
-MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec"
-_ZONE_ABBR = "(?:UTC|GMT|[A-Z]{3}|[A-Z]{3}T|[A-Z]{4}T|WITA|ChST|MeST)"
-_ZONE = f"([+-][0-9]{{4}}|{_ZONE_ABBR})"
-SHAPE_RFC1123 = (
-    "^([A-Za-z]{3}), ([0-9]{1,2}) ([A-Za-z]{3}) ([0-9]{4}) ([0-9]{1,2}):([0-9]{2}):([0-9]{2})"
-    f"(?:\\.[0-9]+)? {_ZONE}$"
-)
-SHAPE_RFC822 = f"^([0-9]{{2}}) ([A-Za-z]{{3}}) ([0-9]{{2}}) ([0-9]{{1,2}}):([0-9]{{2}}) {_ZONE}$"
-SHAPE_ISO_T = ("^([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:\\.[0-9]+)?"
-               "(Z|[+-][0-9]{2}:[0-9]{2})$")
-SHAPE_DATETIME = "^([0-9]{4})-([0-9]{2})-([0-9]{2}) ([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:\\.[0-9]+)?$"
-SHAPE_DATE = "^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
-
-
-def _month_number(name: Column) -> Column:
-    pos = F.instr(F.lit(MONTH_NAMES.replace(" ", "")), F.lower(name))
-    return F.when((pos > 0) & (F.length(name) == 3) & ((pos - 1) % 3 == 0), ((pos - 1) / 3 + 1).cast("int"))
-
-
-def _offset_seconds(zone: Column) -> Column:
-    """Numeric zone (+hhmm or +hh:mm) -> seconds east of UTC; names -> 0."""
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    numeric = zone.rlike("^[+-][0-9]{2}:?[0-9]{2}$")
-    return F.when(numeric, sign * (F.substring(digits, 1, 2).cast("int") * 3600
-                                   + F.substring(digits, 3, 2).cast("int") * 60)).otherwise(F.lit(0))
-
-
-def _epoch(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, off: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", y.cast("int"), mo.cast("int"), d.cast("int"),
-                           h.cast("int"), mi.cast("int"), s.cast("int"))
-    ts = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit("yyyy-MM-dd HH:mm:ss Z"))
-    return F.unix_seconds(ts) - off
+# They fall into five shapes. A zone abbreviation parsed against UTC gets
+# offset 0 (only numeric offsets move the time); day and month names match
+# without regard to case; hours take one or two digits; a fraction may
+# follow the seconds; two-digit years from 69 are 19xx.
+_DAY = "(?i:mon|tue|wed|thu|fri|sat|sun)"
+ZONE_ABBR = "(?:UTC|GMT|[A-Z]{3}|[A-Z]{3}T|[A-Z]{4}T|WITA|ChST|MeST)"
+SHAPE_RFC1123 = (f"^{_DAY}, (?<d>[0-9]{{1,2}}) (?<mon>[A-Za-z]{{3}}) (?<y>[0-9]{{4}}) "
+                 "(?<h>[0-9]{1,2}):(?<mi>[0-9]{2}):(?<s>[0-9]{2})(?:\\.[0-9]+)? (?<z>[+-][0-9]{4})$")
+SHAPE_RFC822 = ("^(?<d>[0-9]{2}) (?<mon>[A-Za-z]{3}) (?<yy>[0-9]{2}) "
+                "(?<h>[0-9]{1,2}):(?<mi>[0-9]{2}) (?<z>[+-][0-9]{4})$")
+SHAPE_ISO_T = ("^(?<date>[0-9]{4}-[0-9]{2}-[0-9]{2})T(?<h>[0-9]{1,2}):(?<mi>[0-9]{2}):(?<s>[0-9]{2})"
+               "(?:\\.[0-9]+)?(?<z>Z|[+-][0-9]{2}:[0-9]{2})$")
+SHAPE_DATETIME = ("^(?<date>[0-9]{4}-[0-9]{2}-[0-9]{2}) (?<h>[0-9]{1,2}):(?<mi>[0-9]{2}):(?<s>[0-9]{2})"
+                  "(?:\\.[0-9]+)?$")
+SHAPE_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _ts(text: Column, fmt: str) -> Column:
+    return F.unix_seconds(F.try_to_timestamp(text, F.lit(fmt)))
 
 
 def parse_feed_date(text: Column) -> Column:
-    """Date text -> epoch seconds (bigint), or 0 when no layout matches."""
-    t = text
-
-    def g(shape, i):
-        return F.regexp_extract(t, shape, i)
-
-    day_ok = F.instr(F.lit(DAY_NAMES), F.lower(g(SHAPE_RFC1123, 1))) > 0
-    a = F.when(t.rlike(SHAPE_RFC1123) & day_ok,
-               _epoch(g(SHAPE_RFC1123, 4), _month_number(g(SHAPE_RFC1123, 3)), g(SHAPE_RFC1123, 2),
-                      g(SHAPE_RFC1123, 5), g(SHAPE_RFC1123, 6), g(SHAPE_RFC1123, 7),
-                      _offset_seconds(g(SHAPE_RFC1123, 8))))
-    yy = g(SHAPE_RFC822, 3).cast("int")
-    b = F.when(t.rlike(SHAPE_RFC822),
-               _epoch(F.when(yy >= 69, yy + 1900).otherwise(yy + 2000), _month_number(g(SHAPE_RFC822, 2)),
-                      g(SHAPE_RFC822, 1), g(SHAPE_RFC822, 4), g(SHAPE_RFC822, 5), F.lit(0),
-                      _offset_seconds(g(SHAPE_RFC822, 6))))
-    c = F.when(t.rlike(SHAPE_ISO_T),
-               _epoch(g(SHAPE_ISO_T, 1), g(SHAPE_ISO_T, 2), g(SHAPE_ISO_T, 3), g(SHAPE_ISO_T, 4),
-                      g(SHAPE_ISO_T, 5), g(SHAPE_ISO_T, 6), _offset_seconds(g(SHAPE_ISO_T, 7))))
-    d = F.when(t.rlike(SHAPE_DATETIME),
-               _epoch(g(SHAPE_DATETIME, 1), g(SHAPE_DATETIME, 2), g(SHAPE_DATETIME, 3), g(SHAPE_DATETIME, 4),
-                      g(SHAPE_DATETIME, 5), g(SHAPE_DATETIME, 6), F.lit(0)))
-    e = F.when(t.rlike(SHAPE_DATE),
-               _epoch(g(SHAPE_DATE, 1), g(SHAPE_DATE, 2), g(SHAPE_DATE, 3), F.lit(0), F.lit(0), F.lit(0),
-                      F.lit(0)))
-    return F.coalesce(a, b, c, d, e, F.lit(0)).cast("bigint")
+    """Date text -> epoch seconds (bigint), or 0 when no layout matches.
+
+    Each shape is one ``rlike`` test plus one ``regexp_replace`` that
+    rewrites the text into a fixed layout for ``try_to_timestamp`` (which
+    also rejects impossible dates such as 30 February)."""
+    # names as zones (RFC1123, RFC822 shapes) mean offset 0
+    t = F.regexp_replace(text, f" {ZONE_ABBR}$", " +0000")
+    rfc1123 = _ts(F.regexp_replace(t, SHAPE_RFC1123, "${d} ${mon} ${y} ${h}:${mi}:${s} ${z}"),
+                  "d MMM yyyy H:mm:ss Z")
+    century = F.when(F.regexp_extract(t, SHAPE_RFC822, 3).cast("int") >= 69, F.lit("19")).otherwise(F.lit("20"))
+    rfc822 = _ts(F.concat(century, F.regexp_replace(t, SHAPE_RFC822, "${yy} ${mon} ${d} ${h}:${mi} ${z}")),
+                 "yyyy MMM dd H:mm Z")
+    iso_t = _ts(F.regexp_replace(text, SHAPE_ISO_T, "${date} ${h}:${mi}:${s} ${z}"), "yyyy-MM-dd H:mm:ss XXX")
+    dt = _ts(F.concat(F.regexp_replace(text, SHAPE_DATETIME, "${date} ${h}:${mi}:${s}"), F.lit(" +0000")),
+             "yyyy-MM-dd H:mm:ss Z")
+    d = _ts(F.concat(text, F.lit(" +0000")), "yyyy-MM-dd Z")
+    return (F.when(t.rlike(SHAPE_RFC1123), F.coalesce(rfc1123, F.lit(0)))
+            .when(t.rlike(SHAPE_RFC822), F.coalesce(rfc822, F.lit(0)))
+            .when(text.rlike(SHAPE_ISO_T), F.coalesce(iso_t, F.lit(0)))
+            .when(text.rlike(SHAPE_DATETIME), F.coalesce(dt, F.lit(0)))
+            .when(text.rlike(SHAPE_DATE), F.coalesce(d, F.lit(0)))
+            .otherwise(F.lit(0)).cast("bigint"))

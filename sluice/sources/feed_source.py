@@ -120,13 +120,16 @@ def feed_items(payloads: DataFrame, payload_col: str = "payload", source_col: st
     """Payload rows -> 13-field items, ordered (source, position)."""
     p = col(payload_col)
     raw = F.when(_is_atom(p), _atom_items(p)).otherwise(_rss_items(p))
+    n = limit_count(limit)
+    if n is not None:
+        # The first n items of each fetched document, cut inside the row
+        # before exploding -- no shuffle, nothing else is materialised
+        raw = F.slice(raw, 1, n) if n > 0 else F.filter(raw, lambda x: F.lit(False))
     src, pos, it = fresh("src"), fresh("pos"), fresh("it")
     keep_cols = [col(c) for c in (keep or [source_col])]
     exploded = payloads.select(*keep_cols, col(source_col).alias(src),
                                F.posexplode_outer(raw).alias(pos, it)).where(col(it).isNotNull())
     feed = Feed(exploded, [OrderKey(src), OrderKey(pos)])
-    if limit is not None:
-        feed = limit_per_source(feed, limit, src)
     i = col(it)
     published_at = parse_feed_date(i["published"])
     updated_at = parse_feed_date(i["updated"])
@@ -150,8 +153,10 @@ def feed_items(payloads: DataFrame, payload_col: str = "payload", source_col: st
 
 
 def limit_per_source(feed: Feed, limit, source: str | None = None) -> Feed:
-    """First n items of every source: ``row_number() <= n`` per source,
-    which plans as a partial ``WindowGroupLimit`` before the shuffle."""
+    """S6 for items already in a table (many feeds, one row per item): the
+    first n of every source: ``row_number() <= n`` per source, planned as a
+    partial ``WindowGroupLimit`` before the shuffle (a huge source costs n
+    rows per input partition)."""
     n = limit_count(limit)
     if n is None:
         return feed

@@ -64,13 +64,18 @@ def _ddl_type(spark, ddl: str) -> T.DataType:
 
 def json_payload_items(payloads: DataFrame, payload_col: str = "payload",
                        items_path: str = "", order_cols: list[str] | None = None,
-                       on_error: str = "fail") -> Feed:
-    """Explode payloads to one VARIANT item per row (``__item``)."""
+                       on_error: str = "fail", limit=None) -> Feed:
+    """Explode payloads to one VARIANT item per row (``__item``); ``limit``
+    keeps the first n items of each payload (cut before exploding)."""
+    from ..operators.limit import limit_count
     parse = F.parse_json if on_error == "fail" else F.try_parse_json
     v = walk_items_path(parse(col(payload_col)), items_path)
     kind = F.schema_of_variant(v)
     as_list = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")) \
         .otherwise(F.array(v))
+    n = limit_count(limit)
+    if n is not None:
+        as_list = F.slice(as_list, 1, n) if n > 0 else F.filter(as_list, lambda x: F.lit(False))
     pos, item = fresh("pos"), "__item"
     order_cols = order_cols if order_cols is not None else \
         [c for c in payloads.columns if c != payload_col][:1]
@@ -125,10 +130,7 @@ def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
 def json_items(payloads: DataFrame, items_path: str = "", schema=None, payload_col: str = "payload",
                order_cols: list[str] | None = None, limit=None, on_error: str = "fail") -> Feed:
     """S7-S10 in one call; ``limit`` applies per payload."""
-    feed = json_payload_items(payloads, payload_col, items_path, order_cols, on_error)
-    if limit is not None:
-        from .feed_source import limit_per_source
-        feed = limit_per_source(feed, limit)
+    feed = json_payload_items(payloads, payload_col, items_path, order_cols, on_error, limit)
     return items_to_columns(feed, schema)
 
 

@@ -59,6 +59,10 @@ def test_feed_summary(spark):
     ("garbage", 0),
     ("2006-02-30", 0),
     ("Foo, 02 Jan 2006 15:04:05 GMT", 0),
+    ("mon, 02 jan 2006 15:04:05 EST", 1136214245),
+    ("02 Jan 70 00:00 +0000", 86400),
+    ("02 Jan 69 00:00 UTC", -31449600),
+    ("Mon, 02 Jan 2006 24:04:05 +0000", 0),
 ])
 def test_date_layouts(spark, text, epoch):
     df = spark.createDataFrame([(text,)], "t string")
