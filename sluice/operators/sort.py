@@ -44,4 +44,4 @@ def sort_items(feed: Feed, field: str = "", order: str = "") -> Feed:
 def rank_column(feed: Feed, name: str = "rank"):
     """``row_number`` over the ordering: only for already-bounded feeds."""
     from pyspark.sql import Window
-    return F.row_number().over(Window.orderBy(*feed.order_columns())).alias(name)
+    return F.row_number().over(Window.orderBy(*feed.order_columns())).cast("bigint").alias(name)

@@ -34,7 +34,7 @@ def recent_runs(runs: DataFrame, limit=DEFAULT_RUNS, pipe_col="pipe_id", started
     position as ``n`` (a per-key ``WindowGroupLimit``)."""
     n = runs_page_size(limit)
     w = Window.partitionBy(pipe_col).orderBy(F.col(started_col).desc(), F.col(tie_col).desc())
-    return runs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+    return runs.withColumn("n", F.row_number().over(w).cast("bigint")).where(F.col("n") <= n)
 
 
 def run_log(logs: DataFrame, run_col="execution_id", ts_col="timestamp", seq_col="seq") -> DataFrame:

@@ -181,4 +181,4 @@ def feed_summary(payloads: DataFrame, payload_col: str = "payload", source_col:
         F.when(atom_q, _atom_link(atom["link"])).otherwise(_text(rss["link"])).alias("link"),
         F.coalesce(F.size(F.when(atom_q, F.transform(atom["entry"], lambda e: e["id"]))
                           .otherwise(F.transform(rss["item"], lambda e: e["title"]))), F.lit(0))
-        .alias("item_count"))
+        .cast("bigint").alias("item_count"))
