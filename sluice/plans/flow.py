@@ -236,7 +236,7 @@ class RunResult:
 def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFrame] | None = None,
              out_dir: str | None = None, versions_table: str | None = None, pipe_id: str = "flow",
              runs_table: str | None = None, trigger: str = "manual", observe_nodes: bool = False,
-             raise_errors: bool = True) -> RunResult:
+             raise_errors: bool = True, logs_table: str | None = None) -> RunResult:
     """Run every node once in dependency order; sinks act."""
     cfg = json.loads(config) if isinstance(config, str) else config
     run_id = str(uuid.uuid4())
@@ -284,6 +284,15 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
                 pass
     res = RunResult(run_id, status, items, results, ctx.sink_counts, ctx.logs, error,
                     int((done - started) * 1000), node_counts)
+    if logs_table:
+        # One line per node count (from observations) plus the nodes' own messages
+        lines = [dict(node_id=k, level="data", message=f"{v} items", timestamp=int(done), seq=0)
+                 for k, v in sorted(node_counts.items())] + ctx.logs
+        rows = [(str(uuid.uuid4()), run_id, ln["node_id"], ln["level"], ln["message"], ln["timestamp"], i)
+                for i, ln in enumerate(lines)]
+        if rows:
+            from .history import LOG_SCHEMA
+            spark.createDataFrame(rows, LOG_SCHEMA).write.mode("append").parquet(logs_table)
     if runs_table:
         row = [(run_id, pipe_id, status, trigger, int(started), int(done), res.duration_ms, items, error)]
         from .history import RUN_SCHEMA

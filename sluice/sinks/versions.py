@@ -54,3 +54,29 @@ def pipes_to_run(pipes: DataFrame, latest: DataFrame, fmt: str = "json",
     """O7 "run if absent": public pipes without an output in ``fmt``."""
     return pipes.where(F.col("is_public")).select(pipe_key) \
         .join(latest.where(F.col("format") == fmt), pipe_key, "left_anti")
+
+
+def read_published(spark: SparkSession, versions_path: str, pipes: DataFrame, pipe_id: str,
+                   fmt: str = "json", run_if_absent=None):
+    """O7 for one request: the latest content of a public pipe in ``fmt``
+    (``(content, content_type)`` or None). When there is none yet and
+    ``run_if_absent`` is given, it is called once (e.g. ``run_flow`` with a
+    versions table) and the lookup repeated. The filters on pipe and format
+    reach the Parquet scan; one document comes back to the caller."""
+    def lookup():
+        try:
+            versions = spark.read.parquet(versions_path)
+        except Exception:  # noqa: BLE001 - no version written yet
+            return None
+        mine = versions.where((F.col("pipe_id") == pipe_id) & (F.col("format") == fmt))
+        pub = pipes.where(F.col("pipe_id") == pipe_id)
+        row = published_outputs(pub, latest_versions(mine), fmt).select("content", "content_type").first()
+        return None if row is None else (row["content"], row["content_type"])
+
+    if pipes.where((F.col("pipe_id") == pipe_id) & F.col("is_public")).isEmpty():
+        return None  # unknown or private pipe: nothing is served, nothing runs
+    found = lookup()
+    if found is None and run_if_absent is not None:
+        run_if_absent()
+        found = lookup()
+    return found

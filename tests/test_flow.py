@@ -60,3 +60,21 @@ def test_node_without_input_yields_nothing(spark):
     cfg = _cfg([{"id": "f", "type": "filter", "config": {"field": "a", "operator": "equals", "value": "x"}}], [])
     res = run_flow(spark, cfg, {})
     assert res.outputs["f"] is None and res.items_processed == 0
+
+
+def test_run_logs_and_history(spark, scratch):
+    from sluice.plans.history import recent_runs, run_log
+    src = spark.createDataFrame([(i, i % 2) for i in range(10)], "i int, v int")
+    cfg = _cfg([
+        {"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}},
+        {"id": "f", "type": "filter", "config": {"field": "v", "operator": "equals", "value": "1"}},
+        {"id": "j", "type": "json-output", "config": {}},
+    ], [("s", "f"), ("f", "j")])
+    runs, logs = os.path.join(scratch, "runs"), os.path.join(scratch, "logs")
+    for _ in range(2):
+        run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"), runs_table=runs,
+                 logs_table=logs, observe_nodes=True, pipe_id="p1")
+    lines = spark.read.parquet(logs)
+    assert {r["message"] for r in lines.where("node_id = 'f'").collect()} == {"5 items"}
+    assert run_log(lines).where("line = 1").count() == 2
+    assert recent_runs(spark.read.parquet(runs), 1).count() == 1
