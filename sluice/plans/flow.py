@@ -150,9 +150,11 @@ def _json_output(inputs, cfg, ctx):
     if ctx.out_dir:
         n = write_json_lines(f, f"{ctx.out_dir}/{ctx.node_id}")
     else:
-        docs = json_envelope(f, int(cfg.get("bound", 10_000)))
+        # one bounded document, computed once for saving and counting
+        docs = json_envelope(f, int(cfg.get("bound", 10_000))).persist()
         saved = _save(ctx, "json", docs, JSON_CONTENT_TYPE)
         n = docs.select("count").first()[0] if saved else 0
+        docs.unpersist()
     ctx.sink_counts[ctx.node_id] = n
     return f
 
@@ -163,11 +165,17 @@ def _rss_output(inputs, cfg, ctx):
         ctx.log("info", "No input data")
         return None
     docs = rss_document(f, cfg.get("title", "") or "", cfg.get("description", "") or "",
-                        cfg.get("link", "") or "", int(cfg.get("bound", 10_000)))
+                        cfg.get("link", "") or "", int(cfg.get("bound", 10_000))).persist()
+    first = docs.select("count").first()
+    if first is None:
+        ctx.log("info", "No input data")   # nothing written, earlier output stays
+        docs.unpersist()
+        return f
     if ctx.out_dir:
         docs.select("document").write.mode("overwrite").text(f"{ctx.out_dir}/{ctx.node_id}")
     _save(ctx, "rss", docs, RSS_CONTENT_TYPE)
-    ctx.sink_counts[ctx.node_id] = f.df.count()
+    ctx.sink_counts[ctx.node_id] = int(first[0])
+    docs.unpersist()
     return f
 
 

@@ -78,3 +78,18 @@ def test_run_logs_and_history(spark, scratch):
     assert {r["message"] for r in lines.where("node_id = 'f'").collect()} == {"5 items"}
     assert run_log(lines).where("line = 1").count() == 2
     assert recent_runs(spark.read.parquet(runs), 1).count() == 1
+
+
+def test_rss_output_node(spark, scratch):
+    src = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "i int, title string")
+    cfg = _cfg([
+        {"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}},
+        {"id": "r", "type": "rss-output", "config": {"title": "T"}},
+        {"id": "w", "type": "webhook-output", "config": {"url": "file://" + os.path.join(scratch, "hook"),
+                                                         "batch_size": 2}},
+    ], [("s", "r"), ("s", "w")])
+    res = run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"))
+    assert res.sink_counts == {"r": 5, "w": 5} and res.items_processed == 10
+    doc = spark.read.text(os.path.join(scratch, "out", "r"), wholetext=True).first()["value"]
+    assert doc.count("<item>") == 5 and "<title>T</title>" in doc
+    assert len(os.listdir(os.path.join(scratch, "hook"))) == 3
