@@ -90,9 +90,12 @@ def json_payload_items(payloads: DataFrame, payload_col: str = "payload",
     return Feed(df, src_keys + [OrderKey(pos)])
 
 
-def infer_item_schema(feed: Feed, item: str = "__item") -> T.StructType:
-    """One aggregation pass: the merged schema of all object items."""
-    row = feed.df.where(F.schema_of_variant(col(item)).startswith("OBJECT")) \
+def infer_item_schema(feed: Feed, item: str = "__item", sample_fraction: float | None = None) -> T.StructType:
+    """One aggregation pass (partial per task, merged once): the merged
+    schema of the object items -- of a sample when ``sample_fraction`` is
+    given (fields seen only outside the sample are then not columns)."""
+    df = feed.df if not sample_fraction else feed.df.sample(fraction=sample_fraction, seed=17)
+    row = df.where(F.schema_of_variant(col(item)).startswith("OBJECT")) \
         .agg(F.schema_of_variant_agg(col(item)).alias("s")).first()
     ddl = row["s"] if row and row["s"] else "OBJECT<>"
     if not ddl.startswith("OBJECT<") or ddl == "OBJECT<>":
@@ -104,10 +107,11 @@ def infer_item_schema(feed: Feed, item: str = "__item") -> T.StructType:
 
 
 def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
-                     item: str = "__item", keep: list[str] | None = None) -> Feed:
+                     item: str = "__item", keep: list[str] | None = None,
+                     infer_fraction: float | None = None) -> Feed:
     """Project VARIANT items to typed columns + ``__obj`` / ``__value``."""
     if schema is None:
-        schema = infer_item_schema(feed, item)
+        schema = infer_item_schema(feed, item, infer_fraction)
     elif isinstance(schema, str):
         schema = _ddl_type(feed.df.sparkSession, "struct<" + schema + ">")
     v = col(item)
@@ -128,10 +132,13 @@ def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
 
 
 def json_items(payloads: DataFrame, items_path: str = "", schema=None, payload_col: str = "payload",
-               order_cols: list[str] | None = None, limit=None, on_error: str = "fail") -> Feed:
-    """S7-S10 in one call; ``limit`` applies per payload."""
+               order_cols: list[str] | None = None, limit=None, on_error: str = "fail",
+               infer_fraction: float | None = None) -> Feed:
+    """S7-S10 in one call; ``limit`` applies per payload (S6). Without a
+    declared ``schema`` one inference pass runs (over a sample when
+    ``infer_fraction`` is given)."""
     feed = json_payload_items(payloads, payload_col, items_path, order_cols, on_error, limit)
-    return items_to_columns(feed, schema)
+    return items_to_columns(feed, schema, infer_fraction=infer_fraction)
 
 
 def to_payload(items: DataFrame, group_cols: list[str], order_col: str, items_path: str = "data.items",

@@ -43,7 +43,9 @@ def test_entry_and_oracle_keys(spark):
     assert missing == set()
 
 
-@pytest.mark.parametrize("name", ["merge_dedupe", "sort_text_nulls", "run_log"])
+@pytest.mark.parametrize("name", ["merge_dedupe", "sort_text_nulls", "run_log", "webhook_batches",
+                                  "dedupe_text_copies", "latest_output", "recent_runs",
+                                  "limit_per_source_table", "merge_dedupe_sorted_top", "feed_summary"])
 def test_same_result_at_other_partitionings(spark, name):
     fn = entry.queries()[name]
     def rows():
