@@ -217,3 +217,21 @@ def sort_key(x: Column, dtype: T.DataType) -> tuple[Column, bool]:
     if isinstance(dtype, T.StringType):
         return F.coalesce(x, F.lit(NIL_TEXT)), False
     return canonical_text(x, dtype), False
+
+
+VARIANT_NUMBER_KINDS = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
+
+
+def sort_keys(x: Column, dtype: T.DataType) -> list[tuple[Column, bool]]:
+    """Sort keys, most significant first, as (key, numeric?) pairs.
+
+    A mixed-type (VARIANT) field gets a total order: numbers (compared as
+    numbers) before texts (compared by bytes), i.e. keys (is_text, number,
+    text). The item model compares a number with a text by their texts,
+    which is not transitive; this is the declared total order instead."""
+    if not isinstance(dtype, T.VariantType):
+        return [sort_key(x, dtype)]
+    is_num = F.coalesce(F.schema_of_variant(x).rlike(VARIANT_NUMBER_KINDS), F.lit(False))
+    return [(F.when(is_num, F.lit(0)).otherwise(F.lit(1)), True),
+            (F.when(is_num, F.try_variant_get(x, "$", "double")), True),
+            (F.when(~is_num, canonical_text(x, dtype)), False)]

@@ -15,17 +15,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..feed import OBJ, Feed, OrderKey, fresh
-from ..functions.values import resolve_path, sort_key
+from ..functions.values import resolve_path, sort_keys
 
 
 def sort_by(feed: Feed, field: str, descending: bool) -> Feed:
     x, dtype = resolve_path(feed.df.schema, field)
-    key, numeric = sort_key(x, dtype)
-    name = fresh("sort")
-    # numeric nil: text '<nil>' sorts above numbers -> last asc, first desc
-    nulls_first = numeric and descending
-    df = feed.df.withColumn(name, key)
-    keys = [OrderKey(name, descending, nulls_first)]
+    cols, keys = {}, []
+    for key, numeric in sort_keys(x, dtype):
+        name = fresh("sort")
+        cols[name] = key
+        # numeric nil: text '<nil>' sorts above numbers -> last asc, first desc
+        keys.append(OrderKey(name, descending, numeric and descending))
+    df = feed.df.withColumns(cols)
     if feed.has_non_objects:
         keys = [OrderKey(OBJ, True, False)] + keys
     return feed.with_df(df, keys + list(feed.ordering))

@@ -46,8 +46,12 @@ def walk_items_path(v: Column, items_path: str) -> Column:
 
 
 def _numbers_to_double(dtype: T.DataType) -> T.DataType:
+    """JSON numbers are doubles in the item model; a field seen only as
+    null (VOID) becomes a string column that is always NULL."""
     if isinstance(dtype, (T.DecimalType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.FloatType)):
         return T.DoubleType()
+    if isinstance(dtype, T.NullType):
+        return T.StringType()
     if isinstance(dtype, T.StructType):
         return T.StructType([T.StructField(f.name, _numbers_to_double(f.dataType), True) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):

@@ -103,3 +103,13 @@ def test_json_bad_payload(spark):
         json_items(p, schema="a double").df.collect()
     rows = json_items(p, schema="a double", on_error="null").df.collect()
     assert len(rows) == 1 and rows[0]["__obj"] is False
+
+
+def test_mixed_type_field_sorts_numbers_then_text(spark):
+    from sluice.operators.sort import sort_items
+    doc = '[{"id":1,"m":10},{"id":2,"m":"b"},{"id":3,"m":2.5},{"id":4},{"id":5,"m":"a"}]'
+    f = json_items(_payloads(spark, [doc]))
+    asc = [r["id"] for r in sort_items(f, "m", "asc").ordered().collect()]
+    assert asc == [3.0, 1.0, 4.0, 5.0, 2.0]       # 2.5, 10, then '<nil>', 'a', 'b' by bytes
+    desc = [r["id"] for r in sort_items(f, "m", "desc").ordered().collect()]
+    assert desc == [2.0, 5.0, 4.0, 1.0, 3.0]
