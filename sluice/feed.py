@@ -115,6 +115,3 @@ class Feed:
             keys.append(OrderKey(h, descending))
         return Feed(df.withColumns(cols), keys)
 
-
-def empty_like(feed: Feed) -> Feed:
-    return Feed(feed.df.limit(0), list(feed.ordering))

@@ -109,17 +109,6 @@ def float_text(x: Column) -> Column:
             .otherwise(plain))
 
 
-def _substr(s: Column, pos, length) -> Column:
-    pos = pos if isinstance(pos, Column) else F.lit(pos)
-    length = length if isinstance(length, Column) else F.lit(length)
-    return s.substr(pos, length)
-
-
-def _substr_from(s: Column, pos) -> Column:
-    pos = pos if isinstance(pos, Column) else F.lit(pos)
-    return s.substr(pos, F.lit(1 << 30))
-
-
 def number_text(x: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, INTEGRAL_TYPES):
         return x.cast("string")

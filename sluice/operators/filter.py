@@ -21,10 +21,8 @@ from pyspark.sql import types as T
 
 from ..feed import Feed
 from ..functions.regex import RegexError, compile_re2
-from ..functions.values import (INTEGRAL_TYPES, NIL_TEXT, canonical_text, is_numeric,
-                                resolve_path)
+from ..functions.values import INTEGRAL_TYPES, NIL_TEXT, canonical_text, resolve_path
 
-OPERATORS = ("contains", "equals", "not-equals", "regex")
 _INT_TEXT = re.compile(r"-?(0|[1-9][0-9]*)")
 
 
@@ -129,6 +127,3 @@ def filter_items(feed: Feed, field: str = "", operator: str = "", value: str = "
         cond = feed.is_object() & cond
     return feed.with_df(feed.df.where(cond))
 
-
-def is_numeric_field(feed: Feed, field: str) -> bool:
-    return is_numeric(resolve_path(feed.df.schema, field)[1])

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ordered_values
 from sluice.functions.text import parse_feed_date
 from sluice.sources.feed_source import feed_items, feed_summary
 from sluice.sources.json_source import json_items
