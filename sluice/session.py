@@ -40,23 +40,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext handle
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The cluster names it in ``spark.checkpoint.dir``; we only pick our own
     (a fresh scratch folder) when the setting is absent, as in local tests.
     """
+    sc = _context(spark)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    sc_dir = sc.getCheckpointDir() if sc is not None else None
     if conf_dir:
-        if not sc_dir:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc is not None and not sc_dir:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
     if sc_dir:
         spark.conf.set("spark.checkpoint.dir", sc_dir)
         return sc_dir
     local = tempfile.mkdtemp(prefix="sluice-ckpt-", dir=os.environ.get("SLUICE_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
