@@ -67,10 +67,21 @@ def regex_replace(feed: Feed, field: str = "", pattern: str = "", replacement: s
         return feed
     t = compile_re2(pattern, spark)  # raises RegexError
     x, dtype = resolve_flat(feed.df.schema, field)
-    if not isinstance(dtype, T.StringType):
-        return feed
     repl = translate_replacement(replacement, t)
-    return feed.with_df(feed.df.withColumn(field, F.regexp_replace(x, t.pattern, repl)))
+    return _on_strings(feed, field, x, dtype, lambda s: F.regexp_replace(s, t.pattern, repl))
+
+
+def _on_strings(feed: Feed, field: str, x, dtype, fn) -> Feed:
+    """Apply ``fn`` to the field's value where it is a string: a string
+    column as a whole, a mixed-type (VARIANT) column per value; any other
+    type is left alone."""
+    if isinstance(dtype, T.StringType):
+        return feed.with_df(feed.df.withColumn(field, fn(x)))
+    if isinstance(dtype, T.VariantType):
+        text = F.try_variant_get(x, "$", "string")
+        new = F.when(F.schema_of_variant(x) == "STRING", fn(text).cast("variant")).otherwise(x)
+        return feed.with_df(feed.df.withColumn(field, new))
+    return feed
 
 
 def truncate(feed: Feed, field: str = "", max_length=DEFAULT_MAX_LENGTH,
@@ -83,6 +94,4 @@ def truncate(feed: Feed, field: str = "", max_length=DEFAULT_MAX_LENGTH,
     if not field:
         return feed
     x, dtype = resolve_flat(feed.df.schema, field)
-    if not isinstance(dtype, T.StringType):
-        return feed
-    return feed.with_df(feed.df.withColumn(field, truncate_text(x, int(max_length), suffix)))
+    return _on_strings(feed, field, x, dtype, lambda s: truncate_text(s, int(max_length), suffix))

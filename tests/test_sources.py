@@ -112,3 +112,15 @@ def test_mixed_type_field_sorts_numbers_then_text(spark):
     assert asc == [3.0, 1.0, 4.0, 5.0, 2.0]       # 2.5, 10, then '<nil>', 'a', 'b' by bytes
     desc = [r["id"] for r in sort_items(f, "m", "desc").ordered().collect()]
     assert desc == [2.0, 5.0, 4.0, 1.0, 3.0]
+
+
+def test_regex_and_truncate_touch_only_string_values(spark):
+    from sluice.operators.fields import regex_replace, truncate
+    doc = '[{"id":1,"m":"hello world"},{"id":2,"m":7},{"id":3,"m":"<b>bold</b> text here"}]'
+    f = json_items(_payloads(spark, [doc]))
+    r = regex_replace(f, "m", "o", "0", spark)
+    got = [x["m"] for x in r.ordered().selectExpr("to_json(m) as m").collect()]
+    assert got == ['"hell0 w0rld"', "7", '"<b>b0ld</b> text here"']
+    t = truncate(f, "m", 9)
+    got = [x["m"] for x in t.ordered().selectExpr("to_json(m) as m").collect()]
+    assert got == ['"hello..."', "7", '"bold text..."']
