@@ -205,6 +205,24 @@ def _char_class(p: str, i: int) -> tuple[str, int]:
         j += 1
 
 
+def _is_word_literal(ch: str) -> bool:
+    return ch.isascii() and (ch.isalnum() or ch == "_")
+
+
+def _one_sided_boundary(p: str, start: int, end: int, word: bool, out: list[str]) -> str | None:
+    """``\\b`` next to a literal ASCII word character needs only one look-around
+    (the literal side is known to be a word character); Java evaluates that
+    about twice as fast as the two-sided form. None when it does not apply."""
+    nxt = p[end] if end < len(p) else ""
+    after = p[end + 1] if end + 1 < len(p) else ""
+    if _is_word_literal(nxt) and after not in ("?", "*", "{"):
+        return "(?<!\\w)" if word else "(?<=\\w)"
+    prev = out[-1] if out else ""
+    if len(prev) == 1 and _is_word_literal(prev) and start > 0 and p[start - 1] == prev:
+        return "(?!\\w)" if word else "(?=\\w)"
+    return None
+
+
 def translate_pattern(p: str) -> Translated:
     out: list[str] = ["(?d)"]
     names: dict[str, int] = {}
@@ -220,7 +238,10 @@ def translate_pattern(p: str) -> Translated:
     while i < n:
         ch = p[i]
         if ch == "\\":
+            start = i
             lit, i = _escape(p, i, in_class=False)
+            if lit in (WORD_BOUNDARY, NOT_WORD_BOUNDARY):
+                lit = _one_sided_boundary(p, start, i, lit == WORD_BOUNDARY, out) or lit
             out.append(lit)
             last = "atom"
             continue

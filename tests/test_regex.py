@@ -13,7 +13,8 @@ def test_rejected_like_re2(pattern):
 def test_translation_rules():
     assert translate_pattern("c$").pattern == "(?d)c\\z"
     assert translate_pattern("(?m)c$").pattern.endswith("c$")
-    assert "(?<=\\w)" in translate_pattern("\\bx").pattern
+    assert translate_pattern("\\bx").pattern == "(?d)(?<!\\w)x"          # one-sided next to a literal
+    assert "(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w)" in translate_pattern("\\b\\w").pattern
     assert translate_pattern("\\s").pattern == "(?d)[\\t\\n\\f\\r ]"
     assert translate_pattern("a{,3}").pattern == "(?d)a\\{,3\\}"
     assert translate_pattern("[[:alpha:]]").pattern == "(?d)[\\p{Alpha}]"
@@ -62,3 +63,17 @@ def test_regex_leaves_numbers(spark):
     from sluice.operators.fields import regex_replace
     f = Feed.from_table(spark.createDataFrame([(1, 5)], "i int, t int"), "i")
     assert regex_replace(f, "t", "5", "6", spark).df.first()["t"] == 5
+
+
+@pytest.mark.parametrize("text,pattern,expected", [
+    ("éth th xth", r"\bth", "éX X xth"),
+    ("ing thing ing_", r"ing\b", "X thX ing_"),
+    ("ab b", r"\Bb", "aX b"),
+    ("ab ba", r"b\B", "ab Xa"),
+    ("x y", r"\bx?y", "x X"),
+])
+def test_one_sided_boundaries_keep_re2_semantics(spark, text, pattern, expected):
+    from sluice.feed import Feed
+    from sluice.operators.fields import regex_replace
+    f = Feed.from_table(spark.createDataFrame([(1, text)], "i int, t string"), "i")
+    assert regex_replace(f, "t", pattern, "X", spark).df.first()["t"] == expected
