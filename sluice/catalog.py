@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .feed import Feed
-from .functions.text import UNICODE_SPACE_CLASS, epoch_to_rfc1123z, parse_feed_date, strip_html
+from .functions.text import (UNICODE_SPACE_CLASS, epoch_to_rfc1123z, parse_feed_date, strip_html,
+                             utc_ntz_to_epoch)
 from .operators.fields import map_fields, regex_replace, truncate
 from .operators.filter import filter_items
 from .operators.limit import limit_items
@@ -60,9 +61,9 @@ SQL_RTRIM = "regexp_replace(@X@, '" + SQL_WS + "+$', '', 'g')"
 
 
 def sql_truncate(table_sql: str, key: str, field: str, n: int, suffix: str = "...") -> str:
-    # ``key``: the columns carried through, as a comma-separated list
     """Byte-budget truncation in DuckDB: longest character prefix within n
-    bytes, dangling bytes of a cut character as U+FFFD each."""
+    bytes, dangling bytes of a cut character as U+FFFD each. ``key``: the
+    columns carried through, as a comma-separated list."""
     strip = SQL_STRIP.replace("@X@", field)
     head = "left(whole, length(whole) - length(after) - 1)"
     return f"""
@@ -514,7 +515,8 @@ select event_id, case when event_id % 5 = 4 then (cast(floor(epoch(ts)) as bigin
                       else cast(floor(epoch(ts)) as bigint) end as published_at
 from events""")
 def q_feed_dates(spark, sf):
-    ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    # ts is TIMESTAMP_NTZ (UTC wall clock): formatting it needs no time zone
+    ev = table(spark, sf, "events").select("event_id", "ts")
     k = F.pmod(F.col("event_id"), F.lit(DATE_LAYOUTS))
     shifted = F.col("ts") - F.expr("INTERVAL 7 HOURS")
     text = (F.when(k == 0, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
@@ -531,8 +533,7 @@ select event_id, strftime(make_timestamp(cast(floor(epoch(ts)) as bigint) * 1000
 from events""")
 def q_rss_render_dates(spark, sf):
     ev = table(spark, sf, "events")
-    return ev.select("event_id", epoch_to_rfc1123z(F.unix_seconds(F.col("ts").cast("timestamp")))
-                     .alias("pub_date"))
+    return ev.select("event_id", epoch_to_rfc1123z(utc_ntz_to_epoch(F.col("ts"))).alias("pub_date"))
 
 
 def _sql_xml(x: str) -> str:

@@ -83,15 +83,25 @@ def truncate_text(c: Column, max_length: int = DEFAULT_MAX_LENGTH,
 # dates
 # ---------------------------------------------------------------------------
 
-def epoch_to_rfc1123z(seconds: Column) -> Column:
-    """Epoch seconds -> ``Mon, 02 Jan 2006 15:04:05 +0000`` (UTC).
+def _utc_wall_clock(instant: Column) -> Column:
+    """A TIMESTAMP instant as its UTC wall-clock time (TIMESTAMP_NTZ),
+    whatever the session time zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
-    Rendered in the session time zone, which ``get_session`` pins to UTC.
-    """
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), "EEE, dd MMM yyyy HH:mm:ss"),
+
+def epoch_to_rfc1123z(seconds: Column) -> Column:
+    """Epoch seconds -> ``Mon, 02 Jan 2006 15:04:05 +0000`` (UTC, independent
+    of the session time zone)."""
+    return F.concat(F.date_format(_utc_wall_clock(F.timestamp_seconds(seconds)), "EEE, dd MMM yyyy HH:mm:ss"),
                     F.lit(" +0000"))
 
 
+def utc_ntz_to_epoch(ts_ntz: Column) -> Column:
+    """A TIMESTAMP_NTZ read as UTC wall-clock time -> epoch seconds,
+    independent of the session time zone."""
+    return F.unix_seconds(F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts_ntz).cast("timestamp"))
+
+
 # The date layouts tried in order after the feed parser's own
 # (Go reference layouts): RFC1123Z "Mon, 02 Jan 2006 15:04:05 -0700",
 # RFC1123 "Mon, 02 Jan 2006 15:04:05 MST", RFC3339

@@ -124,3 +124,15 @@ def test_regex_and_truncate_touch_only_string_values(spark):
     t = truncate(f, "m", 9)
     got = [x["m"] for x in t.ordered().selectExpr("to_json(m) as m").collect()]
     assert got == ['"hello..."', "7", '"bold text..."']
+
+
+def test_dates_do_not_depend_on_session_time_zone(spark):
+    from sluice.functions.text import epoch_to_rfc1123z
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        df = spark.createDataFrame([("Mon, 02 Jan 2006 15:04:05 -0700", 1136214245)], "t string, e bigint")
+        r = df.select(parse_feed_date(F.col("t")).alias("p"), epoch_to_rfc1123z(F.col("e")).alias("r")).first()
+        assert r["p"] == 1136239445 and r["r"] == "Mon, 02 Jan 2006 15:04:05 +0000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
