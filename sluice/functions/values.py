@@ -189,6 +189,32 @@ def canonical_text(x: Column, dtype: T.DataType) -> Column:
     return F.coalesce(_inner_text(x, dtype), F.lit(NIL_TEXT))
 
 
+# The two characters whose lower case differs between a
+# per-character simple mapping (the item model) and full case mapping
+# (Java, Python): capital I with dot above (full mapping adds U+0307), and
+# capital sigma (full mapping gives final sigma at the end of a word).
+# Each fix lists the characters a needle must contain for it to matter.
+SIMPLE_LOWER_FIXES = {"\u0130": ("i", "i\u0307"), "\u03a3": ("\u03c3", "\u03c3\u03c2")}
+
+
+def simple_lower(c: Column, needle: str | None = None) -> Column:
+    """Lower case character by character (no expansions, no context).
+
+    With ``needle`` (a literal searched for in the result), only the fixes
+    whose characters occur in the lowered needle are applied: elsewhere a
+    match cannot overlap a character the two mappings disagree on, so plain
+    ``lower`` gives the same answer at full speed."""
+    low = simple_lower_text(needle) if needle is not None else None
+    for src, (dst, relevant) in SIMPLE_LOWER_FIXES.items():
+        if low is None or any(ch in low for ch in relevant):
+            c = F.replace(c, F.lit(src), F.lit(dst))
+    return F.lower(c)
+
+
+def simple_lower_text(s: str) -> str:
+    return "".join(SIMPLE_LOWER_FIXES[ch][0] if ch in SIMPLE_LOWER_FIXES else ch for ch in s).lower()
+
+
 # ---------------------------------------------------------------------------
 # sort keys
 # ---------------------------------------------------------------------------

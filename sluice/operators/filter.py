@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..feed import Feed
 from ..functions.regex import RegexError, compile_re2
-from ..functions.values import INTEGRAL_TYPES, NIL_TEXT, canonical_text, resolve_path
+from ..functions.values import (INTEGRAL_TYPES, NIL_TEXT, canonical_text, resolve_path, simple_lower,
+                                simple_lower_text)
 
 _INT_TEXT = re.compile(r"-?(0|[1-9][0-9]*)")
 
@@ -102,7 +103,7 @@ def predicate(feed: Feed, field: str, operator: str, value: str, spark=None) ->
         if value == "":
             cond = F.lit(True)
         else:
-            cond = F.lower(canonical_text(x, dtype)).contains(F.lit(value.lower()))
+            cond = simple_lower(canonical_text(x, dtype), value).contains(F.lit(simple_lower_text(value)))
     elif operator == "equals":
         cond = _equals(x, dtype, value)
     elif operator == "not-equals":

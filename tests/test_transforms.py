@@ -179,3 +179,17 @@ def test_map_nil_source_keeps_existing(spark):
 def test_map_empty_mappings_pass(spark):
     f = feed_of(spark, [(1, 1)], "i int, a int")
     assert map_fields(f, "", False) is f
+
+
+def test_contains_lowercases_per_character(spark):
+    f = feed_of(spark, [(1, "İSTANBUL"), (2, "ΟΔΟΣ"), (3, "odos")], "i int, a string")
+    assert ids(filter_items(f, "a", "contains", "istanbul")) == [1]
+    assert ids(filter_items(f, "a", "contains", "οδοσ")) == [2]
+    assert ids(filter_items(f, "a", "contains", "ΟΔΟΣ")) == [2]
+
+
+def test_contains_fix_only_when_needle_needs_it(spark):
+    f = feed_of(spark, [(1, "İXΣ"), (2, "ix")], "i int, a string")
+    assert ids(filter_items(f, "a", "contains", "x")) == [1, 2]      # plain lower suffices
+    assert ids(filter_items(f, "a", "contains", "ix")) == [1, 2]
+    assert ids(filter_items(f, "a", "contains", "xσ")) == [1]
