@@ -136,3 +136,15 @@ def test_dates_do_not_depend_on_session_time_zone(spark):
         assert r["p"] == 1136239445 and r["r"] == "Mon, 02 Jan 2006 15:04:05 +0000"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_landed_document_files(spark, tmp_path):
+    from sluice.sources.files import landed_documents
+    (tmp_path / "a.xml").write_text(RSS)
+    (tmp_path / "b.xml").write_text(ATOM)
+    (tmp_path / "c.json").write_text('{"data":{"items":[{"id":1},{"id":2}]}}')
+    docs = landed_documents(spark, str(tmp_path / "*.xml"))
+    titles = sorted(r["title"] for r in feed_items(docs).df.collect())
+    assert titles == ["", "A & B", "E1"]
+    js = json_items(landed_documents(spark, str(tmp_path / "*.json")), "data.items")
+    assert sorted(r["id"] for r in js.df.collect()) == [1.0, 2.0]
