@@ -568,8 +568,15 @@ def q_rss_items(spark, sf):
 
 @query("json_envelope", """
 select count(*) as count,
-       '{"count":' || count(*) || ',"items":[' || string_agg(j, ',' order by rank) || ']}' as document
-from (select to_json(struct_pack(id := o_orderkey, price := o_totalprice, status := o_orderstatus))::varchar as j,
+       '{' || chr(10) || '  "count": ' || count(*) || ',' || chr(10) || '  "items": [' || chr(10)
+       || string_agg('    {' || chr(10)
+                     || '      "id": ' || o_orderkey || ',' || chr(10)
+                     || '      "price": ' || regexp_replace(cast(o_totalprice as varchar), '\\.0$', '')
+                     || ',' || chr(10)
+                     || '      "status": "' || o_orderstatus || '"' || chr(10) || '    }',
+                     ',' || chr(10) order by rank)
+       || chr(10) || '  ]' || chr(10) || '}' as document
+from (select o_orderkey, o_totalprice, o_orderstatus,
              row_number() over (order by o_totalprice desc, o_orderkey) as rank
       from orders qualify rank <= 20)""")
 def q_json_envelope(spark, sf):

@@ -23,8 +23,10 @@ from ..functions.text import epoch_to_rfc1123z
 from ..functions.values import INTEGRAL_TYPES, resolve_flat
 from ..operators.limit import limit_items
 from ..plans.rank import global_rank
+from .gojson import render
 
 DEFAULT_DOCUMENT_BOUND = 10_000
+ENVELOPE_INDENT = "  "
 # Channel defaults of the RSS output (title and description
 # are our own wording; the link is the reference's default).
 RSS_DEFAULT_TITLE = "Feed"
@@ -39,10 +41,13 @@ RSS_CONTENT_TYPE = "application/rss+xml"
 # JSON
 # ---------------------------------------------------------------------------
 
-def item_json(feed: Feed) -> Column:
-    """One item as JSON text: objects as their visible fields (NULLs left
-    out), non-objects as their scalar value."""
-    obj = F.to_json(F.struct(*[col(c) for c in feed.item_columns]))
+def item_json(feed: Feed, indent: str | None = None, level: int = 0) -> Column:
+    """One item as JSON text in the reference's spelling (``gojson``):
+    objects as their visible fields, keys sorted, NULLs left out;
+    non-objects as their scalar value. ``indent``/``level`` place it inside
+    an indented document."""
+    fields = [f for f in feed.df.schema.fields if f.name in set(feed.item_columns)]
+    obj = render(F.struct(*[col(f.name) for f in fields]), T.StructType(fields), indent, level)
     if feed.has_non_objects:
         return F.when(feed.is_object(), obj).otherwise(
             F.coalesce(F.to_json(col(VALUE)), F.lit("null")))
@@ -73,14 +78,18 @@ def json_envelope(feed: Feed, limit: int = DEFAULT_DOCUMENT_BOUND) -> DataFrame:
     if not limit or limit <= 0:
         raise ValueError("json_envelope needs a positive bound")
     df, rk = _bounded_ranked(feed, limit)
-    j = item_json(Feed(df, feed.ordering))
+    # the saved document is indented by two spaces; items sit at depth 2
+    j = item_json(Feed(df, feed.ordering), ENVELOPE_INDENT, 2)
     packed = df.select(F.struct(col(rk).alias("r"), j.alias("j")).alias("e"))
     agg = packed.agg(F.count(F.lit(1)).alias("count"),
                      F.array_sort(F.collect_list("e")).alias("es"))
+    ind = ENVELOPE_INDENT
     return agg.where(col("count") > 0).select(
         col("count"),
-        F.concat(F.lit('{"count":'), col("count").cast("string"), F.lit(',"items":['),
-                 F.array_join(F.transform(col("es"), lambda e: e["j"]), ","), F.lit("]}")).alias("document"))
+        F.concat(F.lit("{\n" + ind + '"count": '), col("count").cast("string"),
+                 F.lit(",\n" + ind + '"items": [\n' + ind * 2),
+                 F.array_join(F.transform(col("es"), lambda e: e["j"]), ",\n" + ind * 2),
+                 F.lit("\n" + ind + "]\n}")).alias("document"))
 
 
 # ---------------------------------------------------------------------------

@@ -15,6 +15,7 @@ def test_json_envelope_order_and_count(spark):
     row = json_envelope(f, 2).first()
     doc = json.loads(row["document"])
     assert doc == {"count": 2, "items": [{"i": 1, "v": "a"}, {"i": 2, "v": "b"}]}
+    assert row["document"] == json.dumps(doc, indent=2)   # two-space indentation, sorted keys
 
 
 def test_json_envelope_empty(spark):
