@@ -138,6 +138,11 @@ def rss_item_fields(feed: Feed) -> dict[str, Column]:
     cats, cats_t = resolve_flat(schema, "categories")
     if isinstance(cats_t, T.ArrayType) and isinstance(cats_t.elementType, T.StringType):
         categories = F.coalesce(F.filter(cats, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    elif isinstance(cats_t, T.ArrayType) and isinstance(cats_t.elementType, T.VariantType):
+        # a mixed JSON list: only its text members become categories
+        texts = F.transform(F.filter(cats, lambda v: F.schema_of_variant(v) == "STRING"),
+                            lambda v: F.try_variant_get(v, "$", "string"))
+        categories = F.coalesce(texts, F.array().cast("array<string>"))
     else:
         categories = F.array().cast("array<string>")
     return {

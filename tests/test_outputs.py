@@ -91,3 +91,12 @@ def test_read_published_runs_once_when_absent(spark, scratch):
     assert json.loads(content)["count"] == 2 and ctype == "application/json" and calls == [1]
     assert read_published(spark, table, pipes, "p1", "json", run)[0] == content and calls == [1]
     assert read_published(spark, table, pipes, "p2", "json", run) is None and calls == [1]  # private
+
+
+def test_rss_categories_keep_text_members_of_mixed_lists(spark):
+    from sluice.sources.json_source import json_items
+    doc = '[{"title":"t","categories":["a",1,"b",null,{"x":1}]}]'
+    f = json_items(spark.createDataFrame([(0, doc)], "src int, payload string"))
+    out = rss_document(f).first()["document"]
+    assert "<category>a</category>" in out and "<category>b</category>" in out
+    assert out.count("<category>") == 2
