@@ -252,6 +252,7 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
     ctx = Context(spark, dict(sources or {}), out_dir, versions_table, pipe_id)
     results: dict[str, Feed | None] = {}
     observations: dict[str, Observation] = {}
+    persisted: list[Feed] = []
     error = None
     try:
         order = validate(cfg)
@@ -275,11 +276,17 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
                 observations[node_id] = obs
             if out is not None and fan_out.get(node_id, 0) > 1 and node["type"] not in SINK_TYPES:
                 out = out.persist()
+                persisted.append(out)
             results[node_id] = out
     except Exception as ex:  # C3: first failure fails the run
         error = str(ex)
         if raise_errors and not runs_table:
             raise
+    finally:
+        # fan-out copies served their sinks; release executor memory (the
+        # returned feeds stay usable and recompute on demand)
+        for f in persisted:
+            f.df.unpersist()
     done = time.time()
     status = "failed" if error else "success"
     items = sum(ctx.sink_counts.values())

@@ -93,3 +93,15 @@ def test_rss_output_node(spark, scratch):
     doc = spark.read.text(os.path.join(scratch, "out", "r"), wholetext=True).first()["value"]
     assert doc.count("<item>") == 5 and "<title>T</title>" in doc
     assert len(os.listdir(os.path.join(scratch, "hook"))) == 3
+
+
+def test_fan_out_cache_is_released(spark, scratch):
+    src = spark.createDataFrame([(i,) for i in range(10)], "i int")
+    cfg = _cfg([
+        {"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}},
+        {"id": "a", "type": "json-output", "config": {}},
+        {"id": "b", "type": "json-output", "config": {}},
+    ], [("s", "a"), ("s", "b")])
+    res = run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"))
+    assert res.sink_counts == {"a": 10, "b": 10}
+    assert not res.outputs["s"].df.is_cached
