@@ -63,6 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc_dir:
         spark.conf.set("spark.checkpoint.dir", sc_dir)
         return sc_dir
+    master = spark.conf.get("spark.master", "") or (sc.master if sc is not None else "")
+    if master and not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
+    # local mode only (tests, laptops): a fresh scratch folder of our own
     local = tempfile.mkdtemp(prefix="sluice-ckpt-", dir=os.environ.get("SLUICE_SCRATCH", "/tmp"))
     if sc is not None:
         sc.setCheckpointDir(local)
