@@ -92,7 +92,7 @@ def gen_items(rng, n):
 def gen_chain(rng):
     ops = []
     for _ in range(rng.randint(1, 4)):
-        kind = rng.choice(["filter", "sort", "limit", "dedupe", "map", "truncate"])
+        kind = rng.choice(["filter", "sort", "limit", "dedupe", "map", "truncate", "merge"])
         f = rng.choice(["a", "b", "s"])
         if kind == "filter":
             ops.append((kind, f, rng.choice(["contains", "equals", "not-equals", "other"]),
@@ -105,6 +105,10 @@ def gen_chain(rng):
             ops.append((kind, f))
         elif kind == "map":
             ops.append((kind, rng.choice([True, False])))
+        elif kind == "merge":
+            other = gen_items(rng, rng.randint(0, 15))
+            ops.append((kind, other, rng.choice(["", "a", "b", "s"]), rng.choice(["", "a", "b", "s"]),
+                        rng.choice(["", "desc", "asc"])))
         else:
             ops.append((kind, rng.choice([1, 3, 6])))
     return ops
@@ -122,6 +126,13 @@ def run_model(items, ops):
             items = m_dedupe(items, op[1])
         elif op[0] == "map":
             items = m_map(items, {"a": "a", "b": "b", "s": "s"}, op[1])
+        elif op[0] == "merge":
+            _, other, dedupe_f, sort_f, order = op
+            items = items + [dict(o) for o in other]
+            if dedupe_f:
+                items = m_dedupe(items, dedupe_f)
+            if sort_f:
+                items = m_sort(items, sort_f, order == "desc")
         else:
             items = [{**it, "s": model_truncate(it["s"], op[1])} if isinstance(it.get("s"), str) else it
                      for it in items]
@@ -142,12 +153,17 @@ def run_engine(spark, items, ops):
             f = merge([f], dedupe_field=op[1])
         elif op[0] == "map":
             f = map_fields(f, "a:a, b:b, s:s, pos:pos", op[1])
+        elif op[0] == "merge":
+            _, other, dedupe_f, sort_f, order = op
+            g = Feed.from_table(spark.createDataFrame([(o["pos"], o["a"], o["b"], o["s"]) for o in other],
+                                                      SCHEMA), "pos")
+            f = merge([f, g], dedupe_field=dedupe_f, sort_field=sort_f, sort_order=order)
         else:
             f = truncate(f, "s", op[1])
     return [r.asDict() for r in f.ordered().select("pos", "a", "b", "s").collect()]
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(60))
 def test_engine_matches_list_model(spark, seed):
     rng = random.Random(seed)
     items = gen_items(rng, rng.randint(0, 40))
