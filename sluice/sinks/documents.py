@@ -67,11 +67,21 @@ def write_json_lines(feed: Feed, path: str, mode: str = "overwrite") -> int:
 
 
 def _bounded_ranked(feed: Feed, limit: int) -> tuple[DataFrame, str]:
-    bounded = limit_items(feed, limit)
+    """At most ``limit + 1`` rows (top-k), ranked: one row more than the
+    bound lets the document fail loudly instead of silently dropping items."""
+    bounded = limit_items(feed, limit + 1)
     rk = fresh("rank")
     return bounded.df.withColumn(rk, F.row_number().over(Window.orderBy(*bounded.order_columns()))), rk
 
 
+def _whole_or_fail(count: Column, limit: int, document: Column, form: str) -> Column:
+    """The document, or a task failure when the input exceeds the bound:
+    a single document never silently leaves items out."""
+    msg = (f"{form}: more than {limit} items for one document; raise the bound or use the "
+           "scalable form (JSON lines, RSS fragments, webhook batches)")
+    return F.when(count > F.lit(limit), F.raise_error(F.lit(msg)).cast("string")).otherwise(document)
+
+
 def json_envelope(feed: Feed, limit: int = DEFAULT_DOCUMENT_BOUND) -> DataFrame:
     """O1, document form: one row ``(count, document)``; at most ``limit``
     items, in feed order. Zero items -> zero rows (nothing to save)."""
@@ -84,12 +94,12 @@ def json_envelope(feed: Feed, limit: int = DEFAULT_DOCUMENT_BOUND) -> DataFrame:
     agg = packed.agg(F.count(F.lit(1)).alias("count"),
                      F.array_sort(F.collect_list("e")).alias("es"))
     ind = ENVELOPE_INDENT
+    doc = F.concat(F.lit("{\n" + ind + '"count": '), col("count").cast("string"),
+                   F.lit(",\n" + ind + '"items": [\n' + ind * 2),
+                   F.array_join(F.transform(col("es"), lambda e: e["j"]), ",\n" + ind * 2),
+                   F.lit("\n" + ind + "]\n}"))
     return agg.where(col("count") > 0).select(
-        col("count"),
-        F.concat(F.lit("{\n" + ind + '"count": '), col("count").cast("string"),
-                 F.lit(",\n" + ind + '"items": [\n' + ind * 2),
-                 F.array_join(F.transform(col("es"), lambda e: e["j"]), ",\n" + ind * 2),
-                 F.lit("\n" + ind + "]\n}")).alias("document"))
+        col("count"), _whole_or_fail(col("count"), limit, doc, "json_envelope").alias("document"))
 
 
 # ---------------------------------------------------------------------------
@@ -208,7 +218,7 @@ def rss_document(feed: Feed, title: str = "", description: str = "", link: str =
         keep = frags.df.select("fragment", *[col(g) for g in group_cols], *[col(n) for n in names])
         rk = fresh("rank")
         w = Window.partitionBy(*[col(g) for g in group_cols]).orderBy(*frags.order_columns())
-        ranked = keep.withColumn(rk, F.row_number().over(w)).where(col(rk) <= limit)
+        ranked = keep.withColumn(rk, F.row_number().over(w)).where(col(rk) <= limit + 1)
         grouped = ranked.groupBy(*[col(g) for g in group_cols])
     else:
         ranked, rk = _bounded_ranked(frags, limit)
@@ -216,9 +226,9 @@ def rss_document(feed: Feed, title: str = "", description: str = "", link: str =
     agg = grouped.agg(F.count(F.lit(1)).alias("count"),
                       F.array_sort(F.collect_list(F.struct(col(rk).alias("r"), col("fragment").alias("f"))))
                       .alias("fs"))
+    doc = F.concat(F.lit(head), F.array_join(F.transform(col("fs"), lambda e: e["f"]), ""), F.lit(tail))
     return agg.select(*[col(g) for g in group_cols], col("count"),
-                      F.concat(F.lit(head), F.array_join(F.transform(col("fs"), lambda e: e["f"]), ""),
-                               F.lit(tail)).alias("document"))
+                      _whole_or_fail(col("count"), limit, doc, "rss_document").alias("document"))
 
 
 # ---------------------------------------------------------------------------

@@ -12,9 +12,9 @@ from sluice.sinks.webhook import deliver
 
 def test_json_envelope_order_and_count(spark):
     f = feed_of(spark, [(3, "c"), (1, "a"), (2, "b")], "i int, v string")
-    row = json_envelope(f, 2).first()
+    row = json_envelope(f, 3).first()
     doc = json.loads(row["document"])
-    assert doc == {"count": 2, "items": [{"i": 1, "v": "a"}, {"i": 2, "v": "b"}]}
+    assert doc == {"count": 3, "items": [{"i": 1, "v": "a"}, {"i": 2, "v": "b"}, {"i": 3, "v": "c"}]}
     assert row["document"] == json.dumps(doc, indent=2)   # two-space indentation, sorted keys
 
 
@@ -100,3 +100,13 @@ def test_rss_categories_keep_text_members_of_mixed_lists(spark):
     out = rss_document(f).first()["document"]
     assert "<category>a</category>" in out and "<category>b</category>" in out
     assert out.count("<category>") == 2
+
+
+def test_single_documents_never_drop_items(spark):
+    import pytest as _pt
+    f = feed_of(spark, [(i, "x") for i in range(5)], "i int, v string")
+    assert json_envelope(f, 5).first()["count"] == 5
+    with _pt.raises(Exception, match="more than 4 items"):
+        json_envelope(f, 4).collect()
+    with _pt.raises(Exception, match="more than 3 items"):
+        rss_document(f, limit=3).collect()
