@@ -905,3 +905,31 @@ def q_stream_top_per_batch(spark, sf):
         return Feed(f.df.withColumn("rank", rank_column(f)), f.ordering)
     foreach_batch_top(s, per_batch, f"{base}/out", "top", ["event_id"], f"{base}/_ckpt")
     return spark.read.parquet(f"{base}/out").select("event_id", "value", "rank")
+
+
+STREAM_FLOW = {
+    "nodes": [
+        {"id": "src", "type": "rss-source", "config": {"url": "landed"}},
+        {"id": "f", "type": "filter", "config": {"field": "description", "operator": "contains", "value": "the"}},
+        {"id": "s", "type": "sort", "config": {"field": "title", "order": "asc"}},
+        {"id": "l", "type": "limit", "config": {"count": 20}},
+        {"id": "out", "type": "json-output", "config": {}},
+    ],
+    "connections": [{"source": "src", "target": "f"}, {"source": "f", "target": "s"},
+                    {"source": "s", "target": "l"}, {"source": "l", "target": "out"}],
+}
+
+
+@query("stream_flow_runs", """
+select 'doc ' || cast(doc_id as varchar) as title from documents
+where contains(lower(text), 'the') order by title limit 20""")
+def q_stream_flow_runs(spark, sf):
+    """X1 with a flow description: documents landed as RSS payloads, read as
+    a stream, the whole flow run once per micro-batch (one landing here)."""
+    from .streaming.incremental import read_stream, run_flow_incremental
+    base = _stream_out(spark, "flow")
+    feed_payloads(spark, sf).write.parquet(f"{base}/land")
+    land = spark.read.parquet(f"{base}/land")
+    s = read_stream(spark, f"{base}/land/", land.schema)
+    run_flow_incremental(spark, STREAM_FLOW, "landed", s, f"{base}/out", "flow", f"{base}/_ckpt")
+    return spark.read.schema("title string").json(f"{base}/out/*/out").select("title")

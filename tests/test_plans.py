@@ -12,7 +12,7 @@ def plan(df) -> str:
 
 
 SIDE_EFFECT = {"flow_run_record", "stream_dedupe", "stream_incremental", "stream_top_per_batch",
-               "json_lines_out", "webhook_delivery", "flow_node_counts"}
+               "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - SIDE_EFFECT))

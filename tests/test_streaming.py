@@ -83,3 +83,40 @@ def test_feed_payloads_stream_to_items(spark, scratch):
     run()
     rows = sorted((r["feed_url"], r["title"], r["published_at"]) for r in spark.read.parquet(out).collect())
     assert rows == [("u1", "spark one", 1136160000), ("u2", "Spark two", 1136160000)]
+
+
+def test_flow_runs_once_per_new_landing(spark, scratch):
+    import json as _json
+
+    from sluice.streaming.incremental import run_flow_incremental
+    land, out, ckpt, runs = (os.path.join(scratch, x) for x in ("land", "out", "ckpt", "runs"))
+    schema = "feed_url string, payload string"
+
+    def doc(*titles):
+        return "<rss><channel>" + "".join(f"<item><title>{t}</title></item>" for t in titles) + \
+            "</channel></rss>"
+
+    cfg = {"nodes": [
+        {"id": "src", "type": "rss-source", "config": {"url": "landed"}},
+        {"id": "f", "type": "filter", "config": {"field": "title", "operator": "contains", "value": "spark"}},
+        {"id": "s", "type": "sort", "config": {"field": "title", "order": "asc"}},
+        {"id": "l", "type": "limit", "config": {"count": 2}},
+        {"id": "out", "type": "json-output", "config": {}}],
+        "connections": [{"source": "src", "target": "f"}, {"source": "f", "target": "s"},
+                        {"source": "s", "target": "l"}, {"source": "l", "target": "out"}]}
+
+    def run():
+        s = read_stream(spark, land + "/", spark.read.parquet(land).schema)
+        run_flow_incremental(spark, cfg, "landed", s, out, "flowx", ckpt, runs_table=runs)
+
+    spark.createDataFrame([("u1", doc("spark c", "spark a", "other", "spark b"))], schema) \
+        .write.mode("append").parquet(land)
+    run()
+    spark.createDataFrame([("u2", doc("Spark z"))], schema).write.mode("append").parquet(land)
+    run()
+    got = {}
+    for d in sorted(os.listdir(out)):
+        lines = spark.read.text(os.path.join(out, d, "out")).collect()
+        got[d] = [_json.loads(r["value"])["title"] for r in lines]
+    assert list(got.values()) == [["spark a", "spark b"], ["Spark z"]]
+    assert sorted(r["items_processed"] for r in spark.read.parquet(runs).collect()) == [1, 2]
