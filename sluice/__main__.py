@@ -1,13 +1,15 @@
 """Run a flow description as a Spark job.
 
-    spark-submit -m sluice run --config flow.json \\
+    python -m sluice run --config flow.json \\
         --source feeds=/landing/feeds/*.xml:documents --source users=/tables/users:parquet \\
         --out /outputs/flow-1 --runs /tables/runs --logs /tables/logs --pipe flow-1
 
 A source is ``name=path[:format]``: ``parquet`` (default) reads a table,
 ``documents`` reads landed documents one per file (``feed_url``,
 ``payload``). Outputs go under ``--out``; run records and log lines are
-appended to the ``--runs``/``--logs`` tables when given.
+appended to the ``--runs``/``--logs`` tables when given. Under
+``spark-submit``, submit a two-line script that calls ``sluice.__main__.main()``
+with the package shipped via ``--py-files``.
 """
 
 from __future__ import annotations
