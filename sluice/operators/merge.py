@@ -2,8 +2,10 @@
 first-wins dedupe on a flat field, optional sort.
 
 * Union: ``unionByName(allowMissingColumns=True)``. A column whose type
-  differs between inputs becomes double when every side is numeric, else
-  its canonical text (so ``1`` and ``"1"`` stay equal as dedupe keys).
+  differs between inputs becomes double when every side is numeric; nested
+  objects that differ only by missing fields stay nested (Spark merges the
+  structs); anything else becomes its canonical text (so ``1`` and ``"1"``
+  stay equal as dedupe keys).
 * Order: input ``i``'s ordering columns are renamed apart and an input
   index is added; the new ordering is ``[input, input0 keys, input1 keys,
   ...]``. Rows of different inputs differ at the index, so the NULL
@@ -29,6 +31,24 @@ from .limit import limit_items
 from .sort import sort_by
 
 
+def _nested_compatible(a: T.DataType, b: T.DataType) -> bool:
+    """Types whose union Spark resolves by itself: structs differing only in
+    missing fields (recursively), same-shaped arrays/maps, numbers with
+    numbers. Anything else (e.g. text vs number inside a struct) is not."""
+    if a == b or isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return True
+    if is_numeric(a) and is_numeric(b):
+        return True
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        bf = {f.name: f.dataType for f in b.fields}
+        return all(_nested_compatible(f.dataType, bf[f.name]) for f in a.fields if f.name in bf)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return _nested_compatible(a.elementType, b.elementType)
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return a.keyType == b.keyType and _nested_compatible(a.valueType, b.valueType)
+    return False
+
+
 def _reconcile(inputs: list[Feed]) -> list[Feed]:
     types: dict[str, list[T.DataType]] = {}
     for f in inputs:
@@ -41,6 +61,9 @@ def _reconcile(inputs: list[Feed]) -> list[Feed]:
             continue
         if all(isinstance(t, T.NullType) or is_numeric(t) for t in ts):
             target[name] = "double"
+        elif all(isinstance(t, (T.StructType, T.ArrayType, T.MapType, T.NullType)) for t in ts) and \
+                all(_nested_compatible(x, y) for x in ts for y in ts):
+            continue  # nested shapes that differ only by missing fields: Spark merges them
         else:
             target[name] = "text"
     if not target:

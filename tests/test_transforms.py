@@ -193,3 +193,15 @@ def test_contains_fix_only_when_needle_needs_it(spark):
     assert ids(filter_items(f, "a", "contains", "x")) == [1, 2]      # plain lower suffices
     assert ids(filter_items(f, "a", "contains", "ix")) == [1, 2]
     assert ids(filter_items(f, "a", "contains", "xσ")) == [1]
+
+
+def test_merge_keeps_nested_structure_when_only_fields_differ(spark):
+    a = feed_of(spark, [(1, ("x",))], "i int, author struct<name:string>")
+    b = feed_of(spark, [(2, ("y", "e@x"))], "i int, author struct<name:string, email:string>")
+    m = merge([a, b])
+    assert dict(m.df.dtypes)["author"].startswith("struct")
+    assert ordered_values(filter_items(m, "author.name", "equals", "y"), "i") == [2]
+    c = feed_of(spark, [(3, (1.5,))], "i int, author struct<name:double>")
+    m2 = merge([a, c])                      # text vs number inside: canonical text
+    assert dict(m2.df.dtypes)["author"] == "string"
+    assert sorted(r["author"] for r in m2.df.collect()) == ["map[name:1.5]", "map[name:x]"]
