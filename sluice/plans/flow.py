@@ -228,6 +228,39 @@ def validate(config: dict) -> list[str]:
         raise FlowError("flow contains a cycle") from e
 
 
+# The per-node log messages of a run (by node type).
+NODE_MESSAGES = {
+    "rss-source": "Retrieved {n_out} items",
+    "http-source": "Retrieved {n_out} items",
+    "filter": "Filtered {n_in} -> {n_out} items",
+    "limit": "Limited {n_in} -> {n_out} items",
+    "sort": "Sorted {n_out} items by {field} ({order})",
+    "merge": "Merged {inputs} inputs into {n_out} items",
+    "map": "Mapped {n_out} items",
+    "truncate": "Truncated {n_out} items",
+}
+
+
+def node_messages(cfg: dict, counts: dict[str, int], ts: int) -> list[dict]:
+    """Info lines from observed item counts (input = first incoming node,
+    as single-input nodes read; a limit logs only when it cut items)."""
+    conns = cfg.get("connections") or []
+    out = []
+    for node in cfg.get("nodes") or []:
+        nid, kind = node.get("id"), node.get("type")
+        if kind not in NODE_MESSAGES or nid not in counts:
+            continue
+        ins = [c["source"] for c in conns if c.get("target") == nid]
+        n_in = counts.get(ins[0]) if ins else 0
+        if kind == "limit" and (n_in is None or counts[nid] >= n_in):
+            continue
+        conf = node.get("config") or {}
+        msg = NODE_MESSAGES[kind].format(n_in=n_in, n_out=counts[nid], inputs=len(ins),
+                                         field=conf.get("field", ""), order=conf.get("order") or "desc")
+        out.append(dict(node_id=nid, level="info", message=msg, timestamp=ts, seq=0))
+    return out
+
+
 @dataclass
 class RunResult:
     id: str
@@ -300,9 +333,11 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
     res = RunResult(run_id, status, items, results, ctx.sink_counts, ctx.logs, error,
                     int((done - started) * 1000), node_counts)
     if logs_table:
-        # One line per node count (from observations) plus the nodes' own messages
+        # One line per node count (from observations), the per-node
+        # messages, and the nodes' own messages
         lines = [dict(node_id=k, level="data", message=f"{v} items", timestamp=int(done), seq=0)
-                 for k, v in sorted(node_counts.items())] + ctx.logs
+                 for k, v in sorted(node_counts.items())]
+        lines += node_messages(cfg, node_counts, int(done)) + ctx.logs
         rows = [(str(uuid.uuid4()), run_id, ln["node_id"], ln["level"], ln["message"], ln["timestamp"], i)
                 for i, ln in enumerate(lines)]
         if rows:
