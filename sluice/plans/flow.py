@@ -51,6 +51,8 @@ class Context:
     logs: list[dict] = field(default_factory=list)
     sink_counts: dict[str, int] = field(default_factory=dict)
     node_id: str = ""
+    observe: bool = False
+    modified: dict[str, Observation] = field(default_factory=dict)
 
     def log(self, level: str, message: str) -> None:
         self.logs.append({"node_id": self.node_id, "level": level, "message": message,
@@ -125,8 +127,22 @@ def _map(inputs, cfg, ctx):
 
 def _regex(inputs, cfg, ctx):
     f = _first(inputs)
-    return None if f is None else regex_replace(f, cfg.get("field", "") or "", cfg.get("pattern", "") or "",
-                                                cfg.get("replacement", "") or "", ctx.spark)
+    if f is None:
+        return None
+    field = cfg.get("field", "") or ""
+    out = regex_replace(f, field, cfg.get("pattern", "") or "", cfg.get("replacement", "") or "", ctx.spark)
+    if ctx.observe and out is not f and field in f.item_columns:
+        # count the values the replacement changed (for the run log)
+        from ..feed import col, fresh
+        old = fresh("old")
+        before = f.df.withColumn(old, col(field))
+        after = regex_replace(Feed(before, f.ordering), field, cfg.get("pattern", "") or "",
+                              cfg.get("replacement", "") or "", ctx.spark)
+        obs = Observation(fresh("modified"))
+        changed = F.sum(F.when(~col(field).eqNullSafe(col(old)), 1).otherwise(0)).alias("m")
+        ctx.modified[ctx.node_id] = obs
+        out = after.with_df(after.df.observe(obs, changed).drop(old))
+    return out
 
 
 def _truncate(inputs, cfg, ctx):
@@ -238,10 +254,12 @@ NODE_MESSAGES = {
     "merge": "Merged {inputs} inputs into {n_out} items",
     "map": "Mapped {n_out} items",
     "truncate": "Truncated {n_out} items",
+    "regex": "Modified {modified} of {n_out} items",
 }
 
 
-def node_messages(cfg: dict, counts: dict[str, int], ts: int) -> list[dict]:
+def node_messages(cfg: dict, counts: dict[str, int], ts: int,
+                  modified: dict[str, int] | None = None) -> list[dict]:
     """Info lines from observed item counts (input = first incoming node,
     as single-input nodes read; a limit logs only when it cut items)."""
     conns = cfg.get("connections") or []
@@ -254,8 +272,11 @@ def node_messages(cfg: dict, counts: dict[str, int], ts: int) -> list[dict]:
         n_in = counts.get(ins[0]) if ins else 0
         if kind == "limit" and (n_in is None or counts[nid] >= n_in):
             continue
+        if kind == "regex" and nid not in (modified or {}):
+            continue
         conf = node.get("config") or {}
         msg = NODE_MESSAGES[kind].format(n_in=n_in, n_out=counts[nid], inputs=len(ins),
+                                         modified=(modified or {}).get(nid, 0),
                                          field=conf.get("field", ""), order=conf.get("order") or "desc")
         out.append(dict(node_id=nid, level="info", message=msg, timestamp=ts, seq=0))
     return out
@@ -282,7 +303,7 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
     cfg = json.loads(config) if isinstance(config, str) else config
     run_id = str(uuid.uuid4())
     started = time.time()
-    ctx = Context(spark, dict(sources or {}), out_dir, versions_table, pipe_id)
+    ctx = Context(spark, dict(sources or {}), out_dir, versions_table, pipe_id, observe=observe_nodes)
     results: dict[str, Feed | None] = {}
     observations: dict[str, Observation] = {}
     persisted: list[Feed] = []
@@ -337,7 +358,13 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
         # messages, and the nodes' own messages
         lines = [dict(node_id=k, level="data", message=f"{v} items", timestamp=int(done), seq=0)
                  for k, v in sorted(node_counts.items())]
-        lines += node_messages(cfg, node_counts, int(done)) + ctx.logs
+        modified = {}
+        for k, o in ctx.modified.items():
+            try:
+                modified[k] = int(o.get["m"] or 0)
+            except Exception:  # noqa: BLE001 - node not on any executed path
+                pass
+        lines += node_messages(cfg, node_counts, int(done), modified) + ctx.logs
         rows = [(str(uuid.uuid4()), run_id, ln["node_id"], ln["level"], ln["message"], ln["timestamp"], i)
                 for i, ln in enumerate(lines)]
         if rows:

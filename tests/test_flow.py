@@ -105,3 +105,16 @@ def test_fan_out_cache_is_released(spark, scratch):
     res = run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"))
     assert res.sink_counts == {"a": 10, "b": 10}
     assert not res.outputs["s"].df.is_cached
+
+
+def test_regex_node_logs_modified_count(spark, scratch):
+    src = spark.createDataFrame([(1, "cat"), (2, "dog"), (3, "cart")], "i int, t string")
+    cfg = _cfg([
+        {"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}},
+        {"id": "r", "type": "regex", "config": {"field": "t", "pattern": "ca", "replacement": "CA"}},
+        {"id": "j", "type": "json-output", "config": {}},
+    ], [("s", "r"), ("r", "j")])
+    logs = os.path.join(scratch, "logs")
+    run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"), logs_table=logs, observe_nodes=True)
+    msgs = {r["message"] for r in spark.read.parquet(logs).where("node_id = 'r'").collect()}
+    assert "Modified 2 of 3 items" in msgs
