@@ -63,3 +63,69 @@ def test_translation_agrees_with_reference_semantics(spark, seed):
     bad = df.where(F.expr("(s rlike jp) <> want")).collect()
     assert not bad, [(r["p"], r["s"], r["want"]) for r in bad[:10]]
     assert len(rows) > 1500
+
+
+def go_expand(template: str, m: re.Match, names: dict[str, int]) -> str:
+    """Go's template expansion, written from its documented rules."""
+    out, i = [], 0
+    while i < len(template):
+        ch = template[i]
+        if ch != "$":
+            out.append(ch)
+            i += 1
+            continue
+        if template[i + 1:i + 2] == "$":
+            out.append("$")
+            i += 2
+            continue
+        j = i + 1
+        brace = template[j:j + 1] == "{"
+        k = j + 1 if brace else j
+        e = k
+        while e < len(template) and (template[e].isalnum() or template[e] == "_"):
+            e += 1
+        name = template[k:e]
+        if not name or (brace and template[e:e + 1] != "}"):
+            out.append("$")
+            i += 1
+            continue
+        i = e + 1 if brace else e
+        if name.isdigit() and not (name[0] == "0" and len(name) > 1):
+            g = int(name)
+            if g <= m.re.groups:
+                out.append(m.group(g) or "")
+        elif name in names:
+            out.append(m.group(names[name]) or "")
+    return "".join(out)
+
+
+TEMPLATES = ["$1", "${1}x", "$1x", "$$", "[$2]", "${first}-$0", "$9", "$", "${x", "a\\b", "$first_name"]
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_replacement_templates_agree(spark, seed):
+    from sluice.functions.regex import translate_replacement
+    rng = random.Random(seed)
+    subjects = ["the cat sat", "abc 123 th.", "é th a1", "aaa bbb"]
+    rows = []
+    for _ in range(150):
+        body = gen_pattern(rng)
+        p = f"(?P<first_name>{body})" if rng.random() < 0.3 else body
+        py = py_pattern(p)
+        try:
+            compiled = re.compile(py, re.ASCII)
+        except re.error:
+            continue
+        if compiled.search("") is not None or compiled.fullmatch("") is not None:
+            continue  # can match empty: replacement semantics differ (documented)
+        t = translate_pattern(p)
+        names = {"first_name": 1} if p.startswith("(?P<first_name>") else {}
+        for tpl in TEMPLATES:
+            jr = translate_replacement(tpl, t)
+            for s in subjects:
+                want = compiled.sub(lambda m: go_expand(tpl, m, names), s)
+                rows.append((p, t.pattern, tpl, jr, s, want))
+    df = spark.createDataFrame(rows, "p string, jp string, tpl string, jr string, s string, want string")
+    bad = df.where(F.expr("regexp_replace(s, jp, jr) <> want")).collect()
+    assert not bad, [(r["p"], r["tpl"], r["s"], r["want"]) for r in bad[:8]]
+    assert len(rows) > 1000
