@@ -1,0 +1,57 @@
+"""items_path walking and item normalisation against the documented rules."""
+
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from sluice.sources.json_source import json_payload_items
+
+
+def gen_value(rng, depth=0):
+    r = rng.random()
+    if depth < 3 and r < 0.35:
+        return {rng.choice(["a", "b", "0", "1", "items", "x y"]): gen_value(rng, depth + 1)
+                for _ in range(rng.randint(0, 3))}
+    if depth < 3 and r < 0.6:
+        return [gen_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return rng.choice([1, 2.5, "s", True, None, {"k": 1}])
+
+
+def walk(v, path):
+    if not path:
+        return v
+    for step in path.split("."):
+        if isinstance(v, dict):
+            v = v.get(step)
+        elif isinstance(v, list) and step.isdigit() and int(step) < len(v):
+            v = v[int(step)]
+        else:
+            return None
+    return v
+
+
+def expect(v):
+    """(number of items, object flags) after normalisation."""
+    if isinstance(v, list):
+        return [isinstance(x, dict) for x in v]
+    return [isinstance(v, dict)]
+
+
+def test_items_path_and_normalisation(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(300):
+        doc = gen_value(rng)
+        path = ".".join(rng.choice(["a", "b", "0", "1", "items", "x y", "2"]) for _ in range(rng.randint(0, 3)))
+        rows.append((i, path, json.dumps(doc)))
+        want[i] = expect(walk(doc, path))
+    got: dict[int, list[bool]] = {i: [] for i in want}
+    for path in sorted({r[1] for r in rows}):
+        sub = spark.createDataFrame([(i, d) for i, p, d in rows if p == path], "src int, payload string")
+        f = json_payload_items(sub, items_path=path, order_cols=["src"])
+        is_obj = F.coalesce(F.schema_of_variant(F.col("__item")).startswith("OBJECT"), F.lit(False))
+        for r in f.ordered().select("src", is_obj.alias("o")).collect():
+            got[r["src"]].append(r["o"])
+    mismatches = [(i, want[i], got[i]) for i in want if want[i] != got[i]]
+    assert not mismatches, mismatches[:5]
