@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..feed import HIDDEN, OBJ, VALUE, Feed, OrderKey, col, fresh
-from ..functions.values import _inner_text, canonical_text, is_numeric, resolve_flat
+from ..functions.values import NIL_TEXT, _inner_text, canonical_text, is_numeric, resolve_flat
 from .limit import limit_items
 from .sort import sort_by
 
@@ -117,8 +117,10 @@ def dedupe(feed: Feed, field: str) -> Feed:
             return first
         rest = feed.df.where(~feed.is_object())
         return feed.with_df(first.df.unionByName(rest))
-    key = canonical_text(x, dtype)
     rn = fresh("rn")
+    if isinstance(dtype, T.StringType) and not feed.has_non_objects:
+        return _dedupe_text(feed, x, rn)
+    key = canonical_text(x, dtype)
     w = Window.partitionBy(key).orderBy(*feed.order_columns())
     if feed.has_non_objects:
         objs = feed.df.where(feed.is_object())
@@ -128,6 +130,20 @@ def dedupe(feed: Feed, field: str) -> Feed:
     return feed.with_df(kept)
 
 
+def _dedupe_text(feed: Feed, x, rn: str) -> Feed:
+    """First wins per text key, partitioned by the raw column: no projected
+    key copy travels through the shuffle (it would double the bytes of long
+    texts). Raw grouping differs from the canonical one only in that a
+    missing value and the literal text ``<nil>`` are one key; their two
+    survivors (at most two rows) are reduced to the first in feed order."""
+    w = Window.partitionBy(x).orderBy(*feed.order_columns())
+    kept = feed.df.withColumn(rn, F.row_number().over(w)).where(col(rn) == 1).drop(rn)
+    nilish = x.isNull() | (x == F.lit(NIL_TEXT))
+    others = kept.where(~nilish)
+    first_nil = limit_items(feed.with_df(kept.where(nilish)), 1)
+    return feed.with_df(others.unionByName(first_nil.df))
+
+
 def merge(inputs: list[Feed], dedupe_field: str = "", sort_field: str = "",
           sort_order: str = "") -> Feed:
     feed = union_feeds(inputs)

@@ -205,3 +205,10 @@ def test_merge_keeps_nested_structure_when_only_fields_differ(spark):
     m2 = merge([a, c])                      # text vs number inside: canonical text
     assert dict(m2.df.dtypes)["author"] == "string"
     assert sorted(r["author"] for r in m2.df.collect()) == ["map[name:1.5]", "map[name:x]"]
+
+
+def test_dedupe_text_missing_and_nil_literal_share_a_key(spark):
+    f = feed_of(spark, [(1, "a"), (2, None), (3, "<nil>"), (4, "a"), (5, None), (6, "b")], "i int, k string")
+    assert ids(merge([f], dedupe_field="k")) == [1, 2, 6]
+    g = feed_of(spark, [(1, "<nil>"), (2, None)], "i int, k string")
+    assert ids(merge([g], dedupe_field="k")) == [1]
