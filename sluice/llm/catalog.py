@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_quality, q_sharding, q_tokens
+from . import q_quality, q_sharding, q_tokens, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (q_sharding, q_quality, q_tokens):
+for _module in (q_sharding, q_quality, q_tokens, q_toxicity):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
