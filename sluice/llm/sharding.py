@@ -111,12 +111,15 @@ def number_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> Dat
     # at most (shards x BUCKETS) rows, whatever the input: small enough to broadcast
     sizes = counted.groupBy(quoted(shard), "__bucket").agg(F.sum("__n").alias("__size"))
     offsets = sizes.withColumn("__offset", F.sum("__size").over(
-        Window.partitionBy(quoted(shard)).orderBy("__bucket")) - F.col("__size")).drop("__size")
+        Window.partitionBy(quoted(shard)).orderBy("__bucket")) - F.col("__size")) \
+        .select(quoted(shard).alias("__s"), F.col("__bucket").alias("__b"), "__offset")
     order = [quoted(key).asc_nulls_first()] + [quoted(c).asc_nulls_first() for c in df.columns if c not in (key, shard)]
     inside = counted.withColumn("__before", F.sum("__n").over(
         Window.partitionBy(quoted(shard), "__bucket").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
-    placed = inside.join(F.broadcast(offsets), [shard, "__bucket"])
+    # null-safe, so that neither side gets a filter of its own and both share one exchange
+    placed = inside.join(F.broadcast(offsets), quoted(shard).eqNullSafe(F.col("__s"))
+                         & F.col("__bucket").eqNullSafe(F.col("__b")))
     first = F.col("__offset") + F.col("__before")
     # copies are spread in runs of 65,536 so that no array grows with a hot row
     runs = placed.select(*columns, first.alias("__first"), "__n",
