@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import fresh, quoted
 from .near_dedup import _mix, _times_g
 
 BLOCK_WORDS = 2_000_000
@@ -267,5 +267,6 @@ def find_items(items: DataFrame, key: str = "item_id", text: str = "text", max_e
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item."""
     found = find_items(items, **options)
-    return docs.withColumn("__found", F.size(found(quoted(text)))).filter("__found = 0") \
+    n = fresh("found")
+    return docs.withColumn(n, F.size(found(quoted(text)))).filter(quoted(n) == 0) \
         .select(*[quoted(c) for c in docs.columns])

@@ -104,32 +104,34 @@ def with_probabilities(df: DataFrame, targets: dict[str, dict[str, float]], dime
     if bound > MAX_CELLS:
         raise ValueError(f"{bound} cells; at most {MAX_CELLS} are raked")
     names = {d: fresh(d) for d in targets}
+    n_at, p_at = fresh("n"), fresh("p")
     cell = {names[d]: F.when(dimensions[d].cast("string").isin(*[str(v) for v in t]), dimensions[d].cast("string"))
             .otherwise(F.lit(OTHER)) for d, t in targets.items()}
     keep = [c for c in df.columns if c not in ("n_tokens", "probability", "kept")]
-    rows = df.withColumns({**cell, "__n": n_tokens(quoted(text)) if tokens is None else tokens})
-    counted = rows.groupBy(*names.values()).agg(F.sum("__n").alias("n")).collect()  # at most ``bound`` rows
+    rows = df.withColumns({**cell, n_at: n_tokens(quoted(text)) if tokens is None else tokens})
+    counted = rows.groupBy(*names.values()).agg(F.sum(n_at).alias("n")).collect()  # at most ``bound`` rows
     cells = [tuple(r[:len(names)]) for r in counted]
     size = np.array([float(r["n"] or 0) for r in counted])
     weight = rake(cells, size, [{str(k): v for k, v in t.items()} for t in targets.values()], budget)
     p = np.divide(weight, size, out=np.full(len(size), float(budget)), where=size > 0).round(6)
     schema = T.StructType([T.StructField(f"{n}_c", T.StringType()) for n in names.values()]
-                          + [T.StructField("__p", T.DoubleType())])
+                          + [T.StructField(p_at, T.DoubleType())])
     table = df.sparkSession.createDataFrame([c + (float(x),) for c, x in zip(cells, p)], schema)
     cond = F.lit(True)
     for n in names.values():
         cond = cond & (quoted(n) == quoted(f"{n}_c"))
     joined = rows.join(F.broadcast(table), cond, "left")
-    return joined.select(*[quoted(c) for c in keep], F.col("__n").alias("n_tokens"), F.col("__p").alias("probability"),
-                         (uniform(quoted(key), quoted(text), seed) < F.col("__p")).alias("kept"))
+    return joined.select(*[quoted(c) for c in keep], quoted(n_at).alias("n_tokens"), quoted(p_at).alias("probability"),
+                         (uniform(quoted(key), quoted(text), seed) < quoted(p_at)).alias("kept"))
 
 
 def sample(df: DataFrame, targets: dict[str, dict[str, float]], dimensions: dict[str, Column], budget: float,
            **options) -> DataFrame:
     """The kept documents with their own columns."""
-    marked = with_probabilities(df.withColumn("__row", F.struct(*[quoted(c) for c in df.columns])), targets,
+    row = fresh("row")
+    marked = with_probabilities(df.withColumn(row, F.struct(*[quoted(c) for c in df.columns])), targets,
                                 dimensions, budget, **options)
-    return marked.filter("kept").select("__row.*")
+    return marked.filter("kept").select(f"{row}.*")
 
 
 def achieved(marked: DataFrame, value: Column) -> DataFrame:

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import fresh, quoted
 
 #: Buckets per shard for the numbering: three hex digits of the key's hash.
 BUCKETS = 4096
@@ -92,7 +92,7 @@ def assign_shards(df: DataFrame, key: str, topology: list[Shard], seed: str = "s
             (-F.log(_uniform(text_key, seed, c["p"])) / c["w"]).alias("draw"), c["i"].alias("i"), c["p"].alias("p")))
         return F.array_min(draws)
 
-    region_at, rack_at, shard_at = (f"__{n}_draw" for n in names)
+    region_at, rack_at, shard_at = (fresh(n) for n in names)
     out = df.withColumn(region_at, winner(F.lit("")))
     out = out.withColumn(rack_at, winner(quoted(region_at)["p"]))
     out = out.withColumn(shard_at, winner(quoted(rack_at)["p"]))
@@ -105,6 +105,9 @@ def number_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> Dat
     the key's hash bucket, the key and the remaining columns. Rows equal in
     all columns take neighbouring positions. A null key comes first in its
     bucket."""
+    names = df.columns
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])
+    key, shard = f"c{names.index(key)}", f"c{names.index(shard)}"
     columns = [quoted(c) for c in df.columns]
     bucket = F.conv(F.substring(F.md5(F.coalesce(quoted(key).cast("string"), F.lit("\\N"))), 1, 3), 16, 10).cast("int")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", bucket)
@@ -126,4 +129,5 @@ def number_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> Dat
                          F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(__n - 1) div 65536"))).alias("__run"))
     return runs.select(*columns, F.explode(F.sequence(
         F.col("__first") + F.col("__run") * 65536,
-        F.col("__first") + F.least(F.col("__n"), (F.col("__run") + 1) * 65536) - 1)).alias(slot))
+        F.col("__first") + F.least(F.col("__n"), (F.col("__run") + 1) * 65536) - 1)).alias("slot")) \
+        .toDF(*names, slot)
