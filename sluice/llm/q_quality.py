@@ -12,8 +12,8 @@ POLICY = Policy()
 
 def op5_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(docs, table(spark, sf_dir, "labels"), policy=POLICY)
-    return out.select("doc_id", *[quoted(f"__m_{c}").alias(c) for c in (
+    out = judge(docs, table(spark, sf_dir, "labels"), policy=POLICY, keep_text=False)
+    return out.select("doc_id", *[quoted(f"m_{c}").alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_capitals", "stratum")])
 

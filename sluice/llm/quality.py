@@ -39,7 +39,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD_SPACE, materialize, quoted
+from .common import SPACE_CHARS, WORD_SPACE, fresh, materialize, quoted
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
@@ -80,7 +80,8 @@ def with_measures(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     """``df`` with the measures of a text column (long) as ``prefix`` + name."""
     t = F.coalesce(quoted(text), F.lit(""))
     at = lambda n: f"{prefix}{n}"
-    tmp = lambda n: f"__q_{n}"
+    names = {n: fresh(n) for n in ("words", "lines", "windows", "sorted")}
+    tmp = names.__getitem__
     long = lambda c: c.cast("long")
     words = F.filter(F.split(t, WORD_SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
@@ -160,15 +161,16 @@ def choose_cutoffs(holdout: DataFrame, policy: Policy, prefix: str = "") -> Data
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-          quality: str = "quality", policy: Policy = Policy(), prefix: str = "__m_") -> DataFrame:
+          quality: str = "quality", policy: Policy = Policy(), prefix: str = "m_", keep_text: bool = True) -> DataFrame:
     """``df`` with its measures (under ``prefix``), ``<prefix>base_failed`` and
-    ``<prefix>kept``. ``labels``: key and quality (1 good, 0 bad)."""
+    ``<prefix>kept``. ``labels``: key and quality (1 good, 0 bad). Without
+    ``keep_text`` the text column is left out and never written."""
     p = prefix
-    columns = df.columns
+    columns = [c for c in df.columns if keep_text or c != text]
     measured = with_measures(df, text, p).withColumns({
         f"{p}stratum": stratum_of(quoted(stratum), policy),
         f"{p}digest": F.xxhash64(F.md5(F.coalesce(quoted(text), F.lit(""))))})
-    stored, _ = materialize(measured, "quality")
+    stored, _ = materialize(measured if keep_text else measured.drop(text), "quality")
     marks = labels.select(quoted(key).alias("__key"), quoted(quality).alias("__good")).dropna() \
         .groupBy("__key").agg(F.max("__good").alias("__good"))
     slim = stored.select(quoted(key).alias("__key"), *[quoted(p + m) for m in MEASURES],
@@ -189,5 +191,5 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns only."""
-    prefix = options.get("prefix", "__m_")
-    return judge(df, labels, **options).filter(quoted(prefix + "kept")).select(*[quoted(c) for c in df.columns])
+    prefix = fresh("m")
+    return judge(df, labels, prefix=prefix, **options).filter(quoted(prefix + "kept")).select(*[quoted(c) for c in df.columns])
