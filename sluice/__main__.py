@@ -2,7 +2,7 @@
 
     python -m sluice run --config flow.json \\
         --source feeds=/landing/feeds/*.xml:documents --source users=/tables/users:parquet \\
-        --out /outputs/flow-1 --runs /tables/runs --logs /tables/logs --pipe flow-1
+        --out /outputs/flow-1 --runs /tables/runs --logs /tables/logs --flow flow-1
 
 A source is ``name=path[:format]``: ``parquet`` (default) reads a table,
 ``documents`` reads landed documents one per file (``feed_url``,
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out", required=True, help="folder for the outputs")
     run.add_argument("--runs", help="run-record table (appended)")
     run.add_argument("--logs", help="run-log table (appended)")
-    run.add_argument("--pipe", default="flow", help="pipe id recorded with the run")
+    run.add_argument("--flow", default="flow", help="flow id recorded with the run")
     a = ap.parse_args(argv)
 
     from .plans.flow import run_flow
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
         config = json.load(fh)
     sources = dict(_source(spark, s) for s in a.source)
     res = run_flow(spark, config, sources, out_dir=a.out, runs_table=a.runs, logs_table=a.logs,
-                   pipe_id=a.pipe, raise_errors=False, observe_nodes=bool(a.logs))
+                   flow_id=a.flow, raise_errors=False, observe_nodes=bool(a.logs))
     print(json.dumps({"id": res.id, "status": res.status, "items_processed": res.items_processed,
                       "error": res.error_message}))
     return 0 if res.status == "success" else 1

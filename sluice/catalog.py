@@ -25,7 +25,7 @@ from .plans.history import owner_logs, recent_runs, run_log
 from .plans.rank import global_rank
 from .sinks.documents import json_envelope, rss_channel, rss_document, rss_fragments, webhook_payloads
 from .sources.feed_source import feed_items, feed_summary, limit_per_source
-from .sinks.versions import latest_versions, pipes_to_run, published_outputs
+from .sinks.versions import latest_versions, flows_to_run, published_outputs
 from .sources.json_source import json_items, to_payload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,37 +607,37 @@ def q_latest_output(spark, sf):
 
 
 _ORDER_VERSIONS_SQL = """
-with v as (select o_custkey as pipe_id, case when o_orderstatus = 'F' then 'json' else 'rss' end as format,
+with v as (select o_custkey as flow_id, case when o_orderstatus = 'F' then 'json' else 'rss' end as format,
                   o_orderkey, o_orderdate from orders),
-l as (select * from v qualify row_number() over (partition by pipe_id, format
+l as (select * from v qualify row_number() over (partition by flow_id, format
                                                  order by o_orderdate desc, o_orderkey desc) = 1)"""
 
 
 def _order_versions(spark, sf):
     o = table(spark, sf, "orders")
-    v = o.select(F.col("o_custkey").alias("pipe_id"),
+    v = o.select(F.col("o_custkey").alias("flow_id"),
                  F.when(F.col("o_orderstatus") == "F", "json").otherwise("rss").alias("format"),
                  "o_orderkey", F.col("o_orderdate").alias("created_at"))
     latest = latest_versions(v, ts="created_at", tie="o_orderkey")
-    pipes = table(spark, sf, "customer").select(F.col("c_custkey").alias("pipe_id"),
+    flows = table(spark, sf, "customer").select(F.col("c_custkey").alias("flow_id"),
                                                 (F.col("c_acctbal") > 0).alias("is_public"))
-    return pipes, latest
+    return flows, latest
 
 
 @query("published_outputs", _ORDER_VERSIONS_SQL + """
-select c.c_custkey as pipe_id, l.o_orderkey from customer c join l on l.pipe_id = c.c_custkey
+select c.c_custkey as flow_id, l.o_orderkey from customer c join l on l.flow_id = c.c_custkey
 where c.c_acctbal > 0 and l.format = 'json'""")
 def q_published_outputs(spark, sf):
-    pipes, latest = _order_versions(spark, sf)
-    return published_outputs(pipes, latest, "json").select("pipe_id", "o_orderkey")
+    flows, latest = _order_versions(spark, sf)
+    return published_outputs(flows, latest, "json").select("flow_id", "o_orderkey")
 
 
-@query("pipes_to_run", _ORDER_VERSIONS_SQL + """
-select c_custkey as pipe_id from customer
-where c_acctbal > 0 and c_custkey not in (select pipe_id from l where format = 'json')""")
-def q_pipes_to_run(spark, sf):
-    pipes, latest = _order_versions(spark, sf)
-    return pipes_to_run(pipes, latest, "json")
+@query("flows_to_run", _ORDER_VERSIONS_SQL + """
+select c_custkey as flow_id from customer
+where c_acctbal > 0 and c_custkey not in (select flow_id from l where format = 'json')""")
+def q_flows_to_run(spark, sf):
+    flows, latest = _order_versions(spark, sf)
+    return flows_to_run(flows, latest, "json")
 
 
 # ---------------------------------------------------------------------------
@@ -645,14 +645,14 @@ def q_pipes_to_run(spark, sf):
 # ---------------------------------------------------------------------------
 
 @query("recent_runs", """
-select o_custkey as pipe_id, o_orderkey as id,
+select o_custkey as flow_id, o_orderkey as id,
        row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n
 from orders qualify n <= 10""")
 def q_recent_runs(spark, sf):
-    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("pipe_id"),
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("flow_id"),
                                              F.col("o_orderkey").alias("id"),
                                              F.col("o_orderdate").alias("started_at"))
-    return recent_runs(runs, 10).select("pipe_id", "id", "n")
+    return recent_runs(runs, 10).select("flow_id", "id", "n")
 
 
 @query("run_log", """
@@ -671,10 +671,10 @@ select l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orde
 where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')""")
 def q_owner_logs(spark, sf):
     logs = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pipe_id"))
-    pipes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
-    return owner_logs(logs, runs, pipes, F.col("c_mktsegment") == "BUILDING",
-                      run_key=("l_orderkey", "id"), pipe_key=("pipe_id", "id"))
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("flow_id"))
+    flows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    return owner_logs(logs, runs, flows, F.col("c_mktsegment") == "BUILDING",
+                      run_key=("l_orderkey", "id"), flow_key=("flow_id", "id"))
 
 
 # ---------------------------------------------------------------------------
@@ -740,7 +740,7 @@ def q_flow_run_record(spark, sf):
     from .session import scratch_path
     base = scratch_path(spark, f"flow_run_record/{uuid.uuid4().hex}")
     res = run_flow(spark, FLOW_RECORD, {"events": table(spark, sf, "events")}, out_dir=f"{base}/out",
-                   runs_table=f"{base}/runs", pipe_id="events-purchases")
+                   runs_table=f"{base}/runs", flow_id="events-purchases")
     runs = spark.read.parquet(f"{base}/runs")
     return runs.where(F.col("id") == res.id).select("status", "items_processed")
 

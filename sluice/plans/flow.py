@@ -47,7 +47,7 @@ class Context:
     sources: dict[str, DataFrame]
     out_dir: str | None = None
     versions_table: str | None = None
-    pipe_id: str = "flow"
+    flow_id: str = "flow"
     logs: list[dict] = field(default_factory=list)
     sink_counts: dict[str, int] = field(default_factory=dict)
     node_id: str = ""
@@ -154,7 +154,7 @@ def _truncate(inputs, cfg, ctx):
 def _save(ctx: Context, fmt: str, docs: DataFrame, ctype: str) -> int:
     if ctx.versions_table:
         from ..sinks.versions import save_output
-        return save_output(ctx.spark, ctx.versions_table, ctx.pipe_id, fmt, docs, ctype)
+        return save_output(ctx.spark, ctx.versions_table, ctx.flow_id, fmt, docs, ctype)
     return docs.count()
 
 
@@ -296,14 +296,14 @@ class RunResult:
 
 
 def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFrame] | None = None,
-             out_dir: str | None = None, versions_table: str | None = None, pipe_id: str = "flow",
+             out_dir: str | None = None, versions_table: str | None = None, flow_id: str = "flow",
              runs_table: str | None = None, trigger: str = "manual", observe_nodes: bool = False,
              raise_errors: bool = True, logs_table: str | None = None) -> RunResult:
     """Run every node once in dependency order; sinks act."""
     cfg = json.loads(config) if isinstance(config, str) else config
     run_id = str(uuid.uuid4())
     started = time.time()
-    ctx = Context(spark, dict(sources or {}), out_dir, versions_table, pipe_id, observe=observe_nodes)
+    ctx = Context(spark, dict(sources or {}), out_dir, versions_table, flow_id, observe=observe_nodes)
     results: dict[str, Feed | None] = {}
     observations: dict[str, Observation] = {}
     persisted: list[Feed] = []
@@ -371,7 +371,7 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
             from .history import LOG_SCHEMA
             spark.createDataFrame(rows, LOG_SCHEMA).write.mode("append").parquet(logs_table)
     if runs_table:
-        row = [(run_id, pipe_id, status, trigger, int(started), int(done), res.duration_ms, items, error)]
+        row = [(run_id, flow_id, status, trigger, int(started), int(done), res.duration_ms, items, error)]
         from .history import RUN_SCHEMA
         spark.createDataFrame(row, RUN_SCHEMA).write.mode("append").parquet(runs_table)
         if error and raise_errors:

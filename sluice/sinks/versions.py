@@ -1,11 +1,11 @@
 """Saved outputs (O6) and published outputs.
 
-The reference keeps one row per (pipe, format), replaced on every run.
+The reference keeps one row per (flow, format), replaced on every run.
 Here every save appends a version row to a Parquet table (append-only:
 no read-modify-write, safe when tasks are retried) and the latest version
-is a view: ``row_number() over (partition by pipe_id, format order by
+is a view: ``row_number() over (partition by flow_id, format order by
 created_at desc) = 1``. Spark plans that with a partial
-``WindowGroupLimit`` before the shuffle, so a pipe with very many versions
+``WindowGroupLimit`` before the shuffle, so a flow with very many versions
 costs one row per input partition.
 """
 
@@ -16,16 +16,16 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VERSION_SCHEMA = ("pipe_id string, format string, content string, content_type string, "
+VERSION_SCHEMA = ("flow_id string, format string, content string, content_type string, "
                   "created_at bigint")
 
 
-def save_output(spark: SparkSession, table_path: str, pipe_id: str, fmt: str,
+def save_output(spark: SparkSession, table_path: str, flow_id: str, fmt: str,
                 documents: DataFrame, content_type: str, created_at: int | None = None) -> int:
     """Append the document(s) of ``documents`` (column ``document``) as new
     versions. Zero rows -> nothing appended, the previous output stays."""
     ts = int(created_at if created_at is not None else time.time())
-    rows = documents.select(F.lit(pipe_id).alias("pipe_id"), F.lit(fmt).alias("format"),
+    rows = documents.select(F.lit(flow_id).alias("flow_id"), F.lit(fmt).alias("format"),
                             F.col("document").alias("content"), F.lit(content_type).alias("content_type"),
                             F.lit(ts).cast("bigint").alias("created_at"))
     n = rows.count()
@@ -34,7 +34,7 @@ def save_output(spark: SparkSession, table_path: str, pipe_id: str, fmt: str,
     return n
 
 
-def latest_versions(versions: DataFrame, keys=("pipe_id", "format"), ts="created_at",
+def latest_versions(versions: DataFrame, keys=("flow_id", "format"), ts="created_at",
                     tie: str | None = None) -> DataFrame:
     """O6 view: the newest row per key."""
     order = [F.col(ts).desc()] + ([F.col(tie).desc()] if tie else [])
@@ -42,39 +42,39 @@ def latest_versions(versions: DataFrame, keys=("pipe_id", "format"), ts="created
     return versions.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
-def published_outputs(pipes: DataFrame, latest: DataFrame, fmt: str = "json",
-                      pipe_key: str = "pipe_id") -> DataFrame:
-    """The latest output in ``fmt`` of every public pipe."""
-    return pipes.where(F.col("is_public")).select(pipe_key) \
-        .join(latest.where(F.col("format") == fmt), pipe_key)
+def published_outputs(flows: DataFrame, latest: DataFrame, fmt: str = "json",
+                      flow_key: str = "flow_id") -> DataFrame:
+    """The latest output in ``fmt`` of every public flow."""
+    return flows.where(F.col("is_public")).select(flow_key) \
+        .join(latest.where(F.col("format") == fmt), flow_key)
 
 
-def pipes_to_run(pipes: DataFrame, latest: DataFrame, fmt: str = "json",
-                 pipe_key: str = "pipe_id") -> DataFrame:
-    """O7 "run if absent": public pipes without an output in ``fmt``."""
-    return pipes.where(F.col("is_public")).select(pipe_key) \
-        .join(latest.where(F.col("format") == fmt), pipe_key, "left_anti")
+def flows_to_run(flows: DataFrame, latest: DataFrame, fmt: str = "json",
+                 flow_key: str = "flow_id") -> DataFrame:
+    """O7 "run if absent": public flows without an output in ``fmt``."""
+    return flows.where(F.col("is_public")).select(flow_key) \
+        .join(latest.where(F.col("format") == fmt), flow_key, "left_anti")
 
 
-def read_published(spark: SparkSession, versions_path: str, pipes: DataFrame, pipe_id: str,
+def read_published(spark: SparkSession, versions_path: str, flows: DataFrame, flow_id: str,
                    fmt: str = "json", run_if_absent=None):
-    """O7 for one request: the latest content of a public pipe in ``fmt``
+    """O7 for one request: the latest content of a public flow in ``fmt``
     (``(content, content_type)`` or None). When there is none yet and
     ``run_if_absent`` is given, it is called once (e.g. ``run_flow`` with a
-    versions table) and the lookup repeated. The filters on pipe and format
+    versions table) and the lookup repeated. The filters on flow and format
     reach the Parquet scan; one document comes back to the caller."""
     def lookup():
         try:
             versions = spark.read.parquet(versions_path)
         except Exception:  # noqa: BLE001 - no version written yet
             return None
-        mine = versions.where((F.col("pipe_id") == pipe_id) & (F.col("format") == fmt))
-        pub = pipes.where(F.col("pipe_id") == pipe_id)
+        mine = versions.where((F.col("flow_id") == flow_id) & (F.col("format") == fmt))
+        pub = flows.where(F.col("flow_id") == flow_id)
         row = published_outputs(pub, latest_versions(mine), fmt).select("content", "content_type").first()
         return None if row is None else (row["content"], row["content_type"])
 
-    if pipes.where((F.col("pipe_id") == pipe_id) & F.col("is_public")).isEmpty():
-        return None  # unknown or private pipe: nothing is served, nothing runs
+    if flows.where((F.col("flow_id") == flow_id) & F.col("is_public")).isEmpty():
+        return None  # unknown or private flow: nothing is served, nothing runs
     found = lookup()
     if found is None and run_if_absent is not None:
         run_if_absent()

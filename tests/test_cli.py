@@ -24,7 +24,7 @@ def test_run_flow_job(tmp_path):
     proc = subprocess.run(
         [sys.executable, "-m", "sluice", "run", "--config", str(tmp_path / "flow.json"),
          "--source", f"documents={SF_SMALL}/documents.parquet", "--out", str(out), "--runs", str(runs),
-         "--pipe", "docs-en"],
+         "--flow", "docs-en"],
         cwd=REPO, env=env, capture_output=True, text=True, timeout=300)
     assert proc.returncode == 0, proc.stderr[-2000:]
     result = json.loads(proc.stdout.strip().splitlines()[-1])

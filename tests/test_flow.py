@@ -73,7 +73,7 @@ def test_run_logs_and_history(spark, scratch):
     runs, logs = os.path.join(scratch, "runs"), os.path.join(scratch, "logs")
     for _ in range(2):
         run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"), runs_table=runs,
-                 logs_table=logs, observe_nodes=True, pipe_id="p1")
+                 logs_table=logs, observe_nodes=True, flow_id="p1")
     lines = spark.read.parquet(logs)
     assert {r["message"] for r in lines.where("node_id = 'f'").collect()} == {"5 items", "Filtered 10 -> 5 items"}
     assert run_log(lines).where("line = 1").count() == 2

@@ -77,7 +77,7 @@ def test_read_published_runs_once_when_absent(spark, scratch):
     from sluice.plans.flow import run_flow
     from sluice.sinks.versions import read_published
     table = os.path.join(scratch, "versions")
-    pipes = spark.createDataFrame([("p1", True), ("p2", False)], "pipe_id string, is_public boolean")
+    flows = spark.createDataFrame([("p1", True), ("p2", False)], "flow_id string, is_public boolean")
     src = spark.createDataFrame([(1, "a"), (2, "b")], "i int, v string")
     cfg = {"nodes": [{"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}},
                      {"id": "j", "type": "json-output", "config": {}}],
@@ -86,11 +86,11 @@ def test_read_published_runs_once_when_absent(spark, scratch):
 
     def run():
         calls.append(1)
-        run_flow(spark, cfg, {"x": src}, versions_table=table, pipe_id="p1")
-    content, ctype = read_published(spark, table, pipes, "p1", "json", run)
+        run_flow(spark, cfg, {"x": src}, versions_table=table, flow_id="p1")
+    content, ctype = read_published(spark, table, flows, "p1", "json", run)
     assert json.loads(content)["count"] == 2 and ctype == "application/json" and calls == [1]
-    assert read_published(spark, table, pipes, "p1", "json", run)[0] == content and calls == [1]
-    assert read_published(spark, table, pipes, "p2", "json", run) is None and calls == [1]  # private
+    assert read_published(spark, table, flows, "p1", "json", run)[0] == content and calls == [1]
+    assert read_published(spark, table, flows, "p2", "json", run) is None and calls == [1]  # private
 
 
 def test_rss_categories_keep_text_members_of_mixed_lists(spark):
