@@ -843,7 +843,7 @@ def q_rss_feed_documents(spark, sf):
 
 
 @query("webhook_delivery", """
-select (rn - 1) // 250 as batch, count(*) as count, min(o_orderkey) as first_key, max(o_orderkey) as last_key
+select (rn - 1) // 250 as batch, (select count(*) from orders) as total, count(*) as count, min(o_orderkey) as first_key, max(o_orderkey) as last_key
 from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders) group by all""")
 def q_webhook_delivery(spark, sf):
     import uuid
@@ -852,11 +852,10 @@ def q_webhook_delivery(spark, sf):
     from .sinks.webhook import deliver
     target = scratch_path(spark, f"webhook_delivery/{uuid.uuid4().hex}")
     f = map_fields(items(spark, sf, "orders", "o_orderkey"), "key:o_orderkey")
-    deliver(webhook_payloads(f, 250), target if "://" in target else "file://" + target)
-    sent = spark.read.text(target, wholetext=True).select(
-        F.from_json("value", "count bigint, items array<struct<key bigint>>").alias("p"),
-        F.regexp_extract(F.input_file_name(), r"batch-([0-9]+)\.json", 1).cast("bigint").alias("batch"))
-    return sent.select("batch", F.col("p.count").alias("count"),
+    deliver(webhook_payloads(f, 250), target)
+    sent = spark.read.schema("value string, batch bigint").text(target).select(
+        F.from_json("value", "batch bigint, total bigint, count bigint, items array<struct<key bigint>>").alias("p"))
+    return sent.select(F.col("p.batch").alias("batch"), F.col("p.total").alias("total"), F.col("p.count").alias("count"),
                        F.array_min(F.col("p.items.key")).alias("first_key"),
                        F.array_max(F.col("p.items.key")).alias("last_key"))
 

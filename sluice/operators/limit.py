@@ -8,9 +8,11 @@ truncate (``0.5`` -> none, ``2.9`` -> 2).
 partition keeps its own top n, and only those meet in one task -- the
 data is never globally sorted, and a preceding Sort costs nothing extra.
 
-Top-k keeps n rows per task, so a large n would not fit one task: above
-``TOPK_MAX_ROWS`` the limit becomes ``rank <= n`` over ``global_rank``
+Top-k lets n rows of every task meet in one, so a large n would not fit it:
+above ``TOPK_MAX_ROWS`` the limit becomes ``rank <= n`` over ``global_rank``
 (range-partitioned sort + per-partition offsets), which stays distributed.
+That is a choice of plan only: the same items come out for any n and any
+ordering. A feed without an ordering has the order of its partitions.
 """
 
 from __future__ import annotations

@@ -31,8 +31,8 @@ from ..operators.filter import filter_items
 from ..operators.limit import limit_items
 from ..operators.merge import merge
 from ..operators.sort import sort_items
-from ..sinks.documents import (JSON_CONTENT_TYPE, RSS_CONTENT_TYPE, json_envelope, rss_document,
-                               webhook_payloads, write_json_lines)
+from ..sinks.documents import (JSON_CONTENT_TYPE, RSS_CONTENT_TYPE, json_chunks, rss_chunks, webhook_payloads,
+                               write_chunks, write_json_lines)
 from ..sources.feed_source import feed_items
 from ..sources.json_source import headers_from_text, json_items
 
@@ -74,7 +74,7 @@ def _first(inputs: list[Feed]) -> Feed | None:
 
 def _source_table(ctx: Context, key: str) -> DataFrame:
     if not key:
-        raise FlowError("url is required")
+        raise FlowError("a source needs a url")
     if key not in ctx.sources:
         raise FlowError(f"no landed payloads for {key!r}")
     return ctx.sources[key]
@@ -151,26 +151,23 @@ def _truncate(inputs, cfg, ctx):
     return None if f is None else truncate(f, cfg.get("field", "") or "", ml, cfg.get("suffix", "") or "")
 
 
-def _save(ctx: Context, fmt: str, docs: DataFrame, ctype: str) -> int:
+def _save(ctx: Context, fmt: str, chunks: DataFrame, ctype: str) -> None:
     if ctx.versions_table:
         from ..sinks.versions import save_output
-        return save_output(ctx.spark, ctx.versions_table, ctx.flow_id, fmt, docs, ctype)
-    return docs.count()
+        save_output(ctx.spark, ctx.versions_table, ctx.flow_id, fmt, chunks, ctype)
 
 
 def _json_output(inputs, cfg, ctx):
     f = _first(inputs)
     if f is None:
-        ctx.log("info", "No input data")
+        ctx.log("info", "nothing to write: no input")
         return None
-    if ctx.out_dir:
-        n = write_json_lines(f, f"{ctx.out_dir}/{ctx.node_id}")
-    else:
-        # one bounded document, computed once for saving and counting
-        docs = json_envelope(f, int(cfg.get("bound", 10_000))).persist()
-        saved = _save(ctx, "json", docs, JSON_CONTENT_TYPE)
-        n = docs.select("count").first()[0] if saved else 0
-        docs.unpersist()
+    n = write_json_lines(f, f"{ctx.out_dir}/{ctx.node_id}") if ctx.out_dir else None
+    if ctx.versions_table or n is None:
+        made = json_chunks(f)
+        if made is not None:
+            _save(ctx, "json", made[0], JSON_CONTENT_TYPE)
+        n = made[1] if made is not None else 0
     ctx.sink_counts[ctx.node_id] = n
     return f
 
@@ -178,20 +175,18 @@ def _json_output(inputs, cfg, ctx):
 def _rss_output(inputs, cfg, ctx):
     f = _first(inputs)
     if f is None:
-        ctx.log("info", "No input data")
+        ctx.log("info", "nothing to write: no input")
         return None
-    docs = rss_document(f, cfg.get("title", "") or "", cfg.get("description", "") or "",
-                        cfg.get("link", "") or "", int(cfg.get("bound", 10_000))).persist()
-    first = docs.select("count").first()
-    if first is None:
-        ctx.log("info", "No input data")   # nothing written, earlier output stays
-        docs.unpersist()
+    made = rss_chunks(f, cfg.get("title", "") or "", cfg.get("description", "") or "", cfg.get("link", "") or "")
+    if made is None:
+        ctx.log("info", "nothing to write: no items")   # earlier output stays
+        ctx.sink_counts[ctx.node_id] = 0
         return f
+    chunks, n = made
     if ctx.out_dir:
-        docs.select("document").write.mode("overwrite").text(f"{ctx.out_dir}/{ctx.node_id}")
-    _save(ctx, "rss", docs, RSS_CONTENT_TYPE)
-    ctx.sink_counts[ctx.node_id] = int(first[0])
-    docs.unpersist()
+        write_chunks(chunks, f"{ctx.out_dir}/{ctx.node_id}")
+    _save(ctx, "rss", chunks, RSS_CONTENT_TYPE)
+    ctx.sink_counts[ctx.node_id] = n
     return f
 
 
@@ -199,15 +194,14 @@ def _webhook_output(inputs, cfg, ctx):
     from ..sinks.webhook import deliver
     f = _first(inputs)
     if f is None:
-        ctx.log("info", "No input data")
+        ctx.log("info", "nothing to send: no input")
         return None
     url = cfg.get("url", "")
     if not url:
-        raise FlowError("webhook URL is required")
-    payloads = webhook_payloads(f, int(cfg.get("batch_size", 1000))).persist()
+        raise FlowError("a webhook output needs a url")
+    payloads = webhook_payloads(f, int(cfg.get("batch_size", 1000)))
     deliver(payloads, url, headers_from_text(cfg.get("headers", "")))
     ctx.sink_counts[ctx.node_id] = int(payloads.agg(F.sum("count")).first()[0] or 0)
-    payloads.unpersist()
     return f
 
 
@@ -322,7 +316,7 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
             try:
                 out = REGISTRY[node["type"]](inputs, node.get("config") or {}, ctx)
             except Exception as ex:
-                ctx.log("error", f"Execution failed: {ex}")
+                ctx.log("error", f"node failed: {ex}")
                 raise FlowError(f"node {node_id} ({node['type']}): {ex}") from ex
             if out is not None and observe_nodes and node["type"] not in SINK_TYPES:
                 obs = Observation(f"n_{node_id}_{run_id[:8]}")
@@ -344,6 +338,9 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
     done = time.time()
     status = "failed" if error else "success"
     items = sum(ctx.sink_counts.values())
+    if not error and not ctx.sink_counts and results:
+        last = results[order[-1]]  # a flow without a sink has processed what its last node holds
+        items = last.df.count() if last is not None else 0
     node_counts = {}
     if observations and not error:
         for k, o in observations.items():

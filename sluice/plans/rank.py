@@ -27,7 +27,8 @@ def global_rank(feed: Feed, name: str = "rank", partitions: int | None = None,
                 checkpoint: bool = True) -> Feed:
     spark = feed.df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = feed.df.repartitionByRange(n, *feed.order_columns()) \
+    # a feed without an ordering keeps the order in which its partitions hold it
+    sorted_df = feed.df if not feed.ordering else feed.df.repartitionByRange(n, *feed.order_columns()) \
         .sortWithinPartitions(*feed.order_columns())
     mid = fresh("mid")
     with_id = sorted_df.withColumn(mid, F.monotonically_increasing_id())

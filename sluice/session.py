@@ -66,7 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", sc_dir)
         return sc_dir
     master = spark.conf.get("spark.master", "") or (sc.master if sc is not None else "")
-    if master and not master.startswith("local"):
+    if master and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
     # local mode only (tests, laptops): a fresh scratch folder of our own
     local = tempfile.mkdtemp(prefix="sluice-ckpt-", dir=os.environ.get("SLUICE_SCRATCH", "/tmp"))
@@ -80,3 +80,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def stage(df, tag: str):
+    """Write a table once to the shared folder and read it back: what follows
+    (sampling for a sort, counting, writing) reads the copy, not the inputs
+    again. Returns the table and its folder, for ``discard``."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"staged/{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch tables that no later plan reads."""
+    for path in paths:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def publish(spark: SparkSession, written: str, path: str) -> None:
+    """Put a completely written folder in the place of ``path``: until then
+    the earlier output stays, whatever happens to the job."""
+    fs, src = _fs(spark, written)
+    _, dst = _fs(spark, path)
+    fs.delete(dst, True)
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst):
+        raise OSError(f"{written} could not be moved to {path}")

@@ -1,31 +1,37 @@
 """Outputs O1-O5, O8: JSON lines / JSON envelope, RSS, webhook payloads.
 
-Scalable forms write one record per item (JSON lines, RSS ``<item>``
-fragments) with a range-partitioned sort, so the part files are in feed
-order and no task holds more than its range.
+The outputs of flows have no bound: items are turned into text once and
+staged, numbered with ``global_rank``, and written in feed order as JSON
+lines, or as the ordered chunks (``CHUNK_ITEMS`` items each) of one document
+(``document_chunks``): the chunks one after another are the reference's
+``{"count", "items"}`` envelope or RSS document, for any number of items.
 
-Single-document forms (the reference's ``{"count", "items"}`` envelope
-and the RSS document) gather rows into one value by nature: they take a
-mandatory bound (``limit``, default 10,000 items) and go through the
-top-k path first, so at most ``limit`` rows ever meet in one task.
+``json_envelope`` and ``rss_document`` put a document into a single value
+for callers that want one; they gather rows by nature, so they take a bound
+(``limit``, default 10,000 items), go through the top-k path and fail beyond
+it instead of leaving items out.
 
 Every output returns its input feed (O8: outputs pass items through).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..feed import VALUE, Feed, col, fresh
+from ..feed import VALUE, Feed, OrderKey, col, fresh
 from ..functions.text import epoch_to_rfc1123z
 from ..functions.values import INTEGRAL_TYPES, resolve_flat
 from ..operators.limit import limit_items
 from ..plans.rank import global_rank
+from ..session import discard, publish, stage
 from .gojson import render
 
 DEFAULT_DOCUMENT_BOUND = 10_000
+CHUNK_ITEMS = 1000
 ENVELOPE_INDENT = "  "
 # Channel defaults of the RSS output (title and description
 # are our own wording; the link is the reference's default).
@@ -54,21 +60,92 @@ def item_json(feed: Feed, indent: str | None = None, level: int = 0) -> Column:
     return obj
 
 
-def write_json_lines(feed: Feed, path: str, mode: str = "overwrite") -> int:
+def _staged(feed: Feed, text: Column, tag: str) -> tuple[Feed, str]:
+    """The feed's order columns and one text per item (``text``), written
+    once: the inputs run a single time, whatever reads the texts later."""
+    slim = feed.df.select(text.alias("text"), *[col(k.name) for k in feed.ordering])
+    df, path = stage(slim, tag)
+    return Feed(df, list(feed.ordering)), path
+
+
+def _publish_text(df: DataFrame, path: str) -> None:
+    spark = df.sparkSession
+    written = f"{path.rstrip('/')}.{uuid.uuid4().hex}"  # beside the target, on its file system
+    df.write.text(written)
+    publish(spark, written, path)
+
+
+def write_json_lines(feed: Feed, path: str) -> int:
     """O1, scalable form: items as JSON lines in feed order; returns count.
 
-    Empty input writes nothing (the previous output stays)."""
-    lines = feed.ordered().select(item_json(feed).alias("value"))
-    if lines.isEmpty():
-        return 0
-    obs = Observation(fresh("json_out"))
-    lines.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).text(path)
-    return int(obs.get["n"])
+    Empty input writes nothing, and the previous output stays until the new
+    one is complete."""
+    lines, at = _staged(feed, item_json(feed), "json-lines")
+    spark = feed.df.sparkSession
+    n = lines.df.count()
+    if n:
+        _publish_text(lines.ordered().select(col("text").alias("value")), path)
+    discard(spark, at)
+    return n
+
+
+def document_chunks(feed: Feed, text: Column, head: str, between: str, tail: str,
+                    per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
+    """Any number of items as the ordered chunks of one document: rows
+    ``(chunk, document)`` and the number of texts; None for an empty feed.
+    Items whose ``text`` is NULL are left out; ``{count}`` in ``head`` is the
+    number of texts. At most ``per_chunk`` items meet in one row."""
+    size = per_chunk or CHUNK_ITEMS
+    spark = feed.df.sparkSession
+    lines, at = _staged(feed, text, "document")
+    ranked = global_rank(lines, "__pos").df.select(col("__pos"), col("text"))
+    totals = ranked.agg(F.max("__pos").alias("rows"), F.count("text").alias("texts"),
+                        F.min(F.when(col("text").isNotNull(), col("__pos"))).alias("first")).first()
+    discard(spark, at)
+    if totals["rows"] is None:
+        return None
+    last = (totals["rows"] - 1) // size
+    # every text but the first of the document is led by the separator
+    lead = F.when(col("__pos") == F.lit(totals["first"]), F.lit("")).otherwise(F.lit(between))
+    packed = ranked.select(F.floor((col("__pos") - 1) / F.lit(size)).alias("chunk"),
+                           F.struct(col("__pos").alias("r"), F.concat(lead, col("text")).alias("t")).alias("e"))
+    chunks = packed.groupBy("chunk").agg(F.array_sort(F.collect_list("e")).alias("es")).select(
+        "chunk", F.concat(
+            F.when(col("chunk") == 0, F.lit(head.replace("{count}", str(totals["texts"])))).otherwise(F.lit("")),
+            F.array_join(F.transform("es", lambda e: e["t"]), ""),
+            F.when(col("chunk") == F.lit(last), F.lit(tail)).otherwise(F.lit(""))).alias("document"))
+    return chunks, int(totals["texts"])
+
+
+def json_chunks(feed: Feed, per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
+    """O1: the JSON document of a feed of any size, in chunks."""
+    ind = ENVELOPE_INDENT
+    head = "{\n" + ind + '"count": {count},\n' + ind + '"items": [\n' + ind * 2
+    return document_chunks(feed, item_json(feed, ind, 2), head, ",\n" + ind * 2, "\n" + ind + "]\n}", per_chunk)
+
+
+def rss_chunks(feed: Feed, title: str = "", description: str = "", link: str = "",
+               per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
+    """O2: the RSS document of a feed of any size, in chunks. Items that are
+    not objects are skipped; a feed of only such items is an empty channel."""
+    head, tail = rss_channel(title, description, link)
+    text = F.when(feed.is_object(), rss_fragment(feed))
+    return document_chunks(feed, text, head.replace("{count}", "{ count}"), "", tail, per_chunk)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """The chunks as text part files in order. Lines end where rows end, so a
+    chunk's leading line break is the end of the line before it."""
+    line = F.when(col("chunk") == 0, col("document")).otherwise(F.regexp_replace("document", "^\n", ""))
+    _publish_text(chunks.orderBy("chunk").select(line.alias("value")), path)
 
 
 def _bounded_ranked(feed: Feed, limit: int) -> tuple[DataFrame, str]:
     """At most ``limit + 1`` rows (top-k), ranked: one row more than the
     bound lets the document fail loudly instead of silently dropping items."""
+    if not feed.ordering:
+        at = fresh("at")
+        feed = Feed(feed.df.withColumn(at, F.monotonically_increasing_id()), [OrderKey(at)])
     bounded = limit_items(feed, limit + 1)
     rk = fresh("rank")
     return bounded.df.withColumn(rk, F.row_number().over(Window.orderBy(*bounded.order_columns()))), rk
@@ -116,16 +193,20 @@ XML_INVALID_CHARS = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *ra
 
 
 def xml_escape(c: Column) -> Column:
-    c = F.translate(c, XML_INVALID_CHARS, "\ufffd" * len(XML_INVALID_CHARS))
+    """Escaped text. Most texts hold none of the characters concerned: one
+    search spares them nine passes."""
+    out = F.translate(c, XML_INVALID_CHARS, "\ufffd" * len(XML_INVALID_CHARS))
     for a, b in XML_ESCAPES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(c.rlike("[&<>\"'\\x00-\\x1F\\uFFFE\\uFFFF]"), out).otherwise(c)
 
 
 def _string_field(feed: Feed, name: str, default: str) -> Column:
     x, dtype = resolve_flat(feed.df.schema, name)
     if isinstance(dtype, T.StringType):
         return F.coalesce(x, F.lit(default))
+    if isinstance(dtype, T.VariantType):  # mixed types: each item's own value counts
+        return F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), F.lit(default))
     return F.lit(default)
 
 
@@ -143,6 +224,11 @@ def rss_item_fields(feed: Feed) -> dict[str, Column]:
     pa, pa_t = resolve_flat(schema, "published_at")
     if isinstance(pa_t, INTEGRAL_TYPES):
         from_epoch = F.when(pa > 0, epoch_to_rfc1123z(pa)).otherwise(F.lit(""))
+    elif isinstance(pa_t, (T.DoubleType, T.FloatType, T.VariantType)):
+        # a merge with JSON items may have widened the epoch: whole numbers count
+        num = F.try_variant_get(pa, "$", "double") if isinstance(pa_t, T.VariantType) else pa.cast("double")
+        whole = (num > 0) & (num == F.floor(num)) & (num < F.lit(1e15))
+        from_epoch = F.when(whole, epoch_to_rfc1123z(F.when(whole, num).cast("bigint"))).otherwise(F.lit(""))
     else:
         from_epoch = F.lit("")
     cats, cats_t = resolve_flat(schema, "categories")
@@ -227,6 +313,8 @@ def rss_document(feed: Feed, title: str = "", description: str = "", link: str =
                       F.array_sort(F.collect_list(F.struct(col(rk).alias("r"), col("fragment").alias("f"))))
                       .alias("fs"))
     doc = F.concat(F.lit(head), F.array_join(F.transform(col("fs"), lambda e: e["f"]), ""), F.lit(tail))
+    if not group_cols:
+        agg = agg.where(col("count") > 0)  # nothing to write: the earlier document stays
     return agg.select(*[col(g) for g in group_cols], col("count"),
                       _whole_or_fail(col("count"), limit, doc, "rss_document").alias("document"))
 
@@ -236,20 +324,25 @@ def rss_document(feed: Feed, title: str = "", description: str = "", link: str =
 # ---------------------------------------------------------------------------
 
 def webhook_payloads(feed: Feed, batch_size: int = 1000) -> DataFrame:
-    """``{"count": n, "items": [...]}`` payloads of at most
-    ``batch_size`` items each, in feed order: batch = (global position - 1)
-    // batch_size, the global position coming from ``global_rank`` (no
-    single-partition window). Each group holds at most ``batch_size`` rows."""
+    """Payloads of at most ``batch_size`` items each, in feed order:
+    batch = (global position - 1) // batch_size, the global position coming
+    from ``global_rank`` (no single-partition window). Every payload has the
+    same form, however many there are: ``batch`` (from 0) of ``batches``,
+    ``count`` items here of ``total``, and ``items``."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    ranked = global_rank(feed, "__pos_all")
-    j = item_json(ranked)
-    df = ranked.df.select(((col("__pos_all") - 1) / F.lit(batch_size)).cast("bigint").alias("batch"),
-                          F.struct(col("__pos_all").alias("r"), j.alias("j")).alias("e"))
+    lines, at = _staged(feed, item_json(feed), "webhook")
+    ranked = global_rank(lines, "__pos").df
+    total = ranked.agg(F.max("__pos").alias("n")).first()["n"] or 0
+    discard(feed.df.sparkSession, at)
+    batches = -(-total // batch_size)
+    df = ranked.select(F.floor((col("__pos") - 1) / F.lit(batch_size)).alias("batch"),
+                       F.struct(col("__pos").alias("r"), col("text").alias("j")).alias("e"))
     agg = df.groupBy("batch").agg(F.count(F.lit(1)).alias("count"),
                                   F.array_sort(F.collect_list("e")).alias("es"),
                                   F.min(col("e")["r"]).alias("first_position"))
-    return agg.select("batch", "count", "first_position",
-                      F.concat(F.lit('{"count":'), col("count").cast("string"), F.lit(',"items":['),
+    return agg.select("batch", "count", "first_position", F.lit(total).cast("bigint").alias("total"),
+                      F.concat(F.lit('{"batch":'), col("batch").cast("string"), F.lit(f',"batches":{batches},"count":'),
+                               col("count").cast("string"), F.lit(',"items":['),
                                F.array_join(F.transform(col("es"), lambda e: e["j"]), ","),
-                               F.lit("]}")).alias("payload"))
+                               F.lit(f'],"total":{total}}}')).alias("payload"))

@@ -7,6 +7,11 @@ is a view: ``row_number() over (partition by flow_id, format order by
 created_at desc) = 1``. Spark plans that with a partial
 ``WindowGroupLimit`` before the shuffle, so a flow with very many versions
 costs one row per input partition.
+
+``seq`` numbers the saves (nanoseconds, strictly increasing within a
+process), so that of several saves within a second the last one wins. A
+document of any size is stored as ordered chunks (``chunk``) of one save;
+``latest_documents`` puts them together again.
 """
 
 from __future__ import annotations
@@ -16,18 +21,31 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import path_exists
+
 VERSION_SCHEMA = ("flow_id string, format string, content string, content_type string, "
-                  "created_at bigint")
+                  "created_at bigint, seq bigint, chunk bigint")
+
+_last_seq = 0
+
+
+def _next_seq() -> int:
+    global _last_seq
+    _last_seq = max(_last_seq + 1, time.time_ns())
+    return _last_seq
 
 
 def save_output(spark: SparkSession, table_path: str, flow_id: str, fmt: str,
                 documents: DataFrame, content_type: str, created_at: int | None = None) -> int:
-    """Append the document(s) of ``documents`` (column ``document``) as new
-    versions. Zero rows -> nothing appended, the previous output stays."""
+    """Append ``documents`` (column ``document``, one row or, with a column
+    ``chunk``, the ordered pieces of one document) as a new version. Zero
+    rows -> nothing appended, the previous output stays."""
     ts = int(created_at if created_at is not None else time.time())
+    chunk = F.col("chunk").cast("bigint") if "chunk" in documents.columns else F.lit(0).cast("bigint")
     rows = documents.select(F.lit(flow_id).alias("flow_id"), F.lit(fmt).alias("format"),
                             F.col("document").alias("content"), F.lit(content_type).alias("content_type"),
-                            F.lit(ts).cast("bigint").alias("created_at"))
+                            F.lit(ts).cast("bigint").alias("created_at"),
+                            F.lit(_next_seq()).cast("bigint").alias("seq"), chunk.alias("chunk"))
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(table_path)
@@ -42,6 +60,16 @@ def latest_versions(versions: DataFrame, keys=("flow_id", "format"), ts="created
     return versions.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
+def latest_documents(versions: DataFrame, keys=("flow_id", "format")) -> DataFrame:
+    """The newest saved document per key (``content``, ``content_type``),
+    its chunks in order. The newest save is found by a partial ``max``."""
+    newest = versions.groupBy(*keys).agg(F.max(F.struct("created_at", "seq")).alias("__newest"))
+    chunks = versions.join(newest, list(keys)) \
+        .where(F.struct("created_at", "seq") == F.col("__newest"))
+    return chunks.groupBy(*keys, "content_type", "created_at").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda c: c["content"]), "").alias("content"))
+
+
 def published_outputs(flows: DataFrame, latest: DataFrame, fmt: str = "json",
                       flow_key: str = "flow_id") -> DataFrame:
     """The latest output in ``fmt`` of every public flow."""
@@ -64,13 +92,12 @@ def read_published(spark: SparkSession, versions_path: str, flows: DataFrame, fl
     versions table) and the lookup repeated. The filters on flow and format
     reach the Parquet scan; one document comes back to the caller."""
     def lookup():
-        try:
-            versions = spark.read.parquet(versions_path)
-        except Exception:  # noqa: BLE001 - no version written yet
-            return None
+        if not path_exists(spark, versions_path):
+            return None  # no version written yet
+        versions = spark.read.schema(VERSION_SCHEMA).parquet(versions_path)
         mine = versions.where((F.col("flow_id") == flow_id) & (F.col("format") == fmt))
         pub = flows.where(F.col("flow_id") == flow_id)
-        row = published_outputs(pub, latest_versions(mine), fmt).select("content", "content_type").first()
+        row = published_outputs(pub, latest_documents(mine), fmt).select("content", "content_type").first()
         return None if row is None else (row["content"], row["content_type"])
 
     if flows.where((F.col("flow_id") == flow_id) & F.col("is_public")).isEmpty():

@@ -4,8 +4,9 @@ Payload rows ``(batch, count, payload)`` from ``webhook_payloads`` are
 written with ``df.write.format("sluice-webhook")``: every task posts its
 own payloads, nothing passes through the driver. Transport by URL scheme:
 
-* ``file:///dir`` -- one file per batch (``batch-<n>.json``); a retried
-  task rewrites the same names, so delivery is idempotent (tests use it);
+* any path or URL of a Spark file system (``file:``, ``hdfs:``, ``s3a:``)
+  -- one folder per batch (``batch=<n>``) written by Spark, so tasks leave
+  nothing on their own disks and a retried task leaves nothing twice;
 * ``http(s)://``   -- POST, ``Content-Type: application/json`` plus the
   configured headers, 30 s timeout; a status >= 400 fails the task, and
   Spark's task retry re-sends that partition's batches.
@@ -14,7 +15,6 @@ own payloads, nothing passes through the driver. Transport by URL scheme:
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -51,17 +51,9 @@ class WebhookWriter(DataSourceWriter):
         sent = 0
         for row in iterator:
             body = row["payload"].encode("utf-8")
-            if self.url.startswith("file://"):
-                d = self.url[len("file://"):]
-                os.makedirs(d, exist_ok=True)
-                tmp = os.path.join(d, f".batch-{row['batch']}.tmp")
-                with open(tmp, "wb") as fh:
-                    fh.write(body)
-                os.replace(tmp, os.path.join(d, f"batch-{row['batch']}.json"))
-            else:
-                status = _post(self.url, body, self.headers)
-                if status >= 400:
-                    raise RuntimeError(f"webhook returned HTTP {status}")
+            status = _post(self.url, body, self.headers)
+            if status >= 400:
+                raise RuntimeError(f"webhook returned HTTP {status}")
             sent += 1
         return _Commit(sent)
 
@@ -89,6 +81,9 @@ def register(spark) -> None:
 
 def deliver(payloads, url: str, headers: dict[str, str] | None = None) -> None:
     """Send every payload row; raises if any batch fails."""
+    if not url.startswith(("http://", "https://")):
+        payloads.select("batch", payloads["payload"].alias("value")).write.mode("overwrite").partitionBy("batch").text(url)
+        return
     register(payloads.sparkSession)
     payloads.select("batch", "count", "payload").write.format("sluice-webhook") \
         .option("url", url).option("headers", json.dumps(headers or {})).mode("append").save()

@@ -58,7 +58,9 @@ def test_webhook_batches_and_file_delivery(spark, scratch):
     assert first["count"] == 10 and [x["i"] for x in first["items"]] == list(range(10))
     target = os.path.join(scratch, "hook")
     deliver(p, "file://" + target)
-    assert sorted(os.listdir(target)) == ["batch-0.json", "batch-1.json", "batch-2.json"]
+    assert sorted(x for x in os.listdir(target) if x.startswith("batch")) == ["batch=0", "batch=1", "batch=2"]
+    sent = [json.loads(r["value"]) for r in spark.read.text(target).collect()]
+    assert sorted((x["batch"], x["batches"], x["count"], x["total"]) for x in sent) == [(0, 3, 10, 25), (1, 3, 10, 25), (2, 3, 5, 25)]
 
 
 def test_versions_latest(spark, scratch):
