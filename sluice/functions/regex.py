@@ -353,7 +353,8 @@ def translate_pattern(p: str) -> Translated:
             i += 1
             continue
         if ch == "^":
-            out.append("^")
+            # Java's multi-line ^ leaves out the place after a final line break
+            out.append("(?:^|(?<=\\n))" if multiline else "^")
             last = "atom"
             i += 1
             continue

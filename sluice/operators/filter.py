@@ -91,8 +91,10 @@ def _equals(x: Column, dtype: T.DataType, value: str, negate: bool = False) -> C
         except ValueError:
             num = None
         if num is not None and num == num and _go_float_text(num) == value:
-            # the shortest text of a double identifies it uniquely
-            return eq(F.lit(num))
+            # the shortest text of a double identifies it uniquely; only the two
+            # zeros are equal as numbers and differ as texts
+            if num != 0:
+                return eq(F.lit(num))
     text = canonical_text(x, dtype)
     return (text != F.lit(value)) if negate else (text == F.lit(value))
 

@@ -119,7 +119,7 @@ def dedupe(feed: Feed, field: str) -> Feed:
         return feed.with_df(first.df.unionByName(rest))
     rn = fresh("rn")
     if isinstance(dtype, T.StringType) and not feed.has_non_objects:
-        return _dedupe_text(feed, x, rn)
+        return _dedupe_text(feed, field, rn)
     key = canonical_text(x, dtype)
     w = Window.partitionBy(key).orderBy(*feed.order_columns())
     if feed.has_non_objects:
@@ -130,18 +130,16 @@ def dedupe(feed: Feed, field: str) -> Feed:
     return feed.with_df(kept)
 
 
-def _dedupe_text(feed: Feed, x, rn: str) -> Feed:
-    """First wins per text key, partitioned by the raw column: no projected
-    key copy travels through the shuffle (it would double the bytes of long
-    texts). Raw grouping differs from the canonical one only in that a
-    missing value and the literal text ``<nil>`` are one key; their two
-    survivors (at most two rows) are reduced to the first in feed order."""
-    w = Window.partitionBy(x).orderBy(*feed.order_columns())
-    kept = feed.df.withColumn(rn, F.row_number().over(w)).where(col(rn) == 1).drop(rn)
-    nilish = x.isNull() | (x == F.lit(NIL_TEXT))
-    others = kept.where(~nilish)
-    first_nil = limit_items(feed.with_df(kept.where(nilish)), 1)
-    return feed.with_df(others.unionByName(first_nil.df))
+def _dedupe_text(feed: Feed, field: str, rn: str) -> Feed:
+    """First wins per text key in one pass: a missing value and the literal
+    text ``<nil>`` are one key, so the column itself travels with its missing
+    values spelled out, and a flag brings them back. No copy of the key goes
+    through the shuffle (it would double the bytes of long texts)."""
+    missing = fresh("missing")
+    spelled = feed.df.withColumns({missing: col(field).isNull(), field: F.coalesce(col(field), F.lit(NIL_TEXT))})
+    w = Window.partitionBy(col(field)).orderBy(*feed.order_columns())
+    kept = spelled.withColumn(rn, F.row_number().over(w)).where(col(rn) == 1).drop(rn)
+    return feed.with_df(kept.withColumn(field, F.when(~col(missing), col(field))).drop(missing))
 
 
 def merge(inputs: list[Feed], dedupe_field: str = "", sort_field: str = "",

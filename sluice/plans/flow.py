@@ -82,7 +82,7 @@ def _source_table(ctx: Context, key: str) -> DataFrame:
 
 def _rss_source(inputs, cfg, ctx):
     payloads = _source_table(ctx, cfg.get("url", ""))
-    return feed_items(payloads, limit=cfg.get("limit"), keep=[])
+    return feed_items(payloads, limit=cfg.get("limit"), keep=[], on_error=cfg.get("on_error") or "fail")
 
 
 def _http_source(inputs, cfg, ctx):

@@ -31,18 +31,17 @@ def _key_path(step: str) -> str:
     return "$['" + step.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def walk_items_path(v: Column, items_path: str) -> Column:
-    """Map step by key, list step by index; anything else -> NULL."""
-    if not items_path:
-        return v
-    for step in items_path.split("."):
-        by_key = F.try_variant_get(v, _key_path(step), "variant")
+def walk_items_path(df: DataFrame, items_path: str, at: str) -> DataFrame:
+    """Column ``at`` (VARIANT) becomes what the path leads to: map step by
+    key, list step by index; anything else -> NULL. Every step is a
+    projection over a column, so the document is parsed once and a step is
+    two lookups, whatever the depth."""
+    for step in items_path.split(".") if items_path else []:
+        v = F.try_variant_get(col(at), _key_path(step), "variant")
         if re.fullmatch(r"[0-9]+", step):
-            by_index = F.try_variant_get(v, f"$[{int(step)}]", "variant")
-            v = F.coalesce(by_key, by_index)
-        else:
-            v = by_key
-    return v
+            v = F.coalesce(v, F.try_variant_get(col(at), f"$[{int(step)}]", "variant"))
+        df = df.withColumn(at, v)
+    return df
 
 
 def _numbers_to_double(dtype: T.DataType) -> T.DataType:
@@ -73,10 +72,11 @@ def json_payload_items(payloads: DataFrame, payload_col: str = "payload",
     keeps the first n items of each payload (cut before exploding)."""
     from ..operators.limit import limit_count
     parse = F.parse_json if on_error == "fail" else F.try_parse_json
-    v = walk_items_path(parse(col(payload_col)), items_path)
-    kind = F.schema_of_variant(v)
-    as_list = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")) \
-        .otherwise(F.array(v))
+    doc = fresh("doc")
+    walked = walk_items_path(payloads.withColumn(doc, parse(col(payload_col))), items_path, doc)
+    kind = F.schema_of_variant(col(doc))
+    as_list = F.when(kind.startswith("ARRAY"), F.try_variant_get(col(doc), "$", "array<variant>")) \
+        .otherwise(F.array(col(doc)))
     n = limit_count(limit)
     if n is not None:
         as_list = F.slice(as_list, 1, n) if n > 0 else F.filter(as_list, lambda x: F.lit(False))
@@ -90,16 +90,14 @@ def json_payload_items(payloads: DataFrame, payload_col: str = "payload",
         h = fresh("src")
         hidden.append(col(c).alias(h))
         src_keys.append(OrderKey(h))
-    df = payloads.select(*keep, *hidden, F.posexplode(as_list).alias(pos, item))
+    df = walked.select(*keep, *hidden, F.posexplode(as_list).alias(pos, item))
     return Feed(df, src_keys + [OrderKey(pos)])
 
 
-def infer_item_schema(feed: Feed, item: str = "__item", sample_fraction: float | None = None) -> T.StructType:
+def infer_item_schema(feed: Feed, item: str = "__item") -> T.StructType:
     """One aggregation pass (partial per task, merged once): the merged
-    schema of the object items -- of a sample when ``sample_fraction`` is
-    given (fields seen only outside the sample are then not columns)."""
-    df = feed.df if not sample_fraction else feed.df.sample(fraction=sample_fraction, seed=17)
-    row = df.where(F.schema_of_variant(col(item)).startswith("OBJECT")) \
+    schema of all object items."""
+    row = feed.df.where(F.schema_of_variant(col(item)).startswith("OBJECT")) \
         .agg(F.schema_of_variant_agg(col(item)).alias("s")).first()
     ddl = row["s"] if row and row["s"] else "OBJECT<>"
     if not ddl.startswith("OBJECT<") or ddl == "OBJECT<>":
@@ -111,11 +109,10 @@ def infer_item_schema(feed: Feed, item: str = "__item", sample_fraction: float |
 
 
 def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
-                     item: str = "__item", keep: list[str] | None = None,
-                     infer_fraction: float | None = None) -> Feed:
+                     item: str = "__item", keep: list[str] | None = None) -> Feed:
     """Project VARIANT items to typed columns + ``__obj`` / ``__value``."""
     if schema is None:
-        schema = infer_item_schema(feed, item, infer_fraction)
+        schema = infer_item_schema(feed, item)
     elif isinstance(schema, str):
         schema = _ddl_type(feed.df.sparkSession, "struct<" + schema + ">")
     v = col(item)
@@ -136,13 +133,11 @@ def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
 
 
 def json_items(payloads: DataFrame, items_path: str = "", schema=None, payload_col: str = "payload",
-               order_cols: list[str] | None = None, limit=None, on_error: str = "fail",
-               infer_fraction: float | None = None) -> Feed:
+               order_cols: list[str] | None = None, limit=None, on_error: str = "fail") -> Feed:
     """S7-S10 in one call; ``limit`` applies per payload (S6). Without a
-    declared ``schema`` one inference pass runs (over a sample when
-    ``infer_fraction`` is given)."""
+    declared ``schema`` one inference pass runs over all items."""
     feed = json_payload_items(payloads, payload_col, items_path, order_cols, on_error, limit)
-    return items_to_columns(feed, schema, infer_fraction=infer_fraction)
+    return items_to_columns(feed, schema)
 
 
 def to_payload(items: DataFrame, group_cols: list[str], order_col: str, items_path: str = "data.items",

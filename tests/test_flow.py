@@ -118,3 +118,94 @@ def test_regex_node_logs_modified_count(spark, scratch):
     run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, "out"), logs_table=logs, observe_nodes=True)
     msgs = {r["message"] for r in spark.read.parquet(logs).where("node_id = 'r'").collect()}
     assert "Modified 2 of 3 items" in msgs
+
+
+def _table_flow(sink, *mid, order_by="i"):
+    nodes = [{"id": "s", "type": "table-source", "config": {"table": "x", "order_by": order_by}}, *mid, sink]
+    return _cfg(nodes, [(a["id"], b["id"]) for a, b in zip(nodes, nodes[1:])])
+
+
+NOTHING = {"id": "f", "type": "filter", "config": {"field": "t", "operator": "equals", "value": "no such"}}
+
+
+def test_outputs_have_no_bound_and_keep_order(spark, scratch, monkeypatch):
+    import sluice.sinks.documents as D
+    from sluice.sinks.versions import VERSION_SCHEMA, latest_documents
+    monkeypatch.setattr(D, "CHUNK_ITEMS", 7)
+    src = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "i int, title string").repartition(5)
+    table = os.path.join(scratch, "versions")
+    for kind in ("json", "rss"):
+        cfg = _table_flow({"id": "o", "type": f"{kind}-output", "config": {}})
+        res = run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, kind), versions_table=table)
+        assert res.items_processed == 50
+    saved = {r["format"]: r["content"] for r in
+             latest_documents(spark.read.schema(VERSION_SCHEMA).parquet(table)).collect()}
+    import json
+    doc = json.loads(saved["json"])
+    assert doc["count"] == 50 and [x["i"] for x in doc["items"]] == list(range(50))
+    import re
+    assert re.findall(r"<title>(t\d+)</title>", saved["rss"]) == [f"t{i}" for i in range(50)]
+    assert saved["rss"].endswith("</rss>")
+    parts = sorted(os.path.join(scratch, "rss", "o", f) for f in os.listdir(os.path.join(scratch, "rss", "o"))
+                   if f.startswith("part"))
+    assert "".join(open(p).read() for p in parts) == saved["rss"] + "\n"
+
+
+def test_empty_output_keeps_the_previous_one(spark, scratch):
+    src = spark.createDataFrame([(1, "a")], "i int, t string")
+    out, table = os.path.join(scratch, "out"), os.path.join(scratch, "versions")
+    for kind in ("json", "rss"):
+        sink = {"id": kind, "type": f"{kind}-output", "config": {}}
+        run_flow(spark, _table_flow(sink), {"x": src}, out_dir=out, versions_table=table)
+        before = spark.read.text(os.path.join(out, kind)).collect()
+        res = run_flow(spark, _table_flow(sink, NOTHING), {"x": src}, out_dir=out, versions_table=table)
+        assert res.items_processed == 0
+        assert spark.read.text(os.path.join(out, kind)).collect() == before
+    assert spark.read.parquet(table).count() == 2
+
+
+def test_last_save_within_a_second_wins(spark, scratch):
+    from sluice.sinks.versions import latest_documents, save_output
+    table = os.path.join(scratch, "versions")
+    for i in range(6):
+        save_output(spark, table, "f", "json", spark.createDataFrame([(f"doc{i}",)], "document string"), "t", created_at=5)
+    assert [r["content"] for r in latest_documents(spark.read.parquet(table)).collect()] == ["doc5"]
+
+
+def test_node_counts_of_an_unordered_table(spark, scratch):
+    src = spark.range(20_000).selectExpr("id as i", "concat('t', id) as title").repartition(8)
+    for sink in ("json-output", "rss-output", "webhook-output"):
+        cfg = _table_flow({"id": "o", "type": sink, "config": {"url": os.path.join(scratch, "hook")}}, order_by=None)
+        res = run_flow(spark, cfg, {"x": src}, out_dir=os.path.join(scratch, sink), observe_nodes=True)
+        assert res.node_counts == {"s": 20_000} and res.items_processed == 20_000
+
+
+def test_feed_flow_items_have_the_feed_fields_only(spark, scratch):
+    from test_sources import RSS
+    payloads = spark.createDataFrame([("a", RSS)], "feed_url string, payload string")
+    cfg = _cfg([{"id": "s", "type": "rss-source", "config": {"url": "u"}},
+                {"id": "o", "type": "json-output", "config": {}}], [("s", "o")])
+    run_flow(spark, cfg, {"u": payloads}, out_dir=scratch)
+    import json
+    keys = {k for r in spark.read.text(os.path.join(scratch, "o")).collect() for k in json.loads(r["value"])}
+    assert keys <= {"title", "description", "content", "link", "author", "published", "published_at", "updated",
+                    "updated_at", "guid", "categories", "enclosures", "image"}
+
+
+def test_flow_without_a_sink_counts_its_last_node(spark):
+    src = spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string")
+    cfg = _cfg([{"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}}], [])
+    assert run_flow(spark, cfg, {"x": src}).items_processed == 2
+
+
+def test_upstream_runs_once_for_a_json_output(spark, scratch):
+    seen = spark.sparkContext.accumulator(0)
+    from pyspark.sql import functions as F
+
+    def count(x):
+        seen.add(1)
+        return x
+    src = spark.createDataFrame([(i, "a") for i in range(100)], "i int, t string") \
+        .withColumn("u", F.udf(count, "string")("t"))
+    run_flow(spark, _table_flow({"id": "o", "type": "json-output", "config": {}}), {"x": src}, out_dir=scratch)
+    assert seen.value == 100

@@ -4,6 +4,7 @@ pushed filters, and the catalogue's contract with the driver."""
 import pytest
 
 import __spark_entry__ as entry
+from sluice import catalog  # the training-data operators may use Python; these may not
 from conftest import SF_SMALL
 
 
@@ -15,23 +16,23 @@ SIDE_EFFECT = {"flow_run_record", "stream_dedupe", "stream_incremental", "stream
                "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SIDE_EFFECT))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SIDE_EFFECT))
 def test_no_python_udf_in_plan(spark, name):
-    p = plan(entry.queries()[name](spark, SF_SMALL))
+    p = plan(catalog.QUERIES[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
 def test_dedupe_is_two_phase(spark):
-    p = plan(entry.queries()["merge_dedupe"](spark, SF_SMALL))
+    p = plan(catalog.QUERIES["merge_dedupe"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p and "Partial" in p and "Final" in p
 
 
 def test_topk(spark):
-    assert "TakeOrderedAndProject" in plan(entry.queries()["sort_numeric_top"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" in plan(catalog.QUERIES["sort_numeric_top"](spark, SF_SMALL))
 
 
 def test_equality_pushed_to_scan(spark):
-    p = plan(entry.queries()["filter_equals_number"](spark, SF_SMALL))
+    p = plan(catalog.QUERIES["filter_equals_number"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(value), EqualTo(value,6.55)]" in p
 
 
@@ -39,7 +40,7 @@ def test_entry_and_oracle_keys(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "source", "n_chars", "rank"]
     assert df.count() >= 0
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(catalog.QUERIES) - set(entry.oracle_sql())
     assert missing == set()
 
 
@@ -47,7 +48,7 @@ def test_entry_and_oracle_keys(spark):
                                   "dedupe_text_copies", "latest_output", "recent_runs",
                                   "limit_per_source_table", "merge_dedupe_sorted_top", "feed_summary"])
 def test_same_result_at_other_partitionings(spark, name):
-    fn = entry.queries()[name]
+    fn = catalog.QUERIES[name]
     def rows():
         return sorted(repr(tuple(r)) for r in fn(spark, SF_SMALL).collect())
     base = rows()
@@ -58,3 +59,18 @@ def test_same_result_at_other_partitionings(spark, name):
             assert rows() == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_payloads_are_parsed_once(spark):
+    from sluice.sources.feed_source import feed_items, feed_summary
+    from sluice.sources.json_source import json_items
+    landed = spark.createDataFrame([("a", '{"d":[[{"x":1}]]}')], "src string, payload string")
+    for path in ("", "d", "d.0", "d.0.0", "d.0.0.x.3.4"):
+        assert plan(json_items(landed, path, "x double").df).count("parseJson(") == 1, path
+    feeds = spark.createDataFrame([("a", "<rss/>")], "feed_url string, payload string")
+    for df in (feed_items(feeds).df, feed_summary(feeds)):
+        assert plan(df).count("from_xml(") == 2  # one for each dialect
+
+
+def test_text_dedupe_reads_its_input_once(spark):
+    assert plan(catalog.QUERIES["dedupe_text_copies"](spark, SF_SMALL)).count("FileScan") == 1

@@ -148,3 +148,35 @@ def test_landed_document_files(spark, tmp_path):
     assert titles == ["", "A & B", "E1"]
     js = json_items(landed_documents(spark, str(tmp_path / "*.json")), "data.items")
     assert sorted(r["id"] for r in js.df.collect()) == [1.0, 2.0]
+
+
+RDF = """<?xml version="1.0"?><!-- c --><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+ xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>R</title></channel>
+<item><title>one</title><dc:date>2006-01-02T15:04:05Z</dc:date></item><item><title>two</title></item></rdf:RDF>"""
+QUOTING = "<rss><channel><title>Q</title><item><title>t</title><description><![CDATA[see <feed xmlns='x'>]]></description>" \
+          "</item></channel></rss>"
+
+
+def test_the_root_element_decides_the_dialect(spark):
+    payloads = spark.createDataFrame([("r", RDF), ("q", QUOTING)], "feed_url string, payload string")
+    got = [(r["feed_url"], r["title"], r["published_at"]) for r in feed_items(payloads).ordered().collect()]
+    assert got == [("q", "t", 0), ("r", "one", 1136214245), ("r", "two", 0)]
+    assert {(r["title"], r["item_count"]) for r in feed_summary(payloads).collect()} == {("R", 2), ("Q", 1)}
+
+
+@pytest.mark.parametrize("bad", ["not xml", "", None, "<rss><channel><item><title>cut", "<html><body/></html>"])
+def test_unreadable_payloads_fail_or_are_set_aside(spark, bad):
+    from sluice.sources.feed_source import bad_payloads
+    payloads = spark.createDataFrame([("a", RSS), ("b", bad)], "feed_url string, payload string")
+    with pytest.raises(Exception, match="unreadable feed payload: b"):
+        feed_items(payloads).df.collect()
+    with pytest.raises(Exception, match="unreadable feed payload: b"):
+        feed_summary(payloads).collect()
+    assert feed_items(payloads, on_error="skip").df.count() == 2
+    assert [r["feed_url"] for r in bad_payloads(payloads).collect()] == ["b"]
+
+
+def test_keep_names_the_payload_columns_carried_along(spark):
+    payloads = spark.createDataFrame([("a", RSS)], "feed_url string, payload string")
+    assert "feed_url" in feed_items(payloads).item_columns
+    assert "feed_url" not in feed_items(payloads, keep=[]).item_columns
