@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .feed import Feed
@@ -932,3 +932,116 @@ def q_stream_flow_runs(spark, sf):
     s = read_stream(spark, f"{base}/land/", land.schema)
     run_flow_incremental(spark, STREAM_FLOW, "landed", s, f"{base}/out", "flow", f"{base}/_ckpt")
     return spark.read.schema("title string").json(f"{base}/out/*/out").select("title")
+
+
+# ---------------------------------------------------------------------------
+# whole flows, outputs compared field by field and in order
+# ---------------------------------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from .session import scratch_path
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
+def _chain(*nodes: dict) -> dict:
+    return {"nodes": list(nodes), "connections": [{"source": a["id"], "target": b["id"]} for a, b in zip(nodes, nodes[1:])]}
+
+
+@query("flow_feed_items_json", """
+select cast(doc_id as varchar) as guid, 'doc ' || cast(doc_id as varchar) as title, text as description,
+       text as content, 'http://example.com/' || source || '/' || cast(doc_id as varchar) as link, lang as author,
+       n_chars * 86400 as published_at, '' as updated, cast(0 as bigint) as updated_at, '' as image,
+       lang || ',' || source as categories,
+       'author,categories,content,description,guid,image,link,published,published_at,title,updated,updated_at' as fields
+from documents""")
+def q_flow_feed_items_json(spark, sf):
+    """Every field of the written items of a feed flow, and no other."""
+    from .plans.flow import run_flow
+    base = _scratch(spark, "flow_feed_items_json")
+    cfg = _chain({"id": "s", "type": "rss-source", "config": {"url": "landed"}}, {"id": "o", "type": "json-output"})
+    run_flow(spark, cfg, {"landed": feed_payloads(spark, sf)}, out_dir=base)
+    lines = spark.read.text(f"{base}/o")
+    item = F.from_json("value", "guid string, title string, description string, content string, link string, author string, "
+                                "published_at bigint, updated string, updated_at bigint, image string, categories array<string>")
+    return lines.select(item.alias("i"), F.array_join(F.array_sort(F.json_object_keys("value")), ",").alias("fields")) \
+        .select("i.*", "fields").withColumn("categories", F.array_join("categories", ","))
+
+
+@query("flow_rss_output", """
+select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as title,
+       row_number() over (order by l_orderkey, l_linenumber) as rank from lineitem""")
+def q_flow_rss_output(spark, sf):
+    """An RSS document of any number of items, read back in document order."""
+    from .plans.flow import run_flow
+    base = _scratch(spark, "flow_rss_output")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(
+        "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("title"))
+    cfg = _chain({"id": "s", "type": "table-source", "config": {"table": "t", "order_by": ["l_orderkey", "l_linenumber"]}},
+                 {"id": "o", "type": "rss-output", "config": {"title": "Lines"}})
+    run_flow(spark, cfg, {"t": rows}, out_dir=base)
+    lines = spark.read.text(f"{base}/o").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    titles = lines.where(F.col("value").startswith("      <title>")) \
+        .withColumn("title", F.regexp_extract("value", "<title>(.*)</title>", 1))
+    return global_rank(Feed.from_table(titles, ["file", "at"])).df.select("title", "rank")
+
+
+LARGE_LIMIT = 150_000
+
+
+@query("flow_limit_large", f"""
+select l_returnflag, count(*) as n, cast(sum(l_orderkey) as bigint) as keys from (
+  select l.*, row_number() over (order by copy, l_orderkey, l_linenumber) as rn
+  from lineitem l, (values (0), (1), (2), (3)) c(copy)) where rn <= {LARGE_LIMIT} group by l_returnflag""")
+def q_flow_limit_large(spark, sf):
+    """A limit beyond the top-k plan: four inputs merged, cut inside one of them."""
+    from .plans.flow import run_flow
+    base = _scratch(spark, "flow_limit_large")
+    cfg = _chain({"id": "s", "type": "table-source", "config": {"table": "t", "order_by": ["l_orderkey", "l_linenumber"]}},
+                 {"id": "m", "type": "merge", "config": {}}, {"id": "l", "type": "limit", "config": {"count": LARGE_LIMIT}},
+                 {"id": "o", "type": "json-output"})
+    cfg["connections"] += [{"source": "s", "target": "m"}] * 3
+    run_flow(spark, cfg, {"t": table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")}, out_dir=base)
+    out = spark.read.schema("l_orderkey bigint, l_returnflag string").json(f"{base}/o")
+    return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("saved_versions_latest", """
+select 'f' || cast(s_nationkey as varchar) as flow_id, max_by(s_name, s_suppkey) as content from supplier group by all""")
+def q_saved_versions_latest(spark, sf):
+    """Several saves with one time stamp: the last one is the published document."""
+    from .sinks.versions import VERSION_SCHEMA, latest_documents, save_output
+    base = _scratch(spark, "saved_versions_latest")
+    rows = table(spark, sf, "supplier").select("s_nationkey", "s_name", F.row_number().over(
+        Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("rn"), F.count(F.lit(1)).over(
+        Window.partitionBy("s_nationkey")).alias("n"))
+    for back in (2, 1, 0):  # the last three suppliers of each nation, oldest first
+        docs = rows.where(F.col("rn") == F.col("n") - back).select(
+            F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("flow_id"), F.col("s_name").alias("document"))
+        save_output(spark, base, F.col("flow_id"), "json", docs, "text/plain", created_at=7)
+    return latest_documents(spark.read.schema(VERSION_SCHEMA).parquet(base)).select("flow_id", "content")
+
+
+@query("feed_atom_items", """
+select cast(doc_id as varchar) as guid, 'doc ' || cast(doc_id as varchar) as title, text as content,
+       'http://example.com/' || cast(doc_id as varchar) as link, lang as author,
+       cast(1136214245 as bigint) as updated_at, 'audio/mpeg' as enclosure_type from documents""")
+def q_feed_atom_items(spark, sf):
+    """Documents landed as Atom payloads of <= 16 entries, with enclosures (S5) and content (S3)."""
+    from .sinks.documents import xml_escape
+    el = lambda tag, c: F.concat(F.lit(f"<{tag}>"), xml_escape(c), F.lit(f"</{tag}>"))
+    key = F.col("doc_id").cast("string")
+    entry = F.concat(F.lit("<entry>"), el("title", F.concat(F.lit("doc "), key)), el("id", key), el("content", F.col("text")),
+                     F.lit("<summary>short</summary><updated>2006-01-02T15:04:05Z</updated><author>"), el("name", F.col("lang")),
+                     F.lit("</author><link rel='enclosure' type='audio/mpeg' length='9' href='u'/><link href='http://example.com/"),
+                     key, F.lit("'/></entry>"))
+    landed = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / FEED_GROUP).alias("feed_url"), "doc_id",
+                                                  entry.alias("entry")) \
+        .groupBy("feed_url").agg(F.concat(
+            F.lit("<?xml version='1.0'?><feed xmlns='http://www.w3.org/2005/Atom'>"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))), lambda e: e["entry"]), ""),
+            F.lit("</feed>")).alias("payload"))
+    return feed_items(landed, keep=[]).df.select("guid", "title", "content", "link", "author", "updated_at",
+                                                 F.col("enclosures")[0]["type"].alias("enclosure_type"))

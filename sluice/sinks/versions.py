@@ -41,8 +41,9 @@ def save_output(spark: SparkSession, table_path: str, flow_id: str, fmt: str,
     ``chunk``, the ordered pieces of one document) as a new version. Zero
     rows -> nothing appended, the previous output stays."""
     ts = int(created_at if created_at is not None else time.time())
+    owner = F.lit(flow_id) if isinstance(flow_id, str) else flow_id  # a column: many flows saved at once
     chunk = F.col("chunk").cast("bigint") if "chunk" in documents.columns else F.lit(0).cast("bigint")
-    rows = documents.select(F.lit(flow_id).alias("flow_id"), F.lit(fmt).alias("format"),
+    rows = documents.select(owner.alias("flow_id"), F.lit(fmt).alias("format"),
                             F.col("document").alias("content"), F.lit(content_type).alias("content_type"),
                             F.lit(ts).cast("bigint").alias("created_at"),
                             F.lit(_next_seq()).cast("bigint").alias("seq"), chunk.alias("chunk"))

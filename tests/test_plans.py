@@ -13,7 +13,8 @@ def plan(df) -> str:
 
 
 SIDE_EFFECT = {"flow_run_record", "stream_dedupe", "stream_incremental", "stream_top_per_batch",
-               "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs"}
+               "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs", "flow_feed_items_json",
+               "flow_rss_output", "flow_limit_large", "saved_versions_latest"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SIDE_EFFECT))
