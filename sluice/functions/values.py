@@ -170,16 +170,33 @@ def _inner_text(x: Column, dtype: T.DataType) -> Column:
     return x.cast("string")
 
 
-def variant_text(v: Column) -> Column:
-    """Text of a VARIANT value: scalars as %v, containers as JSON text."""
+VARIANT_DEPTH = 2
+
+
+def variant_text(v: Column, depth: int = VARIANT_DEPTH) -> Column:
+    """Text of a VARIANT value as %v: scalars, and lists and objects down to
+    ``depth`` levels (deeper ones as JSON text). JSON numbers are doubles in
+    the item model; integers beyond 2^53 keep their digits."""
     kind = F.schema_of_variant(v)
-    return (F.when(v.isNull() | (kind == "VOID"), F.lit(None))
-            .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("true"))
-                  .otherwise(F.lit("false")))
-            .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"),
-                  float_text(F.try_variant_get(v, "$", "double")))
-            .otherwise(F.to_json(v)))
+    number = F.try_variant_get(v, "$", "double")
+    whole = F.try_variant_get(v, "$", "bigint")
+    out = (F.when(v.isNull() | (kind == "VOID"), F.lit(None))
+           .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+           .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("true"))
+                 .otherwise(F.lit("false")))
+           .when(kind.startswith("BIGINT") & (F.abs(number) > float(1 << 53)), whole.cast("string"))
+           .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), float_text(number)))
+    if depth > 0:
+        def inner(e):
+            return F.coalesce(variant_text(e, depth - 1), F.lit(NIL_TEXT))
+        items = F.try_variant_get(v, "$", "array<variant>")
+        members = F.try_variant_get(v, "$", "map<string,variant>")
+        out = out.when(kind.startswith("ARRAY"), F.concat(
+            F.lit("["), F.array_join(F.transform(items, inner), " "), F.lit("]")))
+        out = out.when(kind.startswith("OBJECT"), F.concat(F.lit("map["), F.array_join(F.transform(
+            F.array_sort(F.map_keys(members)), lambda k: F.concat(k, F.lit(":"), inner(F.element_at(members, k)))), " "),
+            F.lit("]")))
+    return out.otherwise(F.to_json(v))
 
 
 def canonical_text(x: Column, dtype: T.DataType) -> Column:

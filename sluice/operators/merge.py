@@ -1,11 +1,12 @@
 """Merge (M1-M5): union of all inputs in connection order, optional
 first-wins dedupe on a flat field, optional sort.
 
-* Union: ``unionByName(allowMissingColumns=True)``. A column whose type
-  differs between inputs becomes double when every side is numeric; nested
-  objects that differ only by missing fields stay nested (Spark merges the
-  structs); anything else becomes its canonical text (so ``1`` and ``"1"``
-  stay equal as dedupe keys).
+* Union: ``unionByName(allowMissingColumns=True)``. Items keep their own
+  types: a column whose type differs between inputs widens where that loses
+  nothing (integers to bigint, float to double); nested objects that differ
+  only by missing fields stay nested (Spark merges the structs); any other
+  mixture becomes VARIANT, value by value (2^53 + 1 stays itself, ``1`` stays
+  a number beside ``"1"``; their canonical texts, and so dedupe keys, agree).
 * Order: input ``i``'s ordering columns are renamed apart and an input
   index is added; the new ordering is ``[input, input0 keys, input1 keys,
   ...]``. Rows of different inputs differ at the index, so the NULL
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..feed import HIDDEN, OBJ, VALUE, Feed, OrderKey, col, fresh
-from ..functions.values import NIL_TEXT, _inner_text, canonical_text, is_numeric, resolve_flat
+from ..functions.values import INTEGRAL_TYPES, NIL_TEXT, canonical_text, is_numeric, resolve_flat
 from .limit import limit_items
 from .sort import sort_by
 
@@ -49,6 +50,16 @@ def _nested_compatible(a: T.DataType, b: T.DataType) -> bool:
     return False
 
 
+def _as_variant(c, dtype: T.DataType):
+    if isinstance(dtype, T.VariantType):
+        return c
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_variant_object(c)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
+        c = c.cast("bigint")
+    return c.cast("variant")
+
+
 def _reconcile(inputs: list[Feed]) -> list[Feed]:
     types: dict[str, list[T.DataType]] = {}
     for f in inputs:
@@ -59,13 +70,15 @@ def _reconcile(inputs: list[Feed]) -> list[Feed]:
     for name, ts in types.items():
         if all(t == ts[0] for t in ts):
             continue
-        if all(isinstance(t, T.NullType) or is_numeric(t) for t in ts):
+        if all(isinstance(t, (T.NullType, *INTEGRAL_TYPES)) for t in ts):
+            target[name] = "bigint"
+        elif all(isinstance(t, (T.NullType, T.FloatType, T.DoubleType)) for t in ts):
             target[name] = "double"
         elif all(isinstance(t, (T.StructType, T.ArrayType, T.MapType, T.NullType)) for t in ts) and \
                 all(_nested_compatible(x, y) for x in ts for y in ts):
             continue  # nested shapes that differ only by missing fields: Spark merges them
         else:
-            target[name] = "text"
+            target[name] = "variant"
     if not target:
         return inputs
     out = []
@@ -73,10 +86,10 @@ def _reconcile(inputs: list[Feed]) -> list[Feed]:
         cols = {}
         for fld in f.df.schema.fields:
             kind = target.get(fld.name)
-            if kind == "double":
-                cols[fld.name] = col(fld.name).cast("double")
-            elif kind == "text":
-                cols[fld.name] = _inner_text(col(fld.name), fld.dataType).cast("string")
+            if kind == "variant":
+                cols[fld.name] = _as_variant(col(fld.name), fld.dataType)
+            elif kind is not None:
+                cols[fld.name] = col(fld.name).cast(kind)
         out.append(f.with_df(f.df.withColumns(cols)))
     return out
 

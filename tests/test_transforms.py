@@ -147,10 +147,33 @@ def test_merge_type_clash(spark):
     a = feed_of(spark, [(1, 1)], "i int, v int")
     b = feed_of(spark, [(2, 2.5)], "i int, v double")
     c = feed_of(spark, [(3, "x")], "i int, v string")
-    m = merge([a, b])
-    assert dict(m.df.dtypes)["v"] == "double"
+    # every item keeps its own type and value
+    from sluice.sinks.documents import item_json
     m2 = merge([a, b, c])
-    assert sorted(r["v"] for r in m2.df.collect()) == ["1", "2.5", "x"]
+    assert dict(m2.df.dtypes)["v"] == "variant"
+    assert [r[0] for r in m2.df.orderBy(*m2.order_columns()).select(item_json(m2)).collect()] == [
+        '{"i":1,"v":1}', '{"i":2,"v":2.5}', '{"i":3,"v":"x"}']
+    big = feed_of(spark, [(4, 2 ** 53 + 1)], "i int, v bigint")
+    m3 = merge([b, big])
+    assert [r[0] for r in m3.df.orderBy(*m3.order_columns()).select(item_json(m3)).collect()][1] == \
+        '{"i":4,"v":9007199254740993}'
+    assert dict(merge([a, big]).df.dtypes)["v"] == "bigint"
+    twins = merge([a, feed_of(spark, [(5, "1")], "i int, v string")], dedupe_field="v")
+    assert ids(twins) == [1]  # the canonical texts agree
+
+
+def test_nested_variant_text(spark):
+    from sluice.sources.json_source import json_items
+    f = json_items(spark.createDataFrame([(0, '[{"i":1,"v":[1,"a",null,{"b":2}]},{"i":2,"v":"x"},{"i":3,"v":{"k":[true],"a":1.5}}]')],
+                                         "src int, payload string"))
+    assert ordered_values(filter_items(f, "v", "equals", "[1 a <nil> map[b:2]]"), "i") == [1.0]
+    assert ordered_values(filter_items(f, "v", "equals", "map[a:1.5 k:[true]]"), "i") == [3.0]
+
+
+def test_zeros_differ_as_texts(spark):
+    f = feed_of(spark, [(1, 0.0), (2, -0.0)], "i int, v double")
+    assert ids(filter_items(f, "v", "equals", "0")) == [1]
+    assert ids(filter_items(f, "v", "not-equals", "0")) == [2]
 
 
 # -- map -------------------------------------------------------------------------
@@ -202,9 +225,10 @@ def test_merge_keeps_nested_structure_when_only_fields_differ(spark):
     assert dict(m.df.dtypes)["author"].startswith("struct")
     assert ordered_values(filter_items(m, "author.name", "equals", "y"), "i") == [2]
     c = feed_of(spark, [(3, (1.5,))], "i int, author struct<name:double>")
-    m2 = merge([a, c])                      # text vs number inside: canonical text
-    assert dict(m2.df.dtypes)["author"] == "string"
-    assert sorted(r["author"] for r in m2.df.collect()) == ["map[name:1.5]", "map[name:x]"]
+    m2 = merge([a, c])                      # text vs number inside: each keeps its own
+    assert dict(m2.df.dtypes)["author"] == "variant"
+    assert ordered_values(filter_items(m2, "author.name", "equals", "1.5"), "i") == [3]
+    assert ordered_values(filter_items(m2, "author", "equals", "map[name:x]"), "i") == [1]
 
 
 def test_dedupe_text_missing_and_nil_literal_share_a_key(spark):
