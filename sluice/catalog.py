@@ -756,13 +756,22 @@ def _stream_out(spark, name):
     return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
 
 
+def _three_landings(spark, sf, base):
+    """events landed as three files, streamed one per micro-batch."""
+    from .streaming.incremental import read_stream
+    ev = table(spark, sf, "events")
+    for part in range(3):
+        ev.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/land")
+    return read_stream(spark, f"{base}/land", ev.schema, max_files_per_trigger=1)
+
+
 @query("stream_dedupe", "select distinct user_id from events")
 def q_stream_dedupe(spark, sf):
-    from .streaming.incremental import dedupe_stream, incremental_run, read_stream
-    ev = table(spark, sf, "events")
+    """First seen per key over three micro-batches; the delay spans the data, so no key is forgotten."""
+    from .streaming.incremental import dedupe_stream, incremental_run
     base = _stream_out(spark, "dedupe")
-    s = read_stream(spark, f"{sf.rstrip('/')}/events.parquet", ev.schema, single_file=True)
-    d = dedupe_stream(s.select("event_id", "user_id", "ts"), ["user_id"], "ts", "1 hour")
+    s = _three_landings(spark, sf, base)
+    d = dedupe_stream(s.select("event_id", "user_id", "ts"), ["user_id"], "ts", "36500 days")
     incremental_run(d, lambda f: f, f"{base}/out", "dedupe", f"{base}/_ckpt")
     return spark.read.parquet(f"{base}/out").select("user_id")
 
@@ -891,19 +900,19 @@ def q_flow_node_counts(spark, sf):
 
 
 @query("stream_top_per_batch", """
-select event_id, value, row_number() over (order by value desc, event_id) as rank
+select event_id % 3 as part, event_id, value,
+       row_number() over (partition by event_id % 3 order by value desc, event_id) as rank
 from events where event_type = 'purchase' qualify rank <= 10""")
 def q_stream_top_per_batch(spark, sf):
-    from .streaming.incremental import foreach_batch_top, read_stream
-    ev = table(spark, sf, "events")
+    """The top of each of three micro-batches."""
+    from .streaming.incremental import foreach_batch_top
     base = _stream_out(spark, "top")
-    s = read_stream(spark, f"{sf.rstrip('/')}/events.parquet", ev.schema, single_file=True)
 
     def per_batch(f):
         f = limit_items(sort_items(filter_items(f, "event_type", "equals", "purchase"), "value", "desc"), 10)
         return Feed(f.df.withColumn("rank", rank_column(f)), f.ordering)
-    foreach_batch_top(s, per_batch, f"{base}/out", "top", ["event_id"], f"{base}/_ckpt")
-    return spark.read.parquet(f"{base}/out").select("event_id", "value", "rank")
+    foreach_batch_top(_three_landings(spark, sf, base), per_batch, f"{base}/out", "top", ["event_id"], f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select((F.col("event_id") % 3).alias("part"), "event_id", "value", "rank")
 
 
 STREAM_FLOW = {

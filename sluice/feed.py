@@ -41,6 +41,21 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
+class FieldCaseError(ValueError):
+    """Item fields that differ only by case need a case-sensitive session."""
+
+
+def check_case(spark, names) -> None:
+    """Field names are exact. Spark resolves columns without regard to case
+    unless told otherwise; then two such fields would be mixed up, so this
+    fails instead."""
+    seen: dict[str, str] = {}
+    for n in names:
+        other = seen.setdefault(n.lower(), n)
+        if other != n and spark.conf.get("spark.sql.caseSensitive", "false") != "true":
+            raise FieldCaseError(f"fields {other!r} and {n!r} differ only by case: set spark.sql.caseSensitive=true")
+
+
 @dataclass(frozen=True)
 class OrderKey:
     name: str

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..feed import Feed, col
+from ..feed import Feed, check_case, col
 from ..functions.regex import compile_re2, translate_replacement
 from ..functions.text import DEFAULT_MAX_LENGTH, DEFAULT_SUFFIX, truncate_text
 from ..functions.values import _inner_text, is_numeric, resolve_flat, resolve_path
@@ -54,6 +54,7 @@ def map_fields(feed: Feed, mappings: str | dict = "", keep_original: bool = Fals
             else:
                 expr = F.coalesce(_inner_text(expr, dtype), _inner_text(col(target), old_t))
         new_cols[target] = expr
+    check_case(feed.df.sparkSession, [*(feed.item_columns if keep_original else []), *new_cols])
     if keep_original:
         return feed.with_df(feed.df.withColumns(new_cols))
     sel = [e.alias(t) for t, e in new_cols.items()] + [col(h) for h in feed.hidden_columns]

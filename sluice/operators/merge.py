@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..feed import HIDDEN, OBJ, VALUE, Feed, OrderKey, col, fresh
+from ..feed import HIDDEN, OBJ, VALUE, Feed, OrderKey, check_case, col, fresh
 from ..functions.values import INTEGRAL_TYPES, NIL_TEXT, canonical_text, is_numeric, resolve_flat
 from .limit import limit_items
 from .sort import sort_by
@@ -97,6 +97,7 @@ def _reconcile(inputs: list[Feed]) -> list[Feed]:
 def union_feeds(inputs: list[Feed]) -> Feed:
     if not inputs:
         raise ValueError("merge needs at least one input")
+    check_case(inputs[0].df.sparkSession, [c for f in inputs for c in f.item_columns])
     inputs = _reconcile(inputs)
     any_non_obj = any(f.has_non_objects for f in inputs)
     tag = fresh("m")

@@ -289,13 +289,21 @@ class RunResult:
     node_counts: dict[str, int] = field(default_factory=dict)
 
 
+def _recorded(spark: SparkSession, path: str, key: str, run_id: str) -> bool:
+    from ..session import path_exists
+    return path_exists(spark, path) and not spark.read.parquet(path).where(F.col(key) == run_id).isEmpty()
+
+
 def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFrame] | None = None,
              out_dir: str | None = None, versions_table: str | None = None, flow_id: str = "flow",
              runs_table: str | None = None, trigger: str = "manual", observe_nodes: bool = False,
-             raise_errors: bool = True, logs_table: str | None = None) -> RunResult:
-    """Run every node once in dependency order; sinks act."""
+             raise_errors: bool = True, logs_table: str | None = None, run_id: str | None = None) -> RunResult:
+    """Run every node once in dependency order; sinks act. With a
+    ``run_id`` of the caller's, a repeated run (a retried batch) leaves the
+    record and log that the first attempt has written."""
     cfg = json.loads(config) if isinstance(config, str) else config
-    run_id = str(uuid.uuid4())
+    repeated = run_id is not None
+    run_id = run_id or str(uuid.uuid4())
     started = time.time()
     ctx = Context(spark, dict(sources or {}), out_dir, versions_table, flow_id, observe=observe_nodes)
     results: dict[str, Feed | None] = {}
@@ -350,7 +358,7 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
                 pass
     res = RunResult(run_id, status, items, results, ctx.sink_counts, ctx.logs, error,
                     int((done - started) * 1000), node_counts)
-    if logs_table:
+    if logs_table and not (repeated and _recorded(spark, logs_table, "execution_id", run_id)):
         # One line per node count (from observations), the per-node
         # messages, and the nodes' own messages
         lines = [dict(node_id=k, level="data", message=f"{v} items", timestamp=int(done), seq=0)
@@ -367,6 +375,10 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
         if rows:
             from .history import LOG_SCHEMA
             spark.createDataFrame(rows, LOG_SCHEMA).write.mode("append").parquet(logs_table)
+    if runs_table and repeated and _recorded(spark, runs_table, "id", run_id):
+        runs_table = None
+        if error and raise_errors:
+            raise FlowError(error)
     if runs_table:
         row = [(run_id, flow_id, status, trigger, int(started), int(done), res.duration_ms, items, error)]
         from .history import RUN_SCHEMA

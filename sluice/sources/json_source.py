@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..feed import OBJ, VALUE, Feed, OrderKey, col, fresh
+from ..feed import OBJ, VALUE, Feed, OrderKey, check_case, col, fresh
 
 
 def _key_path(step: str) -> str:
@@ -115,6 +115,7 @@ def items_to_columns(feed: Feed, schema: T.StructType | str | None = None,
         schema = infer_item_schema(feed, item)
     elif isinstance(schema, str):
         schema = _ddl_type(feed.df.sparkSession, "struct<" + schema + ">")
+    check_case(feed.df.sparkSession, [*(keep or []), *schema.fieldNames()])
     v = col(item)
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     fields = []

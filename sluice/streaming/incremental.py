@@ -72,10 +72,12 @@ def dedupe_stream(stream: DataFrame, keys: list[str], event_time: str, delay: st
 
 def foreach_batch_top(stream: DataFrame, per_batch: Callable[[Feed], Feed], out_path: str,
                       name: str, order_by: list[str], checkpoint: str | None = None) -> str:
-    """Batch-only operators (sort, limit, outputs) per micro-batch."""
+    """Batch-only operators (sort, limit, outputs) per micro-batch. Each
+    batch owns a folder (partition ``batch_id``), so a retried batch rewrites
+    its rows instead of appending them again."""
     def handle(batch_df: DataFrame, batch_id: int) -> None:
         f = per_batch(Feed.from_table(batch_df, order_by))
-        f.items().withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        f.items().write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(handle)
     _run(w, name, stream.sparkSession, checkpoint)
@@ -104,14 +106,15 @@ def run_flow_incremental(spark: SparkSession, config: dict | str, source_name: s
     once -- sort, limit, dedupe and outputs see the complete batch, as a
     scheduled run sees one fetch. Outputs of batch ``n`` go under
     ``out_dir/batch=n`` (a retried batch rewrites the same folder); run
-    records/logs/versions go where ``flow_options`` say. Progress lives in
+    records and logs go where ``flow_options`` say, under the run id
+    ``name/n``, and are not repeated by a retry. Progress lives in
     the checkpoint, so a restarted job continues with unseen files only."""
     from ..plans.flow import run_flow
 
     def handle(batch_df: DataFrame, batch_id: int) -> None:
         sources = dict(static_sources or {})
         sources[source_name] = batch_df
-        run_flow(spark, config, sources, out_dir=f"{out_dir}/batch={batch_id}", **flow_options)
+        run_flow(spark, config, sources, out_dir=f"{out_dir}/batch={batch_id}", run_id=f"{name}/{batch_id}", **flow_options)
 
     _run(stream.writeStream.foreachBatch(handle), name, spark, checkpoint)
     return out_dir

@@ -236,3 +236,24 @@ def test_dedupe_text_missing_and_nil_literal_share_a_key(spark):
     assert ids(merge([f], dedupe_field="k")) == [1, 2, 6]
     g = feed_of(spark, [(1, "<nil>"), (2, None)], "i int, k string")
     assert ids(merge([g], dedupe_field="k")) == [1]
+
+
+def test_fields_that_differ_by_case(spark):
+    from sluice.feed import FieldCaseError
+    from sluice.sources.json_source import json_items
+    f = feed_of(spark, [(1, "a")], "i int, title string")
+    doc = spark.createDataFrame([(0, '[{"id":1,"ID":2}]')], "src int, payload string")
+    other = feed_of(spark, [(2, "b")], "i int, Title string")
+    for act in (lambda: map_fields(f, "Title:title", True), lambda: json_items(doc), lambda: merge([f, other])):
+        with pytest.raises(FieldCaseError):
+            act()
+    old = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        row = map_fields(f, "Title:title", True).items().first()
+        assert row.asDict() == {"i": 1, "title": "a", "Title": "a"}
+        assert json_items(doc).items().first().asDict() == {"id": 1.0, "ID": 2.0}
+        assert {tuple(r.asDict().items()) for r in merge([f, other]).items().collect()} == {
+            (("i", 1), ("title", "a"), ("Title", None)), (("i", 2), ("title", None), ("Title", "b"))}
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", old)
