@@ -29,14 +29,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, tag: str, arrow_rows: int | None = None) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: lineage ends
     there, so a lost executor costs a re-read. Returns the folder too, for
-    ``discard``."""
+    ``discard``. ``arrow_rows`` bounds the rows of a batch sent to Python
+    while this table is written (wide rows: less memory)."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{tag}-{uuid.uuid4().hex}")
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if arrow_rows is not None:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -49,6 +59,21 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system (workers
+    live on between tasks and stages)."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: its allocator decides
+        pass
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null counts as the empty text."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted
+from .common import materialize, quoted, release
 
 ORDER = 4
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Positions handled at once inside a block.
-SLICE = 4 << 20
+SLICE = 2 << 20
 RANGES = 64
 RANGE_BYTES = 32 << 20
 GROUPS = 256
@@ -89,7 +89,7 @@ def gram_slices(texts: list[bytes], order: int):
         for k in range(1, order + 1):
             grams |= part[order - k:len(part) - k] << (8 * k)
         at = np.arange(lo, hi)
-        owner = np.searchsorted(ends, at, side="right")
+        owner = np.searchsorted(ends, at, side="right").astype(np.int32)
         real = at < ends[owner] - order  # the pads after the end mark are not predicted
         yield grams[real], owner[real]
 
@@ -212,6 +212,7 @@ def _needs_of_blocks(order: int, ranges: int):
             words, word_counts, grams, gram_counts = block_needs(texts, np.array(learn, dtype=np.float64), order)
             for kind, keys, counts in ((WORDS, words, word_counts), (GRAMS, grams, gram_counts)):
                 yield from _chunks(current, kind, keys, counts, ranges).to_batches()
+            release()
 
         for batch in batches:  # sorted by block
             blocks = batch.column("block").to_numpy(zero_copy_only=False)
@@ -292,6 +293,8 @@ def _score_block(order: int, ranges: int, n_tokens: int, n_types: int, columns:
         out = {c: docs.column(c) for c in columns}
         out |= {"n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())}
+        del slices, grams, probs, texts, parts, docs, values
+        release()
         return pa.table({f.name: out[f.name] for f in schema}).cast(schema)
     return run
 
@@ -314,7 +317,7 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
                              + F.floor(F.rand(11) * per_part)).sortWithinPartitions("block")
     rows, _ = materialize(blocks, "lm-texts")
     needs, _ = materialize(rows.select("block", "learn", "text").mapInArrow(_needs_of_blocks(order, ranges), _NEEDS),
-                           "lm-needs")
+                           "lm-needs", 1000)
     words = needs.filter(F.col("kind") == WORDS).groupBy("r").applyInArrow(_word_totals, _VALUES)
     words, _ = materialize(words, "lm-words")
     gram_needs = needs.filter(F.col("kind") == GRAMS)
