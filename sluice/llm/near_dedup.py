@@ -17,12 +17,21 @@ Candidate pairs are verified exactly (similarity of 0.8 or more) and linked;
 classes are connected components of verified links:
 
 * equal texts collapse to one node before anything is paired;
-* first each node is compared with the smallest node it shares a bucket with:
-  one pair per node, however large the bucket;
+* first each node is compared with one other: of all nodes that it shares a
+  bucket with, the one that meets most nodes altogether (copies of a text meet
+  the original more often than each other). One pair per node, however large
+  the bucket;
 * then, while a bucket holds several components, its nodes are compared with
-  the first member of each other component, then the first 4, 16, ... until
-  every pair of the bucket is either inside a component or compared. A family
-  of copies thus costs pairs in proportion to its size, and no link is lost.
+  those of its first 4, 128, 4,096, ... nodes (by the same order) that belong to
+  another component, until every pair of the bucket is inside a component,
+  compared, or known to be below the threshold. Known without comparing: by
+  the triangle inequality (Jaccard distance is a metric) over a node both were
+  compared with; by the weight of shingles that no other open text has, and of
+  shingles outside a node both were compared with, which bound what two texts
+  can have in common; and by ``SKETCH_BITS`` signature bits that
+  differ in more places than a pair at 0.8 does (missed with probability 1e-5).
+  A family of copies thus costs pairs in proportion to its size, and no link is
+  lost beyond the stated probabilities.
 
 Buckets, pairs, labels and links stay in tables; the driver sees counts only.
 
@@ -43,14 +52,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, quoted
+from .common import discard, fresh, materialize, quoted, release
 
 WINDOW = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-RUN_CHARS = 3_000_000
-MEMO = 400_000
+#: Bits kept of each coordinate; a pair at similarity 0.8 differs in 48 +- 10 of the 480.
+SKETCH_BITS, SKETCH_DIFFER = 4, 91
+SKETCH_WORDS = 8
+RUN_CHARS = 1_500_000
+MEMO = 150_000
+#: Rows of a batch sent to Python: texts, and pairs with two shingle sets.
+TEXT_ROWS, PAIR_ROWS = 1000, 200
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,12 +171,27 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two shingle sets (sorted elements, counts)."""
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(texts, SKETCH_WORDS) the lowest bits of every coordinate, packed."""
+    low = (signature & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.uint8)
+    packed = np.zeros((len(signature), SKETCH_WORDS * 8), dtype=np.uint8)
+    packed[:, :COORDINATES // 2] = low[:, ::2] << SKETCH_BITS | low[:, 1::2]
+    return packed.view(np.int64)
+
+
+def compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Weighted Jaccard of two shingle sets (sorted elements, counts), and the
+    weight of the first on the elements of the second."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0, 0.0
     wa, wb = weights(a[1]), weights(b[1])
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = np.minimum(wa[i], wb[j]).sum()
-    return float(low / (wa.sum() + wb.sum() - low)) if len(wa) and len(wb) else 0.0
+    return float(low / (wa.sum() + wb.sum() - low)), float(wa[i].sum())
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    return compare(a, b)[0]
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -183,11 +212,15 @@ def _sign(batches):
         for a, b in _runs(texts):
             sets = [shingler.elements(t) for t in texts[a:b]]
             full = np.array([len(s[0]) > 0 for s in sets])
-            keys = band_keys(signatures(sets))[full]
-            offsets = np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)
+            signed = signatures(sets)
+            listed = lambda x: pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(full * x.shape[1])].astype(np.int32)), pa.array(x[full].reshape(-1)))
             yield pa.RecordBatch.from_arrays([
-                batch.column("id").slice(a, b - a), batch.column("node").slice(a, b - a),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))], ["id", "node", "bands"])
+                batch.column("id").slice(a, b - a), batch.column("node").slice(a, b - a), listed(band_keys(signed)),
+                listed(sketches(signed)), pa.array([float(weights(c).sum()) for _, c in sets], pa.float64())],
+                ["id", "node", "bands", "sketch", "total"])
+    del shingler
+    release()
 
 
 def _shingle(batches):
@@ -197,6 +230,8 @@ def _shingle(batches):
         yield pa.RecordBatch.from_arrays([
             batch.column("node"), pa.array([e.tobytes() for e, _ in sets], pa.binary()),
             pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary())], ["node", "elements", "counts"])
+    del shingler
+    release()
 
 
 def _verify(batches):
@@ -205,17 +240,42 @@ def _verify(batches):
                 for x, y in zip(batch.column(e), batch.column(c)) for x, y in ((x.as_py(), y.as_py()),))
 
     for batch in batches:
-        alike = [similarity(x, y) >= SIMILARITY - 1e-12
-                 for x, y in zip(sets(batch, "e_a", "c_a"), sets(batch, "e_b", "c_b"))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike, pa.bool_())],
-                                         ["a", "b", "alike"])
+        found = [compare(x, y) for x, y in zip(sets(batch, "e_a", "c_a"), sets(batch, "e_b", "c_b"))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array([f[0] for f in found], pa.float64()),
+             pa.array([f[1] for f in found], pa.float64())], ["a", "b", "similarity", "inside"])
+
+
+def _elements(batches):
+    for batch in batches:
+        for node, e, c in zip(*(batch.column(x).to_pylist() for x in ("node", "elements", "counts"))):
+            keys, w = np.frombuffer(e, np.int64), weights(np.frombuffer(c, np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys), pa.array(w)],
+                                             ["node", "element", "weight"])
+
+
+def flatten(parents: DataFrame) -> tuple[DataFrame, str]:
+    """(node, root) of a forest (node, up); ``up`` must not lead in a circle.
+    Pointers are doubled until they all end at roots."""
+    spark = parents.sparkSession
+    up, at = materialize(parents.select("node", "up"), "dedup-up")
+    while True:
+        higher = up.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
+        jumped = up.join(higher, F.col("up") == F.col("n2"), "left")
+        nxt, nxt_at = materialize(jumped.select("node", F.coalesce("up2", "up").alias("up"),
+                                                F.col("up2").isNotNull().alias("moved")), "dedup-up")
+        moved = not nxt.filter("moved").isEmpty()
+        discard(spark, at)
+        up, at = nxt.select("node", "up"), nxt_at
+        if not moved:
+            return up.withColumnRenamed("up", "root"), at
 
 
 def connect(edges: DataFrame) -> tuple[DataFrame, str]:
     """Components of an undirected edge table (a, b): a table (node, root)
     with root the smallest node, for all nodes in edges. Roots hook onto their
-    smallest neighbouring root, pointers are halved until flat, edges move to
-    the roots, until no edge is left."""
+    smallest neighbouring root, the pointers are flattened, edges move to the
+    roots, until no edge is left."""
     spark = edges.sparkSession
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels, at = materialize(ends.select("node", F.col("node").alias("root")), "dedup-labels")
@@ -223,19 +283,8 @@ def connect(edges: DataFrame) -> tuple[DataFrame, str]:
                                                              F.least("a", "b").alias("b")).distinct(), "dedup-edges")
     while not left.isEmpty():
         # every root with a smaller neighbour points to the smallest one
-        hooks = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-        up, up_at = materialize(hooks, "dedup-up")
-        while True:
-            higher = up.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-            jumped = up.join(higher, F.col("up") == F.col("n2"), "left")
-            nxt, nxt_at = materialize(jumped.select("node", F.coalesce("up2", "up").alias("up"),
-                                                    F.col("up2").isNotNull().alias("moved")), "dedup-up")
-            moved = not nxt.filter("moved").isEmpty()
-            discard(spark, up_at)
-            up, up_at = nxt.select("node", "up"), nxt_at
-            if not moved:
-                break
-        to = up.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
+        up, up_at = flatten(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")))
+        to = up.select(F.col("node").alias("n2"), F.col("root").alias("up2"))
         new, new_at = materialize(labels.join(to, F.col("root") == F.col("n2"), "left").select(
             "node", F.coalesce("up2", "root").alias("root")), "dedup-labels")
         a = left.join(to, F.col("a") == F.col("n2"), "left").select(F.coalesce("up2", "a").alias("a"), "b")
@@ -249,11 +298,90 @@ def connect(edges: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _check_pairs(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(a, b, alike) for candidate pairs (a, b)."""
+    """(a, b, similarity, inside, alike) for candidate pairs (a, b); inside is
+    the weight of a on b's shingles."""
     side = lambda s: shingles.select(F.col("node").alias(s), F.col("elements").alias(f"e_{s}"),
                                      F.col("counts").alias(f"c_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b") \
-        .select("a", "b", "e_a", "c_a", "e_b", "c_b").mapInArrow(_verify, "a long, b long, alike boolean")
+        .select("a", "b", "e_a", "c_a", "e_b", "c_b").mapInArrow(_verify, "a long, b long, similarity double, inside double") \
+        .withColumn("alike", F.col("similarity") >= SIMILARITY - 1e-12)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """``roots`` after components joined by ``links`` have become one."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left") \
+        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    merged, merged_at = connect(between)
+    to = merged.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+    moved = roots.join(to, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"))
+    # a component of one node had no row of its own yet
+    alone = merged.join(roots.select("node"), "node", "left_anti")
+    out = materialize(moved.unionByName(alone), "dedup-labels")
+    discard(roots.sparkSession, merged_at)
+    return out
+
+
+_KNOWN = ("total", "shared", "hub", "far", "inside", "outside", "sketch")
+
+
+def _known(open_: DataFrame, shingles: DataFrame, signed: DataFrame, hubs: DataFrame):
+    """The open nodes' shingles, and what bounds their similarities: weight,
+    weight that any other open node shares, the node they were compared with,
+    their distance from it and their weight on its shingles, the weight that
+    others may share outside of those, and the sketch."""
+    nodes, nodes_at = materialize(open_.select("node").distinct(), "dedup-nodes")
+    own, own_at = materialize(shingles.join(nodes, "node"), "dedup-shingles")
+    elements = own.mapInArrow(_elements, "node long, element long, weight double")
+    private = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"),
+                                              F.min("weight").alias("weight")).filter("n = 1") \
+        .groupBy("node").agg(F.sum("weight").alias("private"))
+    marks = signed.join(nodes, "node").groupBy("node").agg(F.first("total").alias("total"), F.first("sketch").alias("sketch"))
+    hubs = hubs.join(nodes.select(F.col("node").alias("hub"), F.lit(True).alias("hub_open")), "hub", "left")
+    shared = F.col("total") - F.coalesce("private", F.lit(0.0))
+    inside = F.coalesce("inside", "total")
+    # an open hub's shingles are nobody's private ones; of another hub this is not known
+    outside = F.when(F.col("hub_open"), F.greatest(F.lit(0.0), shared - inside)) \
+        .otherwise(F.least(F.col("total") - inside, shared))
+    known, known_at = materialize(
+        marks.join(private, "node", "left").join(hubs, "node", "left").select(
+            "node", "total", shared.alias("shared"), F.coalesce("hub", "node").alias("hub"),
+            F.coalesce("far", F.lit(0.0)).alias("far"), inside.alias("inside"), outside.alias("outside"), "sketch"),
+        "dedup-known")
+    return own, known, [nodes_at, own_at, known_at]
+
+
+def _may_be_alike() -> Column:
+    """Whether two nodes of different components may reach the threshold."""
+    slack = 1e-9
+    same_hub = F.col("hub") == F.col("hub_b")
+    common = F.least("shared", "shared_b")
+    common = F.when(same_hub, F.least(common, F.least("inside", "inside_b") + F.least("outside", "outside_b"))) \
+        .otherwise(common)
+    reach = common >= SIMILARITY * (F.col("total") + F.col("total_b") - common) - slack
+    apart = same_hub & (F.abs(F.col("far") - F.col("far_b")) > 1 - SIMILARITY + slack)
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (F.col("comp") != F.col("comp_b")) & reach & ~apart & (differ <= SKETCH_DIFFER)
+
+
+#: Words of the filter that spares texts outside any bucket the shuffle.
+FILTER_WORDS = 1 << 20
+
+
+def _likely(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose node may be in ``chosen``: a Bloom filter of 64-bit
+    words as a table of at most ``FILTER_WORDS`` rows, which bounds its
+    broadcast. The more nodes are chosen, the more rows pass needlessly."""
+    def places(node: str) -> tuple[Column, Column]:
+        h = F.xxhash64(F.col(node), F.lit("filter"))
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, n), F.lit(64)).cast("int"))
+                for n in (20, 28, 36)]
+        return F.pmod(h, F.lit(FILTER_WORDS)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+    word, mask = places("node")
+    bits = chosen.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    return rows.withColumns({"word": word, "mask": mask}).join(F.broadcast(bits), "word") \
+        .filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).drop("word", "mask", "bits")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,60 +391,68 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     t = F.coalesce(quoted(text), F.lit(""))
     rows = docs.select(quoted(key).alias("id"), F.xxhash64(t).alias("node"), t.alias("text"))
     signed, _ = materialize(rows.mapInArrow(_sign, f"id {docs.schema[key].dataType.simpleString()}, node long, "
-                                                   "bands array<bigint>"), "dedup-signed")
+                                                   "bands array<bigint>, sketch array<bigint>, total double"), "dedup-signed", TEXT_ROWS)
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
     members = nodes.select("node", "id", F.explode("bands").alias("bucket"))
     # equal texts are one node; buckets of one node pair nothing
-    shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")) \
-        .filter(F.col("first") < F.col("last")).select("bucket", "first")
-    members, _ = materialize(members.join(shared, "bucket").select("bucket", "node", "first", "id"), "dedup-buckets")
-
-    chosen = members.groupBy("node").agg(F.min("id").alias("id"))
-    picked = rows.join(chosen.select(F.col("node").alias("n2"), F.col("id").alias("id2")),
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members, members_at = materialize(members.join(shared, "bucket"), "dedup-members")
+    # the node that meets most others is the likely centre of a family
+    weight = members.groupBy("node").agg(F.sum("size").alias("score"), F.min("id").alias("id"))
+    members, buckets_at = materialize(members.select("bucket", "node").join(weight, "node"), "dedup-buckets")
+    discard(spark, members_at)
+
+    chosen = members.select("node", "id").distinct()
+    picked = _likely(rows, chosen).join(chosen.select(F.col("node").alias("n2"), F.col("id").alias("id2")),
                        (F.col("node") == F.col("n2")) & F.col("id").eqNullSafe(F.col("id2"))) \
         .groupBy("id", "node").agg(F.first("text").alias("text"))
     shingles, _ = materialize(picked.select("node", "text").mapInArrow(
-        _shingle, "node long, elements binary, counts binary"), "dedup-shingles")
-
-    pairs = members.groupBy(F.col("node").alias("a")).agg(F.min("first").alias("b")).filter("a <> b")
-    tested, tested_at = materialize(_check_pairs(pairs, shingles), "dedup-pairs")
-    roots, roots_at = connect(tested.filter("alike").select("a", "b"))
-    all_tested, held = [tested], [tested_at]
-    reach = 1
+        _shingle, "node long, elements binary, counts binary"), "dedup-shingles", TEXT_ROWS)
+
+    centre = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("c"))
+    pairs = members.join(centre, "bucket").groupBy(F.col("node").alias("a")).agg(F.max("c").alias("c")) \
+        .select("a", F.col("c.node").alias("b")).filter("a <> b")
+    tested, tested_at = materialize(_check_pairs(pairs, shingles), "dedup-pairs", PAIR_ROWS)
+    # every node points to one of a higher (score, node), so the links are a forest
+    roots, roots_at = flatten(tested.filter("alike").select(F.col("a").alias("node"), F.col("b").alias("up")))
+    hubs = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"), "inside")
+    all_tested, held = [tested], [tested_at, buckets_at]
+    done, reach, known = 0, 4, None
     while True:
-        named = members.select("bucket", "node").join(roots, "node", "left") \
-            .select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+        named = members.join(roots, "node", "left").select(
+            "bucket", "node", "score", F.coalesce("root", "node").alias("comp"))
         mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
             .filter("lo < hi").select("bucket")
         open_, open_at = materialize(named.join(mixed, "bucket"), "dedup-open")
+        if known is None:  # later open nodes are among these, so what is known of them stays true
+            shingles, known, known_at = _known(open_, shingles, signed, hubs)
+            held += known_at
         ranked = open_.withColumn("rank", F.row_number().over(
-            Window.partitionBy("bucket", "comp").orderBy("node"))).filter(F.col("rank") <= reach + 1)
+            Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))).filter(F.col("rank") <= reach + 1)
         pivots, pivots_at = materialize(ranked, "dedup-pivots")
         more = not pivots.filter(F.col("rank") > reach).isEmpty()
-        other = pivots.filter(F.col("rank") <= reach).select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        fresh = open_.join(other, "bucket").filter("comp <> comp_b") \
-            .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        for done in all_tested:
-            fresh = fresh.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        fresh, fresh_at = materialize(fresh, "dedup-pairs")
+        other = pivots.filter((F.col("rank") > done) & (F.col("rank") <= reach)) \
+            .join(known, "node").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", *_KNOWN)])
+        new = open_.join(known, "node").join(other, "bucket").filter(_may_be_alike()) \
+            .select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+        old = all_tested[0]
+        for t in all_tested[1:]:
+            old = old.unionAll(t)
+        new = new.join(old.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        new, new_pairs_at = materialize(new, "dedup-pairs")
         discard(spark, open_at, pivots_at)
-        if not fresh.isEmpty():
-            tested, tested_at = materialize(_check_pairs(fresh, shingles), "dedup-pairs")
+        if not new.isEmpty():
+            tested, tested_at = materialize(_check_pairs(new, shingles), "dedup-pairs", PAIR_ROWS)
             all_tested.append(tested)
             held.append(tested_at)
             links = tested.filter("alike").select("a", "b")
             if not links.isEmpty():
-                old = [t.filter("alike").select("a", "b") for t in all_tested]
-                edges = old[0]
-                for e in old[1:]:
-                    edges = edges.unionAll(e)
-                new_roots, new_at = connect(edges)
-                discard(spark, roots_at)
-                roots, roots_at = new_roots, new_at
-        discard(spark, fresh_at)
+                roots, roots_at, old_at = *_joined(roots, links), roots_at
+                discard(spark, old_at)
+        discard(spark, new_pairs_at)
         if not more:
             break
-        reach *= 4
+        done, reach = reach, reach * 32
     discard(spark, *held)
     return signed.select("id", "node").join(roots, "node", "left") \
         .select("id", "node", F.coalesce("root", "node").alias("component"))
@@ -340,11 +476,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row of each near-duplicate class."""
     found = near_classes(docs, key, text)
     first = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("node").alias("node"))
+    node, kept_id, kept_node, row = (fresh(x) for x in ("node", "kept_id", "kept_node", "row"))
     kept = found.groupBy("component").agg(F.min(first).alias("k")).select(
-        F.col("k.id").alias("__kept_id"), F.col("k.node").alias("__kept_node"))
-    node = F.xxhash64(F.coalesce(quoted(text), F.lit("")))
-    rows = docs.withColumn("__node", node).join(
-        kept, (F.col("__node") == F.col("__kept_node")) & quoted(key).eqNullSafe(F.col("__kept_id")))
-    one = rows.withColumn("__row", F.row_number().over(
-        Window.partitionBy("__kept_id", "__kept_node").orderBy(*_orderable(docs))))
-    return one.filter("__row = 1").select(*[quoted(c) for c in docs.columns])
+        F.col("k.id").alias(kept_id), F.col("k.node").alias(kept_node))
+    rows = docs.withColumn(node, F.xxhash64(F.coalesce(quoted(text), F.lit("")))).join(
+        kept, (quoted(node) == quoted(kept_node)) & quoted(key).eqNullSafe(quoted(kept_id)))
+    one = rows.withColumn(row, F.row_number().over(
+        Window.partitionBy(kept_id, kept_node).orderBy(*_orderable(docs))))
+    return one.filter(quoted(row) == 1).select(*[quoted(c) for c in docs.columns])

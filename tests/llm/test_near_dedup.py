@@ -64,6 +64,22 @@ def test_signature_does_not_depend_on_the_batch():
         assert (N.signatures([one])[0] == whole[i]).all()
 
 
+def test_sketches_do_not_exclude_pairs_at_the_threshold():
+    rng = random.Random(8)
+    s = N.Shingler()
+    sets = []
+    for _ in range(300):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(0, 195, 5), 4):
+            other[at] = "x"
+        sets += [s.elements(" ".join(w).encode()) for w in (base, other)]
+    assert min(N.similarity(a, b) for a, b in zip(sets[::2], sets[1::2])) >= 0.8
+    marks = N.sketches(N.signatures(sets)).view(np.uint64)
+    differ = np.bitwise_count(marks[::2] ^ marks[1::2]).sum(axis=1)
+    assert differ.max() <= N.SKETCH_DIFFER
+
+
 def family(rng, base, n, edits):
     out = []
     for _ in range(n):
@@ -80,6 +96,11 @@ def test_classes_match_brute_force(spark):
     for f in range(6):
         base = [f"f{f}w{i}" for i in range(120)]
         texts += family(rng, base, 12, rng.choice([1, 2, 3, 5]))
+    # a family around a text of which copies with many edits are near each other only
+    core = [f"k{i}" for i in range(150)]
+    for _ in range(5):
+        texts += family(rng, family(rng, core, 1, 7)[0].split(), 6, 1)
+    texts += family(rng, core, 30, 4) + [" ".join(core)]
     # a chain: each text is near its neighbour only
     chain = [f"c{i}" for i in range(200)]
     texts += [" ".join(chain[i * 10:i * 10 + 100]) for i in range(10)]
