@@ -322,7 +322,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
-_KNOWN = ("total", "shared", "hub", "far", "inside", "outside", "sketch")
+_KNOWN = ("total", "shared", "hub", "far", "inside", "outside", "sketch", "bands")
 
 
 def _known(open_: DataFrame, shingles: DataFrame, signed: DataFrame, hubs: DataFrame):
@@ -336,7 +336,8 @@ def _known(open_: DataFrame, shingles: DataFrame, signed: DataFrame, hubs: DataF
     private = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"),
                                               F.min("weight").alias("weight")).filter("n = 1") \
         .groupBy("node").agg(F.sum("weight").alias("private"))
-    marks = signed.join(nodes, "node").groupBy("node").agg(F.first("total").alias("total"), F.first("sketch").alias("sketch"))
+    marks = signed.join(nodes, "node").groupBy("node").agg(F.first("total").alias("total"), F.first("sketch").alias("sketch"),
+                                                          F.first("bands").alias("bands"))
     hubs = hubs.join(nodes.select(F.col("node").alias("hub"), F.lit(True).alias("hub_open")), "hub", "left")
     shared = F.col("total") - F.coalesce("private", F.lit(0.0))
     inside = F.coalesce("inside", "total")
@@ -346,13 +347,15 @@ def _known(open_: DataFrame, shingles: DataFrame, signed: DataFrame, hubs: DataF
     known, known_at = materialize(
         marks.join(private, "node", "left").join(hubs, "node", "left").select(
             "node", "total", shared.alias("shared"), F.coalesce("hub", "node").alias("hub"),
-            F.coalesce("far", F.lit(0.0)).alias("far"), inside.alias("inside"), outside.alias("outside"), "sketch"),
-        "dedup-known")
+            F.coalesce("far", F.lit(0.0)).alias("far"), inside.alias("inside"), outside.alias("outside"), "sketch",
+            "bands"), "dedup-known")
     return own, known, [nodes_at, own_at, known_at]
 
 
 def _may_be_alike() -> Column:
-    """Whether two nodes of different components may reach the threshold."""
+    """Whether a node and a pivot of another component may reach the
+    threshold. Each pair comes up once: under its better-ranked node as the
+    pivot, in the first of the buckets that both are in."""
     slack = 1e-9
     same_hub = F.col("hub") == F.col("hub_b")
     common = F.least("shared", "shared_b")
@@ -361,7 +364,9 @@ def _may_be_alike() -> Column:
     reach = common >= SIMILARITY * (F.col("total") + F.col("total_b") - common) - slack
     apart = same_hub & (F.abs(F.col("far") - F.col("far_b")) > 1 - SIMILARITY + slack)
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    return (F.col("comp") != F.col("comp_b")) & reach & ~apart & (differ <= SKETCH_DIFFER)
+    before = (F.col("score_b") > F.col("score")) | ((F.col("score_b") == F.col("score")) & (F.col("node_b") < F.col("node")))
+    once = F.col("bucket") == F.array_min(F.array_intersect("bands", "bands_b"))
+    return (F.col("comp") != F.col("comp_b")) & before & reach & ~apart & (differ <= SKETCH_DIFFER) & once
 
 
 #: Words of the filter that spares texts outside any bucket the shuffle.
@@ -432,7 +437,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         pivots, pivots_at = materialize(ranked, "dedup-pivots")
         more = not pivots.filter(F.col("rank") > reach).isEmpty()
         other = pivots.filter((F.col("rank") > done) & (F.col("rank") <= reach)) \
-            .join(known, "node").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", *_KNOWN)])
+            .join(known, "node").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "score", "comp", *_KNOWN)])
         new = open_.join(known, "node").join(other, "bucket").filter(_may_be_alike()) \
             .select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
         old = all_tested[0]
