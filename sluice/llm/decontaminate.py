@@ -1,23 +1,25 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, edit check.
+"""Benchmark decontamination: CGK embedding of pieces, hash lookup, edit check.
 
 Finds passages of documents within a small word edit distance of a benchmark
 item (``max_edits`` of its word count). Words are lower-cased, with outer
 punctuation cut off.
 
+A match with e edits leaves one of any e + 1 pieces of the item unedited, so
+every item is cut into ``edits allowed + 1`` pieces (5 to 9 words each at 10 %)
+and a document is searched for the pieces. That loses no match: recall is 1 at
+any item length.
+
 The CGK embedding walks over a word sequence: in step j it writes the current
-word and moves on with a random bit drawn for (j, word). Two sequences read
-with the same bits fall into step again after an edit, so a small edit
-distance becomes a small Hamming distance. A repetition has its own bits and
-samples ``SAMPLES`` of the written positions; windows that agree with an item
-there are candidates. Repetitions are as many as the wanted recall needs: the
-chance to agree is measured on the items themselves, with ``max_edits`` random
-edits each (per length class).
-
-Windows start at every word. Items are classed by length (about 1.5 x apart)
-and a class embeds its shortest length. A window can only match if all but
-``max_edits`` of its words occur in items at all (each other word costs an
-edit), which leaves few windows to embed and loses none. Every candidate is
-verified by exact edit distance against the words that follow its start.
+word and moves on with a random bit drawn for (j, word). A piece's walk takes
+``2 x size`` steps and waits at the last word, so it never reads past the
+piece: an unedited piece always has the same embedding, whatever words follow.
+The embedding's hash is the key that pieces and document windows share. Pieces
+of more than ``LONGEST`` words embed that many.
+
+Windows start at every word that begins a piece, if the word that ends one
+stands at its distance and only words of items lie between. Every item with a
+piece in a text is verified by exact edit distance over the words that a match
+through that piece can cover.
 
 Runs inside the scan tasks, one pass over the documents without a shuffle.
 The items travel as a broadcast of at most ``BLOCK_WORDS`` words; a larger
@@ -35,7 +37,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,7 @@ from .near_dedup import _mix, _times_g
 BLOCK_WORDS = 2_000_000
 MAX_EDITS = 0.1
 MIN_WORDS = 8
-RECALL = 0.999
-SAMPLES = 4
+LONGEST = 12
 MEMO = 400_000
 RUN_CHARS = 3_000_000
 _EDGES = b".,;:!?*&%$#|<>()[]{}\"'`~-_+=/\\"
@@ -68,75 +68,47 @@ def edits_allowed(n: int, share: float) -> int:
     return int(n * share + 1e-9)
 
 
-def length_class(n: int) -> int:
-    """Largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... not above n."""
-    p = 1 << (n.bit_length() - 1)
-    return p + p // 2 if p > 1 and n >= p + p // 2 else p
+def pieces(n: int, edits: int) -> list[tuple[int, int]]:
+    """Begin and end of ``edits + 1`` pieces of ``n`` words."""
+    cuts = [k * n // (edits + 1) for k in range(edits + 2)]
+    return list(zip(cuts, cuts[1:]))
 
 
-def best_prefix(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
-    """Smallest edit distance of ``item`` to a prefix of ``text``, with that
-    prefix's length (the shortest at a tie); None if above ``most``."""
-    n = len(item)
-    text = text[:n + most]
+def best_match(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """Smallest edit distance of ``item`` to a run of words of ``text``, with
+    the first such run's start and words (the shortest at a tie); None if above
+    ``most``. A cell holds cost * 2^32 + start, so that the earlier start wins."""
+    one = 1 << 32
     row = np.arange(len(text) + 1)
-    steps = np.arange(len(text) + 1)
-    for i in range(n):
+    steps = row * one
+    for i, word in enumerate(item):
         nxt = np.empty_like(row)
-        nxt[0] = i + 1
-        nxt[1:] = np.minimum(row[:-1] + (text != item[i]), row[1:] + 1)
+        nxt[0] = (i + 1) * one
+        nxt[1:] = np.minimum(row[:-1] + (text != word) * one, row[1:] + one)
         row = np.minimum.accumulate(nxt - steps) + steps
-        if row.min() > most:
+        if row.min() >= (most + 1) * one:
             return None
     end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else None
-
-
-@dataclass
-class Walk:
-    """One repetition of a length class: bits per step and sampled steps."""
-    size: int
-    seed: int
-
-    @property
-    def steps(self) -> int:
-        return max(SAMPLES, math.ceil(1.6 * self.size))
-
-    def sampled(self) -> set[int]:
-        rng = np.random.default_rng([self.size, self.seed])
-        return set(rng.choice(self.steps, size=min(SAMPLES, self.steps), replace=False).tolist())
-
-    def signatures(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Hash of the sampled words of the embedding from each start (``ids``
-        must reach ``steps`` words beyond the last start)."""
-        take, at = self.sampled(), starts.copy()
-        out = np.full(len(starts), _times_g(self.size * 1009 + self.seed))
-        for j in range(self.steps):
-            word = ids[at].astype(np.uint64)
-            if j in take:
-                out = _mix(out ^ (word + np.uint64(1)))
-            bit = _mix(word ^ _times_g((self.seed << 20) + j + 1)) >> np.uint64(63)
-            at += bit.astype(np.int64)
-        return out
-
-
-def _edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarray:
-    out = words.tolist()
-    for _ in range(edits):
-        kind, at = rng.integers(3), int(rng.integers(max(1, len(out))))
-        if kind == 0:
-            out[at] = -2
-        elif kind == 1:
-            out.insert(at, -2)
-        else:
-            del out[at]
-    return np.array(out, dtype=np.int64)
+    cost, start = divmod(int(row[end]), one)
+    return cost, start, end - start
+
+
+def embedded(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the CGK embedding of the ``size`` words from each start."""
+    at = np.zeros(len(starts), dtype=np.int64)
+    out = np.full(len(starts), _times_g(size * 1009))
+    for j in range(2 * size):
+        word = ids[starts + at].astype(np.uint64)
+        out = _mix(out ^ (word + np.uint64(1)))
+        bit = _mix(word ^ _times_g(j + 1)) >> np.uint64(63)
+        at = np.minimum(at + bit.astype(np.int64), size - 1)
+    return out
 
 
 class Index:
-    """Items of one block, by length class."""
+    """Items of one block and their pieces, by embedded length."""
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float, min_words: int, recall: float):
+    def __init__(self, items: list[tuple[int, bytes]], share: float, min_words: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
         for item_id, text in items:
@@ -144,40 +116,29 @@ class Index:
             if len(words) >= max(1, min_words):
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
                 self.items.append((item_id, np.array(ids, dtype=np.int64), edits_allowed(len(ids), share)))
-        classes: dict[int, list[int]] = {}
-        for i, (_, ids, _) in enumerate(self.items):
-            classes.setdefault(length_class(len(ids)), []).append(i)
-        self.classes = [(size, max(self.items[i][2] for i in members), self._tables(size, members, recall))
+        self.lengths = np.array([len(ids) for _, ids, _ in self.items], dtype=np.int64)
+        self.edits = np.array([e for _, _, e in self.items], dtype=np.int64)
+        classes: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, ids, e) in enumerate(self.items):
+            for begin, end in pieces(len(ids), e):
+                classes.setdefault(min(end - begin, LONGEST), []).append((i, begin))
+        self.classes = [(size, *self._table(size, np.array(members, dtype=np.int64)))
                         for size, members in sorted(classes.items())]
-        self.most = max((e for _, e, _ in self.classes), default=0)
-        self.reach = max((Walk(s, 0).steps for s, _, _ in self.classes), default=0) + 1
-
-    def _tables(self, size: int, members: list[int], recall: float):
-        def sign(words: list[np.ndarray], walk: Walk) -> np.ndarray:
-            gap = np.full(walk.steps + 1, 0, dtype=np.int64)
-            flat = np.concatenate([x for w in words for x in (w, gap)])
-            starts = np.cumsum([0] + [len(w) + len(gap) for w in words[:-1]])
-            return walk.signatures(flat, starts)
-
-        rng = np.random.default_rng(size)
-        trial = [members[int(i)] for i in rng.integers(len(members), size=200)]
-        plain = [self.items[i][1] for i in trial]
-        edited = [_edited(rng, self.items[i][1], self.items[i][2]) for i in trial]
-        edited = [np.where(w == -2, 0, w) for w in edited]
-        agree = np.mean([(sign(plain, Walk(size, s)) == sign(edited, Walk(size, s))).mean() for s in range(8)])
-        repeats = 1 if agree >= 1 else min(64, math.ceil(math.log(1 - recall) / math.log(1 - max(agree, 0.05))))
-        tables = []
-        for seed in range(repeats):
-            walk = Walk(size, seed)
-            keys = sign([self.items[i][1] for i in members], walk)
-            order = np.argsort(keys, kind="stable")
-            tables.append((walk, keys[order], np.array(members)[order]))
-        return tables
+
+    def _table(self, size: int, members: np.ndarray):
+        flat = np.concatenate([self.items[i][1][at:at + size] for i, at in members])
+        starts = np.arange(len(members)) * size
+        opens, ends = (np.zeros(len(self.vocabulary) + 1, dtype=bool) for _ in range(2))
+        opens[flat[starts]] = True
+        ends[flat[starts + size - 1]] = True
+        keys = embedded(flat, starts, size)
+        order = np.argsort(keys, kind="stable")
+        return opens, ends, keys[order], members[order]
 
     def search(self, texts: list[bytes], memo: dict[bytes, int]) -> list[list[tuple[int, int, int, int]]]:
         """Matches of each text: (item id, first word, words, edits)."""
         vocabulary, parts, lengths = self.vocabulary, [], []
-        pad = np.zeros(self.most, dtype=np.int64)
+        gap = np.zeros(1, dtype=np.int64)  # no piece reaches over it
         for t in texts:
             words = t.split()
             for w in set(words):
@@ -192,38 +153,65 @@ class Index:
             except KeyError:  # the memo was just cleared: look the words up directly
                 ids = np.array([vocabulary.get(n, 0) if n else -1 for n in map(normal, words)], dtype=np.int64)
             ids = ids[ids >= 0]
-            parts += [ids, pad]
+            parts += [ids, gap]
             lengths.append(len(ids))
-        out: list[dict[int, tuple]] = [{} for _ in texts]
-        flat = np.concatenate(parts + [np.zeros(self.reach, dtype=np.int64)]) if parts else np.zeros(0, np.int64)
-        begins = np.cumsum([0] + [n + self.most for n in lengths])
+        out: list[list[tuple]] = [[] for _ in texts]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        begins = np.cumsum([0] + [n + 1 for n in lengths])
         seen = np.r_[0, np.cumsum(flat > 0)]
-        pairs: set[tuple[int, int]] = set()
-        for size, edits, tables in self.classes:
-            if len(flat) < size:
-                continue
-            enough = seen[size:] - seen[:-size] >= size - edits
-            starts = np.flatnonzero(enough)
-            starts = starts[starts < len(flat) - self.reach]
-            if not len(starts):
-                continue
-            for walk, keys, members in tables:
-                found = walk.signatures(flat, starts)
-                lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-                for at in np.flatnonzero(hi > lo):
-                    pairs.update((int(starts[at]), int(m)) for m in members[lo[at]:hi[at]])
-        for start, member in sorted(pairs):
-            doc = int(np.searchsorted(begins, start, side="right")) - 1
-            end = begins[doc] + lengths[doc]
-            if start >= end:
-                continue
-            item_id, ids, most = self.items[member]
-            found = best_prefix(ids, flat[start:end], most)
-            if found is not None:
-                got = (found[0], start - int(begins[doc]), found[1])
-                if member not in out[doc] or got < out[doc][member]:
-                    out[doc][member] = got
-        return [sorted((self.items[m][0], first, n, e) for m, (e, first, n) in d.items()) for d in out]
+        hits = [self._hits(flat, seen, begins, *table) for table in self.classes if len(flat) >= table[0]]
+        if not hits:
+            return out
+        doc, member, at = np.unique(np.concatenate(hits), axis=0).T
+        first = begins[doc]
+        low = np.maximum(at - self.edits[member], first)
+        high = np.minimum(at + self.lengths[member] + self.edits[member], begins[doc + 1] - 1)
+        able = np.flatnonzero(seen[high] - seen[low] >= self.lengths[member] - self.edits[member])
+        doc, member, at, low, high = (x[able] for x in (doc, member, at, low, high))
+        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (member[1:] != member[:-1])]) if len(doc) else []
+        known: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
+        for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+            d, m = int(doc[a]), int(member[a])
+            got = self._best(flat, m, at[a:b], low[a:b], high[a:b], known)
+            if got is not None:
+                edits, start, words = got
+                out[d].append((self.items[m][0], start - int(begins[d]), words, edits))
+        return [sorted(found) for found in out]
+
+    def _hits(self, flat: np.ndarray, seen: np.ndarray, begins: np.ndarray, size: int, opens: np.ndarray,
+              ends: np.ndarray, keys: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Rows (text, item, where the item would begin) of the pieces found."""
+        last = len(flat) - size + 1
+        starts = np.flatnonzero(opens[flat[:last]] & ends[flat[size - 1:]] & (seen[size:] - seen[:last] == size))
+        found = embedded(flat, starts, size)
+        low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+        n = high - low
+        which = np.repeat(np.arange(len(starts)), n)
+        entry = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+        doc = np.searchsorted(begins, starts[which], side="right") - 1
+        return np.stack([doc, members[entry, 0], starts[which] - members[entry, 1]], axis=1)
+
+    def _best(self, flat: np.ndarray, member: int, at: np.ndarray, low: np.ndarray, high: np.ndarray,
+              known: dict) -> tuple[int, int, int] | None:
+        """Best match of an item in a text: (edits, start, words)."""
+        _, ids, most = self.items[member]
+        for begin, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+            if begin >= a and np.array_equal(flat[begin:min(begin + len(ids), b)], ids):
+                return 0, begin, len(ids)
+        if not most:
+            return None
+        best = None
+        breaks = np.flatnonzero(low[1:] > high[:-1]) + 1  # both ascend: stretches that overlap are read as one
+        for a, b in zip(np.r_[0, breaks], np.r_[breaks, len(at)] - 1):
+            begin, text = int(low[a]), flat[low[a]:high[b]]
+            key = member, text.tobytes()
+            if key not in known:
+                known[key] = best_match(ids, text, most)
+            if known[key] is not None:
+                cost, start, words = known[key]
+                if best is None or (cost, begin + start, words) < best:
+                    best = cost, begin + start, words
+        return best
 
 
 def _udf(shared):
@@ -245,8 +233,10 @@ def _udf(shared):
 
 
 def find_items(items: DataFrame, key: str = "item_id", text: str = "text", max_edits: float = MAX_EDITS,
-               min_words: int = MIN_WORDS, recall: float = RECALL, block_words: int = BLOCK_WORDS):
+               min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS):
     """A column function text -> array of matches for a table of items."""
+    if not 0 <= max_edits < 1:
+        raise ValueError("max_edits is a share of an item's words, at least 0 and below 1")
     spark = items.sparkSession
     slim = items.select(quoted(key).cast("long").alias("k"), F.coalesce(quoted(text), F.lit("")).alias("t"))
     total = slim.agg(F.sum(F.size(F.split("t", "\\s+")))).first()[0] or 0
@@ -255,7 +245,7 @@ def find_items(items: DataFrame, key: str = "item_id", text: str = "text", max_e
     for b in range(blocks):
         block = slim.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b) if blocks > 1 else slim
         rows = sorted(((r["k"], r["t"].encode()) for r in block.collect()), key=lambda r: (r[0] is None, r))
-        udfs.append(_udf(spark.sparkContext.broadcast(Index(rows, max_edits, min_words, recall))))
+        udfs.append(_udf(spark.sparkContext.broadcast(Index(rows, max_edits, min_words))))
 
     def found(value: Column) -> Column:
         value = F.coalesce(value, F.lit(""))

@@ -104,3 +104,51 @@ def test_query_matches_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]): r["edits"] for r in QUERIES["op7_cgk_decontamination"](spark, sf).collect()}
     assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 5
     assert all(want[k] == e for k, e in got.items())
+
+
+def edited(rng, item, edits):
+    out = list(item)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        rng.choice([lambda: out.__setitem__(at, "zz"), lambda: out.insert(at, "zz"), lambda: out.pop(at)])()
+    return out
+
+
+def test_edited_copies_of_long_items_are_all_found(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([12, 40, 190, 500, 1000, 2000] * 3)]
+    docs = []
+    for i, text in items:
+        item = text.split()
+        around = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + edited(rng, item, D.edits_allowed(len(item), D.MAX_EDITS)) + around[1])))
+    want = brute(docs, items)
+    got = found(spark, docs, items)
+    assert {(i, i) for i, _ in items} <= set(want)
+    assert {k: m["edits"] for k, m in got.items()} == want
+
+
+def test_best_place_is_the_smallest_distance_then_the_first(spark):
+    rng = random.Random(9)
+    for _ in range(60):
+        item = np.array([rng.randrange(1, 5) for _ in range(rng.randrange(10, 25))])
+        text = np.array([rng.randrange(0, 5) for _ in range(10)] + edited_ids(rng, item) + [rng.randrange(0, 5) for _ in range(5)])
+        most = D.edits_allowed(len(item), 0.3)
+        all_runs = [(levenshtein(item, text[a:b]), a, b - a) for a in range(len(text)) for b in range(a, len(text) + 1)]
+        best = min(all_runs)
+        assert D.best_match(item, text, most) == (best if best[0] <= most else None)
+
+
+def edited_ids(rng, item):
+    return [rng.choice([int(w), int(w), int(w), 0]) for w in item if rng.random() > 0.1]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        nxt = [i + 1]
+        for j, y in enumerate(b):
+            nxt.append(min(row[j] + (x != y), row[j + 1] + 1, nxt[j] + 1))
+        row = nxt
+    return row[-1]
