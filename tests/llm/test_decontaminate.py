@@ -152,3 +152,14 @@ def levenshtein(a, b):
             nxt.append(min(row[j] + (x != y), row[j + 1] + 1, nxt[j] + 1))
         row = nxt
     return row[-1]
+
+
+@pytest.mark.parametrize("n", [8, 9])
+def test_verbatim_items_of_the_shortest_class_are_all_found(spark, n):
+    rng = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i in range(150)]
+    docs = [(i, " ".join([rng.choice(vocabulary) for _ in range(20)] + t.split() + [rng.choice(vocabulary) for _ in range(40)]))
+            for i, t in items]
+    got = found(spark, docs, items)
+    assert {k: (m["first_word"], m["n_words"], m["edits"]) for k, m in got.items()} == {(i, i): (20, n, 0) for i, _ in items}
