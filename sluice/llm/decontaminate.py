@@ -1,8 +1,9 @@
 """Benchmark decontamination: CGK embedding of pieces, hash lookup, edit check.
 
 Finds passages of documents within a small word edit distance of a benchmark
-item (``max_edits`` of its word count). Words are lower-cased, with outer
-punctuation cut off.
+item (``max_edits`` of its word count). Words are what Unicode white space
+parts; their case is folded, canonical equivalents (composed and decomposed
+accents) are one, and outer punctuation of any script is cut off.
 
 A match with e edits leaves one of any e + 1 pieces of the item unedited, so
 every item is cut into ``edits allowed + 1`` pieces (5 to 9 words each at 10 %)
@@ -36,6 +37,7 @@ whatever their names.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,16 +54,19 @@ MIN_WORDS = 8
 LONGEST = 12
 MEMO = 400_000
 RUN_CHARS = 3_000_000
-_EDGES = b".,;:!?*&%$#|<>()[]{}\"'`~-_+=/\\"
+#: Cut off at both ends of a word: Unicode punctuation but for "@", and some ASCII symbols.
+_EDGES = "$|<>`~+=" + "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c)[0] == "P" and c != "@")
 MATCHES = "array<struct<item_id:bigint,first_word:int,n_words:int,edits:int>>"
 
 
-def normal(word: bytes) -> bytes:
-    return word.lower().strip(_EDGES)
+def normal(word: str) -> str:
+    if word.isascii():
+        return word.lower().strip(_EDGES)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).casefold()).strip(_EDGES)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [w for w in map(normal, text.split()) if w]
+def words_of(text: bytes) -> list[str]:
+    return [w for w in map(normal, text.decode(errors="replace").split()) if w]
 
 
 def edits_allowed(n: int, share: float) -> int:
@@ -109,7 +114,7 @@ class Index:
     """Items of one block and their pieces, by embedded length."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float, min_words: int):
-        self.vocabulary: dict[bytes, int] = {}
+        self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
         for item_id, text in items:
             words = words_of(text)
@@ -135,7 +140,7 @@ class Index:
         order = np.argsort(keys, kind="stable")
         return opens, ends, keys[order], members[order]
 
-    def search(self, texts: list[bytes], memo: dict[bytes, int]) -> list[list[tuple[int, int, int, int]]]:
+    def search(self, texts: list[str], memo: dict[str, int]) -> list[list[tuple[int, int, int, int]]]:
         """Matches of each text: (item id, first word, words, edits)."""
         vocabulary, parts, lengths = self.vocabulary, [], []
         gap = np.zeros(1, dtype=np.int64)  # no piece reaches over it
@@ -221,7 +226,7 @@ def _udf(shared):
         for texts in batches:
             out, run, chars = [], [], 0
             for t in texts:
-                run.append(t.encode())
+                run.append(t)
                 chars += len(t)
                 if chars >= RUN_CHARS:
                     out += index.search(run, memo)

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -163,3 +164,12 @@ def test_verbatim_items_of_the_shortest_class_are_all_found(spark, n):
             for i, t in items]
     got = found(spark, docs, items)
     assert {k: (m["first_word"], m["n_words"], m["edits"]) for k, m in got.items()} == {(i, i): (20, n, 0) for i, _ in items}
+
+
+def test_capitals_quotes_and_accents_of_any_script(spark):
+    item = "Über den Äckern größer Städte übten ähnlich öde Ärzte früh Größe été déjà señor жизнь слово"
+    docs = [(0, "vor " + item.upper() + " nach"), (1, " ".join(f"„{w.title()}“ –" for w in item.split())),
+            (2, unicodedata.normalize("NFD", item)), (3, item.replace(" ", "\u00a0")), (4, f"«{item}»…")]
+    got = found(spark, docs, [(1, item)], max_edits=0.0)
+    assert {k: (m["n_words"], m["edits"]) for k, m in got.items()} == {(n, 1): (16, 0) for n in range(5)}
+    assert D.words_of("¿Qué? “STRASSE” – straße user@host @name".encode()) == ["qué", "strasse", "strasse", "user@host", "@name"]
