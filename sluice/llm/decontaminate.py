@@ -26,8 +26,9 @@ Runs inside the scan tasks, one pass over the documents without a shuffle.
 The items travel as a broadcast of at most ``BLOCK_WORDS`` words; a larger
 benchmark is split by item hash into as many blocks, one column each.
 
-Defined cases: a null text has no words; items of fewer than ``min_words``
-words (null and empty ones among them) say too little and are not searched;
+Defined cases: a null text has no words; null and empty items are not searched,
+and every other one is, however short (items too short for an edit are one
+piece, found verbatim); ``min_words`` lets a caller leave out shorter items;
 an item that occurs several times in a text is reported once, at its best and
 first place; equal items are each reported; repeated rows are searched each;
 empty tables give no matches; ``decontaminate`` returns the input columns
@@ -50,7 +51,7 @@ from .near_dedup import _mix, _times_g
 
 BLOCK_WORDS = 2_000_000
 MAX_EDITS = 0.1
-MIN_WORDS = 8
+MIN_WORDS = 1
 LONGEST = 12
 MEMO = 400_000
 RUN_CHARS = 3_000_000

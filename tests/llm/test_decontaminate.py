@@ -173,3 +173,17 @@ def test_capitals_quotes_and_accents_of_any_script(spark):
     got = found(spark, docs, [(1, item)], max_edits=0.0)
     assert {k: (m["n_words"], m["edits"]) for k, m in got.items()} == {(n, 1): (16, 0) for n in range(5)}
     assert D.words_of("¿Qué? “STRASSE” – straße user@host @name".encode()) == ["qué", "strasse", "strasse", "user@host", "@name"]
+
+
+def test_short_items_are_found_verbatim(spark):
+    items = [(1, "yes"), (2, "forty two"), (3, "What is the capital of France?"), (4, "..."), (5, "one two three four five six seven")]
+    docs = [(0, "Yes, forty-two is not forty two"), (1, "q: what is the CAPITAL of France? Paris"),
+            (2, "what is the old capital of France"), (3, "... one two three four five six seven eight"), (4, "no")]
+    got = found(spark, docs, items)
+    assert {k: (m["first_word"], m["n_words"], m["edits"]) for k, m in got.items()} == {
+        (0, 1): (0, 1, 0), (0, 2): (4, 2, 0), (1, 3): (1, 6, 0), (3, 5): (0, 7, 0)}
+    assert set(found(spark, docs, items, min_words=6)) == {(1, 3), (3, 5)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in D.decontaminate(df, table).collect()) == [2, 4]
+    assert sorted(r["doc_id"] for r in D.decontaminate(df, table, min_words=6).collect()) == [0, 2, 4]
