@@ -10,22 +10,29 @@ costs one row per input partition.
 
 ``seq`` numbers the saves (nanoseconds, strictly increasing within a
 process), so that of several saves within a second the last one wins. A
-document of any size is stored as ordered chunks (``chunk``) of one save;
-``latest_documents`` puts them together again.
+document of any size is stored as ordered chunks (``chunk``) of one save.
+``latest_chunks`` returns the newest save as such rows and ``publish_document``
+writes them in order as part files, both at any size; ``latest_documents`` and
+``read_published`` put them together in one value of at most ``max_bytes`` and
+fail beyond.
 """
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import path_exists
+from .documents import write_chunks
 
 VERSION_SCHEMA = ("flow_id string, format string, content string, content_type string, "
                   "created_at bigint, seq bigint, chunk bigint")
 
+#: UTF-8 bytes of a document that may be put together in one value.
+DOCUMENT_BYTES = 256 << 20
+
 _last_seq = 0
 
 
@@ -61,12 +68,29 @@ def latest_versions(versions: DataFrame, keys=("flow_id", "format"), ts="created
     return versions.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
-def latest_documents(versions: DataFrame, keys=("flow_id", "format")) -> DataFrame:
+def latest_chunks(versions: DataFrame, keys=("flow_id", "format")) -> DataFrame:
+    """The rows of the newest save per key, at any size: the document is
+    their ``content`` in the order of ``chunk``. The newest save is found by a
+    partial ``max``."""
+    return _newest(versions, keys, F.lit(0)).drop("__newest")
+
+
+def _newest(versions: DataFrame, keys, size: Column) -> DataFrame:
+    """Rows of the newest save per key, with its summed ``size`` in ``__newest``."""
+    saves = versions.groupBy(*keys, "created_at", "seq").agg(F.coalesce(F.sum(size), F.lit(0)).alias("size"))
+    newest = saves.groupBy(*keys).agg(F.max(F.struct("created_at", "seq", "size")).alias("__newest"))
+    return versions.join(newest, list(keys)).where(
+        F.struct("created_at", "seq") == F.struct("__newest.created_at", "__newest.seq"))
+
+
+def latest_documents(versions: DataFrame, keys=("flow_id", "format"), max_bytes: int = DOCUMENT_BYTES) -> DataFrame:
     """The newest saved document per key (``content``, ``content_type``),
-    its chunks in order. The newest save is found by a partial ``max``."""
-    newest = versions.groupBy(*keys).agg(F.max(F.struct("created_at", "seq")).alias("__newest"))
-    chunks = versions.join(newest, list(keys)) \
-        .where(F.struct("created_at", "seq") == F.col("__newest"))
+    its chunks in order. A document above ``max_bytes`` fails the job before its
+    chunks meet in one group."""
+    msg = f"a saved document has more than {max_bytes} bytes for one value; raise max_bytes or use latest_chunks"
+    content = F.when(F.col("__newest.size") > max_bytes, F.raise_error(F.lit(msg)).cast("string")) \
+        .otherwise(F.col("content")).alias("content")
+    chunks = _newest(versions, keys, F.octet_length("content")).select(*keys, "content_type", "created_at", "chunk", content)
     return chunks.groupBy(*keys, "content_type", "created_at").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda c: c["content"]), "").alias("content"))
 
@@ -85,26 +109,68 @@ def flows_to_run(flows: DataFrame, latest: DataFrame, fmt: str = "json",
         .join(latest.where(F.col("format") == fmt), flow_key, "left_anti")
 
 
-def read_published(spark: SparkSession, versions_path: str, flows: DataFrame, flow_id: str,
-                   fmt: str = "json", run_if_absent=None):
-    """O7 for one request: the latest content of a public flow in ``fmt``
-    (``(content, content_type)`` or None). When there is none yet and
-    ``run_if_absent`` is given, it is called once (e.g. ``run_flow`` with a
-    versions table) and the lookup repeated. The filters on flow and format
-    reach the Parquet scan; one document comes back to the caller."""
+def _serve(spark: SparkSession, versions_path: str, flows: DataFrame, flow_id: str, fmt: str, run_if_absent, found):
+    """``found(versions of the flow in fmt)`` if the flow is public; when that
+    is None and ``run_if_absent`` is given, it is called once and the lookup
+    repeated. The filters on flow and format reach the Parquet scan."""
     def lookup():
         if not path_exists(spark, versions_path):
             return None  # no version written yet
         versions = spark.read.schema(VERSION_SCHEMA).parquet(versions_path)
-        mine = versions.where((F.col("flow_id") == flow_id) & (F.col("format") == fmt))
-        pub = flows.where(F.col("flow_id") == flow_id)
-        row = published_outputs(pub, latest_documents(mine), fmt).select("content", "content_type").first()
-        return None if row is None else (row["content"], row["content_type"])
+        return found(versions.where((F.col("flow_id") == flow_id) & (F.col("format") == fmt)))
 
     if flows.where((F.col("flow_id") == flow_id) & F.col("is_public")).isEmpty():
         return None  # unknown or private flow: nothing is served, nothing runs
-    found = lookup()
-    if found is None and run_if_absent is not None:
+    got = lookup()
+    if got is None and run_if_absent is not None:
         run_if_absent()
-        found = lookup()
-    return found
+        got = lookup()
+    return got
+
+
+def read_published(spark: SparkSession, versions_path: str, flows: DataFrame, flow_id: str,
+                   fmt: str = "json", run_if_absent=None, max_bytes: int = DOCUMENT_BYTES):
+    """O7 for one request: the latest content of a public flow in ``fmt``
+    (``(content, content_type)`` or None; a document above ``max_bytes`` fails,
+    see ``publish_document``). When there is none yet and ``run_if_absent`` is
+    given, it is called once (e.g. ``run_flow`` with a versions table)."""
+    def found(mine):
+        row = latest_documents(mine, max_bytes=max_bytes).select("content", "content_type").first()
+        return None if row is None else (row["content"], row["content_type"])
+    return _serve(spark, versions_path, flows, flow_id, fmt, run_if_absent, found)
+
+
+def publish_document(spark: SparkSession, versions_path: str, flows: DataFrame, flow_id: str, path: str,
+                     fmt: str = "json", run_if_absent=None):
+    """O7 at any size: the latest document of a public flow in ``fmt`` as text
+    part files in order under ``path`` (its content type, or None if there is
+    none), by a distributed sort."""
+    def found(mine):
+        chunks = latest_chunks(mine)
+        row = chunks.select("content_type").first()
+        if row is None:
+            return None
+        write_chunks(_broken_at_lines(chunks), path)
+        return row["content_type"]
+    return _serve(spark, versions_path, flows, flow_id, fmt, run_if_absent, found)
+
+
+def _broken_at_lines(chunks: DataFrame) -> DataFrame:
+    """``(chunk, document)``, every later chunk beginning with a line break as
+    ``write_chunks`` wants it: what stands before a chunk's first line break
+    goes to the chunk before it. Numbers with gaps, or two chunks on end
+    without a line break, fail."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).first()
+    if (n["low"], n["high"]) != (0, n["n"] - 1):
+        raise ValueError("the chunks of a saved document are not numbered from 0 without gaps")
+    later, text, at = F.col("chunk") > 0, F.col("content"), F.instr("content", "\n")
+    rows = chunks.select("chunk", F.coalesce("content", F.lit("")).alias("content"))
+    cut = rows.select(
+        "chunk", (later & (at == 0)).alias("torn"),
+        F.when(later, F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)).alias("head"),
+        F.when(later, F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(F.lit(""))).otherwise(text).alias("rest"))
+    heads = cut.select((F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next"))
+    whole = F.concat("rest", F.coalesce("next", F.lit("")))
+    fail = F.raise_error(F.lit("chunks without a line break; read them with latest_chunks")).cast("string")
+    return cut.drop("head").join(heads, "chunk", "left").where(~F.col("torn") | (whole != "")) \
+        .select("chunk", F.when(F.col("torn"), fail).otherwise(whole).alias("document"))

@@ -112,3 +112,35 @@ def test_single_documents_never_drop_items(spark):
         json_envelope(f, 4).collect()
     with _pt.raises(Exception, match="more than 3 items"):
         rss_document(f, limit=3).collect()
+
+
+def test_large_saved_documents_are_published_in_chunks(spark, scratch, monkeypatch):
+    import pytest as _pt
+
+    import sluice.sinks.documents as D
+    from sluice.plans.flow import run_flow
+    from sluice.sinks.versions import VERSION_SCHEMA, latest_chunks, latest_documents, publish_document, read_published
+    monkeypatch.setattr(D, "CHUNK_ITEMS", 7)
+    table = os.path.join(scratch, "versions")
+    flows = spark.createDataFrame([("p1", True), ("p2", False)], "flow_id string, is_public boolean")
+    for n, kind in ((20, "json"), (50, "json"), (50, "rss")):  # the second save of json is the published one
+        src = spark.createDataFrame([(i, f"t{i}") for i in range(n)], "i int, title string")
+        cfg = {"nodes": [{"id": "s", "type": "table-source", "config": {"table": "x", "order_by": "i"}},
+                         {"id": "o", "type": f"{kind}-output", "config": {}}], "connections": [{"source": "s", "target": "o"}]}
+        run_flow(spark, cfg, {"x": src}, versions_table=table, flow_id="p1")
+    versions = spark.read.schema(VERSION_SCHEMA).parquet(table)
+    for kind in ("json", "rss"):
+        whole = read_published(spark, table, flows, "p1", kind)[0]
+        rows = sorted((r["chunk"], r["content"]) for r in latest_chunks(versions).where(f"format = '{kind}'").collect())
+        assert [c for c, _ in rows] == list(range(8)) and "".join(x for _, x in rows) == whole
+        out = os.path.join(scratch, "published", kind)
+        assert publish_document(spark, table, flows, "p1", out, kind) is not None
+        parts = sorted(f for f in os.listdir(out) if f.startswith("part"))
+        assert "".join(open(os.path.join(out, f)).read() for f in parts).rstrip("\n") == whole.rstrip("\n")
+        size = len(whole.encode())
+        assert read_published(spark, table, flows, "p1", kind, max_bytes=size)[0] == whole
+        with _pt.raises(Exception, match=f"more than {size - 1} bytes"):
+            read_published(spark, table, flows, "p1", kind, max_bytes=size - 1)
+    with _pt.raises(Exception, match="more than 9 bytes"):
+        latest_documents(versions, max_bytes=9).collect()
+    assert publish_document(spark, table, flows, "p2", os.path.join(scratch, "private")) is None  # private
