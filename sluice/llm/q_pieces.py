@@ -17,8 +17,7 @@ def op13_agenda_pieces(spark: SparkSession, sf_dir: str, model_file: str | None
         model_file = public_tokenizers.path(MODEL)
     pieces = SentencePieces(spark, model_file)
     docs = table(spark, sf_dir, "documents")
-    coded = docs.select("doc_id", pieces.encode(docs["text"]).alias("e")) \
-        .select("doc_id", "e.ids", "e.agrees", pieces.decode(F.col("e.ids")).alias("decoded"))
+    coded = docs.select("doc_id", pieces.round_trip(docs["text"]).alias("e")).select("doc_id", "e.*")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "agrees")

@@ -13,10 +13,9 @@ when it is loaded), so no merge crosses that border and a text may be cut
 there. Segments that were met before come from a bounded memo; a vocabulary
 with such a piece is encoded in whole texts.
 
-Every Arrow batch is checked against the sentencepiece library: ``check``
-"texts" encodes all of its texts with the library and compares the ids (a
-column ``agrees`` per row), "segments" compares each new segment once, ""
-leaves the library out.
+Every Arrow batch is checked against the sentencepiece library (a column
+``agrees`` per row): ``check`` "segments" encodes each new segment with the
+library and compares the ids, "texts" all whole texts, "" nothing.
 
 Runs inside the scan tasks without a shuffle; the vocabulary is broadcast (its
 size is the file's). Arrow batches are worked off in runs of ``RUN_CHARS``.
@@ -32,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -39,16 +39,19 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Fixed value: the library's stand-in for a space.
 SPACE = "▁"
-RUN_CHARS = 2_000_000
-MEMO_IDS = 3_000_000
+RUN_CHARS = 1_000_000
+MEMO_IDS = 2_000_000
 #: Segments up to this length are merged together, round by round; longer ones by a heap each.
 SHORT = 48
 #: Above every rank, and above every place in an array of agendas (their product fits a long).
 NEVER = np.int64(1 << 30)
 PLACES = np.int64(1 << 32)
 ENCODED = "struct<ids:array<int>,agrees:boolean>"
+ROUND_TRIP = "struct<ids:array<int>,agrees:boolean,decoded:string>"
 
 
 def merge_vocabulary(model: bytes) -> None:
@@ -223,8 +226,14 @@ class PieceCoder:
         first = len(self.memo)
         if self.check == "segments":
             theirs = self.library.encode([s.removeprefix(SPACE) for s in segments], num_threads=1)
-            for k, (s, a) in enumerate(zip(segments, np.split(flat, np.cumsum(lengths)[:-1]))):
-                if a.tolist() != theirs[k] and s != SPACE:  # the library gives an empty text no ids
+            counts = np.fromiter(map(len, theirs), np.int64, len(theirs))
+            same_size = np.repeat(lengths == counts, counts)
+            wrong = np.flatnonzero(lengths != counts)
+            there = np.fromiter((i for ids in theirs for i in ids), np.int32, int(counts.sum()))[same_size]
+            here = flat[np.repeat(lengths == counts, lengths)]
+            owner = np.repeat(np.arange(len(counts)), counts)[same_size]
+            for k in {*wrong.tolist(), *owner[here != there].tolist()}:
+                if segments[k] != SPACE:  # the library gives an empty text no ids
                     self.odd.add(first + k)
         self.memo.update(zip(segments, range(first, first + len(segments))))
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
@@ -317,10 +326,16 @@ def runs(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield run
 
 
+@lru_cache(maxsize=2)
+def coder(model: bytes, check: str) -> PieceCoder:
+    """The coder of this Python worker, which lives on between tasks."""
+    return PieceCoder(model, check)
+
+
 class SentencePieces:
     """Column functions of one vocabulary file, which is read on the driver."""
 
-    def __init__(self, spark: SparkSession, model_file: str, check: str = "texts"):
+    def __init__(self, spark: SparkSession, model_file: str, check: str = "segments"):
         if check not in ("texts", "segments", ""):
             raise ValueError('check is "texts", "segments" or ""')
         with open(model_file, "rb") as f:
@@ -328,32 +343,45 @@ class SentencePieces:
         merge_vocabulary(model)
         shared = spark.sparkContext.broadcast(model)
 
-        @F.arrow_udf(ENCODED)
-        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            coder = PieceCoder(shared.value, check)
+        def coded(batches: Iterator[pa.Array], back: bool) -> Iterator[pa.Array]:
+            own = coder(shared.value, check)
             for batch in batches:
-                ids, counts, agrees = [], [], []
+                ids, counts, agrees, texts = [], [], [], []
                 for run in runs(batch.to_pylist(), RUN_CHARS):
-                    a, b, c = coder.encode(run)
+                    a, b, c = own.encode(run)
                     ids.append(a)
                     counts.append(b)
                     agrees.append(c)
-                offsets = np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
-                                                 pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.StructArray.from_arrays(
-                    [lists, pa.array(np.concatenate(agrees) if agrees else np.zeros(0, bool))], names=["ids", "agrees"])
+                    if back:
+                        ends = np.cumsum(b)
+                        texts.append(pa.array([own.decode(a[x:y]) for x, y in zip(ends - b, ends)], pa.string()))
+                offsets = np.cumsum(np.concatenate([[0], *counts])).astype(np.int32)
+                columns = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))),
+                           "agrees": pa.array(np.concatenate([np.zeros(0, bool), *agrees]))}
+                if back:
+                    columns["decoded"] = pa.chunked_array(texts, pa.string()).combine_chunks()
+                yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+                del ids, columns, texts
+                release()
+
+        @F.arrow_udf(ENCODED)
+        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from coded(batches, False)
+
+        @F.arrow_udf(ROUND_TRIP)
+        def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from coded(batches, True)
 
         @F.arrow_udf("string")
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            coder = PieceCoder(shared.value, "")
+            own = coder(shared.value, check)
             for batch in batches:
                 bounds, flat = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
                 valid = batch.is_valid().to_pylist()
-                yield pa.array([coder.decode(flat[a:b]) if ok else None
+                yield pa.array([own.decode(flat[a:b]) if ok else None
                                 for a, b, ok in zip(bounds[:-1], bounds[1:], valid)], pa.string())
 
-        self._encoded, self._decoded = encoded, decoded
+        self._encoded, self._decoded, self._round_trip = encoded, decoded, round_trip
 
     def encode(self, text: Column) -> Column:
         """Text -> struct of ``ids`` and ``agrees`` (with the library; true without a check)."""
@@ -362,3 +390,7 @@ class SentencePieces:
     def decode(self, ids: Column) -> Column:
         """Array of ids -> text."""
         return self._decoded(ids.cast("array<int>"))
+
+    def round_trip(self, text: Column) -> Column:
+        """Text -> struct of ``ids``, ``agrees`` and ``decoded``, the text of those ids."""
+        return self._round_trip(F.coalesce(text, F.lit("")))

@@ -83,11 +83,13 @@ def test_column_functions_and_edge_rows(spark):
     texts = [None, "", " ", "  two  spaces ", "long " * 30_000, "same", "same", "日本 <s> \x00"]
     rows = [(i, t, i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "k long, text string, ids long").repartition(3)
-    pieces = SentencePieces(spark, PATH)
+    pieces = SentencePieces(spark, PATH, "texts")
+    both = df.select("k", pieces.round_trip(F.col("text")).alias("e")).select("k", "e.*").orderBy("k").collect()
     got = df.select("k", pieces.encode(F.col("text")).alias("e")) \
         .select("k", "e.*", pieces.decode(F.col("e.ids")).alias("back")).orderBy("k").collect()
     assert [r["ids"] for r in got] == [LIBRARY.encode(t or "") for t in texts]
     assert [r["back"] for r in got] == [t or "" for t in texts] and all(r["agrees"] for r in got)
+    assert [(r["ids"], r["decoded"], r["agrees"]) for r in both] == [(r["ids"], r["back"], True) for r in got]
     none = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert {r[0] for r in none.select(pieces.decode(F.col("ids"))).collect()} == {None, ""}
     assert df.limit(0).select(pieces.encode(F.col("text"))).count() == 0
