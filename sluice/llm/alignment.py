@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, fresh, materialize, quoted, release
 from .sentence_pieces import SPACE, runs
-from .token_counts import byte_symbols
+from .token_counts import SPLIT, MergeTable, byte_symbols
 
 RUN_CHARS = 1_000_000
+MEMO_IDS = 2_000_000
 ALIGNED = "text_sha256 string, copies bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<int>"
 
 
@@ -70,6 +71,47 @@ def _bytes_b(sp) -> list[bytes | None]:
     return [surface(i) for i in range(sp.get_piece_size())]
 
 
+class PreTokens:
+    """Ids of byte-level pre-tokens. No merge crosses a pre-token and each is
+    one again when it stands alone, so the library sees only those that a
+    bounded memo does not hold."""
+
+    def __init__(self, library):
+        import regex
+        self.library, self.split = library, regex.compile(SPLIT).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.memo.update(zip(pieces, range(len(self.memo), len(self.memo) + len(pieces))))
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
+        self.lengths = np.r_[self.lengths, lengths]
+        self.flat = np.r_[self.flat, np.fromiter((i for ids in found for i in ids), np.int64, int(lengths.sum()))]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        cut = [self.split(t) for t in texts]
+        pieces = [p for ps in cut for p in ps]
+        new = list(set(pieces) - self.memo.keys())
+        if len(self.flat) + sum(map(len, new)) > MEMO_IDS:
+            self._forget()
+            new = list(set(pieces))
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        lengths = self.lengths[which]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[which] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
+        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        return ids, np.diff(np.r_[0, ends][np.r_[0, last]])
+
+
 class Vocabularies:
     """Both tokenizers of one Python worker, and the pairs that can be linked."""
 
@@ -77,10 +119,13 @@ class Vocabularies:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         import sentencepiece
         from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(tokenizer.decode())
-        self.a.encode_special_tokens = True
+        spec = json.loads(tokenizer)
+        MergeTable(spec)  # refuses all but plain byte-level files
+        library = Tokenizer.from_str(tokenizer.decode())
+        library.encode_special_tokens = True
+        self.a = PreTokens(library)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.bytes_a, self.bytes_b = _bytes_a(json.loads(tokenizer)), _bytes_b(self.b)
+        self.bytes_a, self.bytes_b = _bytes_a(spec), _bytes_b(self.b)
         self.len_a, self.len_b = (np.array([len(t) if t else 0 for t in ts]) for ts in (self.bytes_a, self.bytes_b))
         self.keys = self._linkable()
         # text of an id with what may follow it, all tables end to end: A's "," and "|", B's ",", ";" and end of text
@@ -106,13 +151,18 @@ class Vocabularies:
     def align(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
         """Per text: tokens of A, tokens of B, groups, their text, links."""
         want = [(" " + t).encode() if t else b"" for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t if t else "" for t in texts], add_special_tokens=False)]
+        a, n_a = self.a.encode([" " + t if t else "" for t in texts])
         ids_b = self.b.encode(texts, num_threads=1)
-        spelled = [bool(w) and self._spells(a, self.bytes_a, w) and self._spells(b, self.bytes_b, w)
-                   for a, b, w in zip(ids_a, ids_b, want)]
-        ids_a, ids_b = ([ids if ok else [] for ids, ok in zip(each, spelled)] for each in (ids_a, ids_b))
-        n_a, n_b = (np.fromiter(map(len, each), np.int64, len(each)) for each in (ids_a, ids_b))
-        a, b = (np.fromiter((i for ids in each for i in ids), np.int64, int(n.sum())) for each, n in ((ids_a, n_a), (ids_b, n_b)))
+        b = np.fromiter((i for ids in ids_b for i in ids), np.int64, sum(map(len, ids_b)))
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        spelled = np.array([bool(w) for w in want])
+        for ids, n, table in ((a, n_a, self.bytes_a), (b, n_b, self.bytes_b)):
+            ids, stops = ids.tolist(), np.cumsum(n)
+            for k, (x, y) in enumerate(zip((stops - n).tolist(), stops.tolist())):
+                spelled[k] = spelled[k] and self._spells(ids[x:y], table, want[k])
+        if not spelled.all():  # texts without tokens
+            a, b = a[np.repeat(spelled, n_a)], b[np.repeat(spelled, n_b)]
+            n_a, n_b = n_a * spelled, n_b * spelled
         # both spell the same bytes, so offsets over the whole run agree
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         at = np.searchsorted(ends_b, ends_a)

@@ -3,13 +3,16 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sluice.llm.alignment import Vocabularies, align, align_documents
+from sluice.llm.alignment import PreTokens, Vocabularies, align, align_documents
 from sluice.llm.q_alignment import op12_cross_tokenizer_alignment
 from sluice.llm.token_counts import byte_symbols
 
@@ -17,6 +20,8 @@ A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.
 A = Tokenizer.from_file(A_FILE)
 A.encode_special_tokens = True
 B = sentencepiece.SentencePieceProcessor(model_file=B_FILE)
+PRE_TOKENS = PreTokens(A)
+PARTS = [" ", "  ", "\n", " \n ", "\t", "a", "'s", "'ll", "12", "é", "日本", "😀", "<|endoftext|>", ".", "...", " the", "\xa0", "\u3000", "\x85", "_", "\u200d"]
 VALUE = {s: b for b, s in enumerate(byte_symbols())}
 
 
@@ -87,6 +92,14 @@ def test_pair_counts_weigh_copies(spark):
     assert got == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join) | st.text(max_size=40), min_size=1, max_size=6))
+def test_pre_tokens_one_by_one_are_the_librarys(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, counts = PRE_TOKENS.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [A.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_link_is_in_the_bounded_list():
     both = Vocabularies(open(A_FILE, "rb").read(), open(B_FILE, "rb").read())
     listed = set(zip(*(x.tolist() for x in both.pairs())))
