@@ -24,6 +24,7 @@ from .operators.sort import rank_column, sort_items
 from .plans.history import owner_logs, recent_runs, run_log
 from .plans.rank import global_rank
 from .sinks.documents import json_envelope, rss_channel, rss_document, rss_fragments, webhook_payloads
+from .sinks.publish import current_output
 from .sources.feed_source import feed_items, feed_summary, limit_per_source
 from .sinks.versions import latest_versions, flows_to_run, published_outputs
 from .sources.json_source import json_items, to_payload
@@ -826,7 +827,7 @@ def q_json_lines_out(spark, sf):
                       "o_totalprice:o_totalprice, o_orderpriority:o_orderpriority")
     write_json_lines(f, path)
     return spark.read.schema("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-                             "o_orderpriority string").json(path)
+                             "o_orderpriority string").json(current_output(spark, path))
 
 
 def _sql_text(text: str) -> str:
@@ -862,7 +863,7 @@ def q_webhook_delivery(spark, sf):
     target = scratch_path(spark, f"webhook_delivery/{uuid.uuid4().hex}")
     f = map_fields(items(spark, sf, "orders", "o_orderkey"), "key:o_orderkey")
     deliver(webhook_payloads(f, 250), target)
-    sent = spark.read.schema("value string, batch bigint").text(target).select(
+    sent = spark.read.text(target).select(
         F.from_json("value", "batch bigint, total bigint, count bigint, items array<struct<key bigint>>").alias("p"))
     return sent.select(F.col("p.batch").alias("batch"), F.col("p.total").alias("total"), F.col("p.count").alias("count"),
                        F.array_min(F.col("p.items.key")).alias("first_key"),
@@ -940,7 +941,7 @@ def q_stream_flow_runs(spark, sf):
     land = spark.read.parquet(f"{base}/land")
     s = read_stream(spark, f"{base}/land/", land.schema)
     run_flow_incremental(spark, STREAM_FLOW, "landed", s, f"{base}/out", "flow", f"{base}/_ckpt")
-    return spark.read.schema("title string").json(f"{base}/out/*/out").select("title")
+    return spark.read.schema("title string").json(current_output(spark, f"{base}/out/batch=0/out")).select("title")
 
 
 # ---------------------------------------------------------------------------
@@ -971,7 +972,7 @@ def q_flow_feed_items_json(spark, sf):
     base = _scratch(spark, "flow_feed_items_json")
     cfg = _chain({"id": "s", "type": "rss-source", "config": {"url": "landed"}}, {"id": "o", "type": "json-output"})
     run_flow(spark, cfg, {"landed": feed_payloads(spark, sf)}, out_dir=base)
-    lines = spark.read.text(f"{base}/o")
+    lines = spark.read.text(current_output(spark, f"{base}/o"))
     item = F.from_json("value", "guid string, title string, description string, content string, link string, author string, "
                                 "published_at bigint, updated string, updated_at bigint, image string, categories array<string>")
     return lines.select(item.alias("i"), F.array_join(F.array_sort(F.json_object_keys("value")), ",").alias("fields")) \
@@ -990,7 +991,7 @@ def q_flow_rss_output(spark, sf):
     cfg = _chain({"id": "s", "type": "table-source", "config": {"table": "t", "order_by": ["l_orderkey", "l_linenumber"]}},
                  {"id": "o", "type": "rss-output", "config": {"title": "Lines"}})
     run_flow(spark, cfg, {"t": rows}, out_dir=base)
-    lines = spark.read.text(f"{base}/o").select(
+    lines = spark.read.text(current_output(spark, f"{base}/o")).select(
         "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     titles = lines.where(F.col("value").startswith("      <title>")) \
         .withColumn("title", F.regexp_extract("value", "<title>(.*)</title>", 1))
@@ -1013,7 +1014,7 @@ def q_flow_limit_large(spark, sf):
                  {"id": "o", "type": "json-output"})
     cfg["connections"] += [{"source": "s", "target": "m"}] * 3
     run_flow(spark, cfg, {"t": table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")}, out_dir=base)
-    out = spark.read.schema("l_orderkey bigint, l_returnflag string").json(f"{base}/o")
+    out = spark.read.schema("l_orderkey bigint, l_returnflag string").json(current_output(spark, f"{base}/o"))
     return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
@@ -1054,3 +1055,58 @@ def q_feed_atom_items(spark, sf):
             F.lit("</feed>")).alias("payload"))
     return feed_items(landed, keep=[]).df.select("guid", "title", "content", "link", "author", "updated_at",
                                                  F.col("enclosures")[0]["type"].alias("enclosure_type"))
+
+
+_ORDERS_IN_ORDER = "select o_orderkey, row_number() over (order by o_orderkey) as rank from orders"
+
+
+@query("flow_unordered_output", f"""
+select 'json' as form, cast(o_orderkey as varchar) as title, rank from ({_ORDERS_IN_ORDER})
+union all select 'rss', cast(o_orderkey as varchar), rank from ({_ORDERS_IN_ORDER})""")
+def q_flow_unordered_output(spark, sf):
+    """A source without an ordering: items leave in the order in which its (uneven) partitions hold them."""
+    from .plans.flow import run_flow
+    base = _scratch(spark, "flow_unordered_output")
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(key, key.cast("string").alias("title"))
+    parts = rows.repartitionByRange(6, F.floor(F.sqrt(key)), key).sortWithinPartitions(key)
+    cfg = {"nodes": [{"id": "s", "type": "table-source", "config": {"table": "t"}}, {"id": "j", "type": "json-output"},
+                     {"id": "r", "type": "rss-output", "config": {}}],
+           "connections": [{"source": "s", "target": "j"}, {"source": "s", "target": "r"}]}
+    run_flow(spark, cfg, {"t": parts}, out_dir=base)
+
+    def in_order(form, pattern):
+        lines = spark.read.text(current_output(spark, f"{base}/{form[0]}")).select(
+            F.regexp_extract("value", pattern, 1).alias("title"), F.col("_metadata.file_path").alias("file"),
+            F.monotonically_increasing_id().alias("at")).where(F.col("title") != "")
+        return global_rank(Feed.from_table(lines, ["file", "at"])).df.select(F.lit(form).alias("form"), "title", "rank")
+    return in_order("json", '"title":"([^"]*)"').unionByName(in_order("rss", "^      <title>([^<]*)</title>"))
+
+
+@query("flow_published_again", """
+select o_orderstatus, count(*) as n from orders where o_orderstatus <> 'F' group by all""")
+def q_flow_published_again(spark, sf):
+    """Two runs into one output: the pointer names the second, an empty third changes nothing."""
+    from .plans.flow import run_flow
+    base = _scratch(spark, "flow_published_again")
+    cfg = _chain({"id": "s", "type": "table-source", "config": {"table": "t", "order_by": "o_orderkey"}}, {"id": "o", "type": "json-output"})
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for rows in (orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus <> 'F'"), orders.where("o_orderkey < 0")):
+        run_flow(spark, cfg, {"t": rows}, out_dir=base)
+    return spark.read.schema("o_orderstatus string").json(current_output(spark, f"{base}/o")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("webhook_ledger", """
+select (rn - 1) // 100 as batch, count(*) as count, 1 as times
+from (select row_number() over (order by c_custkey) as rn from customer) group by all""")
+def q_webhook_ledger(spark, sf):
+    """A delivery that was broken off and repeated: the ledger leaves every batch sent once."""
+    from .sinks.documents import webhook_batches
+    from .sinks.webhook import deliver
+    base = _scratch(spark, "webhook_ledger")
+    payloads, _ = webhook_batches(map_fields(items(spark, sf, "customer", "c_custkey"), "key:c_custkey"), 100)
+    deliver(payloads.where("batch % 3 <> 1"), f"{base}/hook", ledger=f"{base}/ledger")  # what got through before
+    for _ in range(2):
+        deliver(payloads, f"{base}/hook", ledger=f"{base}/ledger")
+    sent = spark.read.text(f"{base}/hook").select(F.from_json("value", "batch bigint, count bigint").alias("p"))
+    return sent.groupBy(F.col("p.batch").alias("batch"), F.col("p.count").alias("count")).agg(F.count(F.lit(1)).cast("int").alias("times"))

@@ -109,6 +109,14 @@ class Feed:
         """The full frame sorted by the ordering (a range-partitioned sort)."""
         return self.df.orderBy(*self.order_columns()) if self.ordering else self.df
 
+    def positioned(self) -> "Feed":
+        """A feed without an ordering has the order in which its partitions
+        hold it; here that order is a column, which outlives shuffles and files."""
+        if self.ordering:
+            return self
+        at = fresh("at")
+        return Feed(self.df.withColumn(at, F.monotonically_increasing_id()), [OrderKey(at)])
+
     def persist(self) -> "Feed":
         return Feed(self.df.persist(), list(self.ordering))
 

@@ -12,7 +12,9 @@ Top-k lets n rows of every task meet in one, so a large n would not fit it:
 above ``TOPK_MAX_ROWS`` the limit becomes ``rank <= n`` over ``global_rank``
 (range-partitioned sort + per-partition offsets), which stays distributed.
 That is a choice of plan only: the same items come out for any n and any
-ordering. A feed without an ordering has the order of its partitions.
+ordering. A feed without an ordering has the order of its partitions. The
+large plan runs its sort and checkpoint when the limit is applied, so it is
+for batch feeds.
 """
 
 from __future__ import annotations
@@ -37,9 +39,8 @@ def limit_items(feed: Feed, count=None) -> Feed:
     n = limit_count(count)
     if n is None:
         return feed
+    feed = feed.positioned()
     if n <= TOPK_MAX_ROWS:
-        if not feed.ordering:
-            return feed.with_df(feed.df.limit(n))
         return feed.with_df(feed.df.orderBy(*feed.order_columns()).limit(n))
     from pyspark.sql import functions as F
 

@@ -31,8 +31,8 @@ from ..operators.filter import filter_items
 from ..operators.limit import limit_items
 from ..operators.merge import merge
 from ..operators.sort import sort_items
-from ..sinks.documents import (JSON_CONTENT_TYPE, RSS_CONTENT_TYPE, json_chunks, rss_chunks, webhook_payloads,
-                               write_chunks, write_json_lines)
+from ..sinks.documents import (JSON_CONTENT_TYPE, RSS_CONTENT_TYPE, Staged, document_text, item_json, json_document,
+                               rss_chunks, webhook_batches, write_chunks, write_lines)
 from ..sources.feed_source import feed_items
 from ..sources.json_source import headers_from_text, json_items
 
@@ -162,13 +162,18 @@ def _json_output(inputs, cfg, ctx):
     if f is None:
         ctx.log("info", "nothing to write: no input")
         return None
-    n = write_json_lines(f, f"{ctx.out_dir}/{ctx.node_id}") if ctx.out_dir else None
-    if ctx.versions_table or n is None:
-        made = json_chunks(f)
-        if made is not None:
-            _save(ctx, "json", made[0], JSON_CONTENT_TYPE)
-        n = made[1] if made is not None else 0
-    ctx.sink_counts[ctx.node_id] = n
+    # both forms come from one staged copy: the inputs run once
+    texts = ({"line": item_json(f)} if ctx.out_dir else {}) | ({"document": document_text(f)} if ctx.versions_table else {})
+    with Staged(f, texts or {"none": F.lit(None).cast("string")}, "json-output") as staged:
+        n = None
+        if ctx.versions_table:
+            made = json_document(staged.text("document"))
+            if made is not None:
+                _save(ctx, "json", made[0], JSON_CONTENT_TYPE)
+            n = made[1] if made is not None else 0
+        if ctx.out_dir:
+            n = write_lines(staged.text("line"), f"{ctx.out_dir}/{ctx.node_id}")
+        ctx.sink_counts[ctx.node_id] = staged.feed.df.count() if n is None else n
     return f
 
 
@@ -199,9 +204,9 @@ def _webhook_output(inputs, cfg, ctx):
     url = cfg.get("url", "")
     if not url:
         raise FlowError("a webhook output needs a url")
-    payloads = webhook_payloads(f, int(cfg.get("batch_size", 1000)))
-    deliver(payloads, url, headers_from_text(cfg.get("headers", "")))
-    ctx.sink_counts[ctx.node_id] = int(payloads.agg(F.sum("count")).first()[0] or 0)
+    payloads, total = webhook_batches(f, int(cfg.get("batch_size", 1000)))
+    deliver(payloads, url, headers_from_text(cfg.get("headers", "")), cfg.get("ledger") or None)
+    ctx.sink_counts[ctx.node_id] = total
     return f
 
 
@@ -214,6 +219,8 @@ for _name, _fn in {
     register(_name, _fn)
 
 SINK_TYPES = {"json-output", "rss-output", "webhook-output"}
+#: M4: node types that read their first input only.
+SINGLE_INPUT = {"filter", "sort", "limit", "map", "regex", "truncate", *SINK_TYPES}
 
 
 def validate(config: dict) -> list[str]:
@@ -321,6 +328,8 @@ def run_flow(spark: SparkSession, config: dict | str, sources: dict[str, DataFra
             node = nodes[node_id]
             ctx.node_id = node_id
             inputs = [results[c["source"]] for c in conns if c["target"] == node_id and c["source"] in results]
+            if len(inputs) > 1 and node["type"] in SINGLE_INPUT:
+                ctx.log("warn", f"{len(inputs)} inputs are connected; a {node['type']} node reads the first one only")
             try:
                 out = REGISTRY[node["type"]](inputs, node.get("config") or {}, ctx)
             except Exception as ex:

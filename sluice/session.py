@@ -112,12 +112,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def publish(spark: SparkSession, written: str, path: str) -> None:
-    """Put a completely written folder in the place of ``path``: until then
-    the earlier output stays, whatever happens to the job."""
-    fs, src = _fs(spark, written)
-    _, dst = _fs(spark, path)
-    fs.delete(dst, True)
-    fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst):
-        raise OSError(f"{written} could not be moved to {path}")
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none if it is not there)."""
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []

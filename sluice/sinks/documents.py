@@ -16,19 +16,18 @@ Every output returns its input feed (O8: outputs pass items through).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..feed import VALUE, Feed, OrderKey, col, fresh
+from ..feed import VALUE, Feed, col, fresh
 from ..functions.text import epoch_to_rfc1123z
 from ..functions.values import INTEGRAL_TYPES, resolve_flat
 from ..operators.limit import limit_items
 from ..plans.rank import global_rank
-from ..session import discard, publish, stage
-from .gojson import render
+from ..session import discard, stage
+from .gojson import apart, render
+from .publish import publish
 
 DEFAULT_DOCUMENT_BOUND = 10_000
 CHUNK_ITEMS = 1000
@@ -60,48 +59,55 @@ def item_json(feed: Feed, indent: str | None = None, level: int = 0) -> Column:
     return obj
 
 
-def _staged(feed: Feed, text: Column, tag: str) -> tuple[Feed, str]:
-    """The feed's order columns and one text per item (``text``), written
-    once: the inputs run a single time, whatever reads the texts later."""
-    slim = feed.df.select(text.alias("text"), *[col(k.name) for k in feed.ordering])
-    df, path = stage(slim, tag)
-    return Feed(df, list(feed.ordering)), path
+class Staged:
+    """Texts of a feed's items, written once with the item order: the inputs
+    run a single time, whatever is made of the texts later. A feed without an
+    ordering keeps the order in which its partitions hold it."""
 
+    def __init__(self, feed: Feed, texts: dict[str, Column], tag: str):
+        feed = feed.positioned()
+        slim = feed.df.select(*[t.alias(name) for name, t in texts.items()], *[col(k.name) for k in feed.ordering])
+        df, self.path = stage(slim, tag)
+        self.feed, self.spark = Feed(df, list(feed.ordering)), df.sparkSession
 
-def _publish_text(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    written = f"{path.rstrip('/')}.{uuid.uuid4().hex}"  # beside the target, on its file system
-    df.write.text(written)
-    publish(spark, written, path)
+    def text(self, name: str) -> Feed:
+        """One of the texts as the column ``text``."""
+        return Feed(self.feed.df.select(col(name).alias("text"), *[col(k.name) for k in self.feed.ordering]), self.feed.ordering)
 
+    def __enter__(self) -> "Staged":
+        return self
 
-def write_json_lines(feed: Feed, path: str) -> int:
-    """O1, scalable form: items as JSON lines in feed order; returns count.
+    def __exit__(self, *_) -> None:
+        discard(self.spark, self.path)
 
-    Empty input writes nothing, and the previous output stays until the new
-    one is complete."""
-    lines, at = _staged(feed, item_json(feed), "json-lines")
-    spark = feed.df.sparkSession
+
+def write_lines(lines: Feed, path: str) -> int:
+    """Texts (``text``) as lines of a new version of the output ``path``, in
+    feed order; returns their number. No text: nothing changes."""
     n = lines.df.count()
     if n:
-        _publish_text(lines.ordered().select(col("text").alias("value")), path)
-    discard(spark, at)
+        publish(lines.df.sparkSession, path, lines.ordered().select(col("text").alias("value")).write.text)
     return n
 
 
-def document_chunks(feed: Feed, text: Column, head: str, between: str, tail: str,
-                    per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
-    """Any number of items as the ordered chunks of one document: rows
+def write_json_lines(feed: Feed, path: str) -> int:
+    """O1, scalable form: items as JSON lines in feed order; returns count.
+
+    Empty input writes nothing, and the previous output stays until the new
+    one is complete (``publish``; ``current_output`` names its folder)."""
+    with Staged(feed, {"line": item_json(feed)}, "json-lines") as staged:
+        return write_lines(staged.text("line"), path)
+
+
+def document_chunks(lines: Feed, head: str, between: str, tail: str, per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
+    """Any number of texts (``text``, staged) as the ordered chunks of one document: rows
     ``(chunk, document)`` and the number of texts; None for an empty feed.
-    Items whose ``text`` is NULL are left out; ``{count}`` in ``head`` is the
-    number of texts. At most ``per_chunk`` items meet in one row."""
+    NULL texts are left out; ``{count}`` in ``head`` is the number of texts. At most
+    ``per_chunk`` items meet in one row."""
     size = per_chunk or CHUNK_ITEMS
-    spark = feed.df.sparkSession
-    lines, at = _staged(feed, text, "document")
     ranked = global_rank(lines, "__pos").df.select(col("__pos"), col("text"))
     totals = ranked.agg(F.max("__pos").alias("rows"), F.count("text").alias("texts"),
                         F.min(F.when(col("text").isNotNull(), col("__pos"))).alias("first")).first()
-    discard(spark, at)
     if totals["rows"] is None:
         return None
     last = (totals["rows"] - 1) // size
@@ -117,11 +123,22 @@ def document_chunks(feed: Feed, text: Column, head: str, between: str, tail: str
     return chunks, int(totals["texts"])
 
 
-def json_chunks(feed: Feed, per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
-    """O1: the JSON document of a feed of any size, in chunks."""
+def document_text(feed: Feed) -> Column:
+    """An item's text inside the JSON document."""
+    return item_json(feed, ENVELOPE_INDENT, 2)
+
+
+def json_document(lines: Feed, per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
+    """The JSON document of staged ``document_text``s, in chunks."""
     ind = ENVELOPE_INDENT
     head = "{\n" + ind + '"count": {count},\n' + ind + '"items": [\n' + ind * 2
-    return document_chunks(feed, item_json(feed, ind, 2), head, ",\n" + ind * 2, "\n" + ind + "]\n}", per_chunk)
+    return document_chunks(lines, head, ",\n" + ind * 2, "\n" + ind + "]\n}", per_chunk)
+
+
+def json_chunks(feed: Feed, per_chunk: int | None = None) -> tuple[DataFrame, int] | None:
+    """O1: the JSON document of a feed of any size, in chunks."""
+    with Staged(feed, {"text": document_text(feed)}, "document") as staged:
+        return json_document(staged.text("text"), per_chunk)
 
 
 def rss_chunks(feed: Feed, title: str = "", description: str = "", link: str = "",
@@ -129,23 +146,20 @@ def rss_chunks(feed: Feed, title: str = "", description: str = "", link: str = "
     """O2: the RSS document of a feed of any size, in chunks. Items that are
     not objects are skipped; a feed of only such items is an empty channel."""
     head, tail = rss_channel(title, description, link)
-    text = F.when(feed.is_object(), rss_fragment(feed))
-    return document_chunks(feed, text, head.replace("{count}", "{ count}"), "", tail, per_chunk)
+    with Staged(feed, {"text": F.when(feed.is_object(), rss_fragment(feed))}, "document") as staged:
+        return document_chunks(staged.text("text"), head.replace("{count}", "{ count}"), "", tail, per_chunk)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """The chunks as text part files in order. Lines end where rows end, so a
+    """The chunks as text part files, in order, of a new version of the output ``path``. Lines end where rows end, so a
     chunk's leading line break is the end of the line before it."""
     line = F.when(col("chunk") == 0, col("document")).otherwise(F.regexp_replace("document", "^\n", ""))
-    _publish_text(chunks.orderBy("chunk").select(line.alias("value")), path)
+    publish(chunks.sparkSession, path, chunks.orderBy("chunk").select(line.alias("value")).write.text)
 
 
 def _bounded_ranked(feed: Feed, limit: int) -> tuple[DataFrame, str]:
     """At most ``limit + 1`` rows (top-k), ranked: one row more than the
     bound lets the document fail loudly instead of silently dropping items."""
-    if not feed.ordering:
-        at = fresh("at")
-        feed = Feed(feed.df.withColumn(at, F.monotonically_increasing_id()), [OrderKey(at)])
     bounded = limit_items(feed, limit + 1)
     rk = fresh("rank")
     return bounded.df.withColumn(rk, F.row_number().over(Window.orderBy(*bounded.order_columns()))), rk
@@ -195,10 +209,12 @@ XML_INVALID_CHARS = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *ra
 def xml_escape(c: Column) -> Column:
     """Escaped text. Most texts hold none of the characters concerned: one
     search spares them nine passes."""
-    out = F.translate(c, XML_INVALID_CHARS, "\ufffd" * len(XML_INVALID_CHARS))
-    for a, b in XML_ESCAPES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(c.rlike("[&<>\"'\\x00-\\x1F\\uFFFE\\uFFFF]"), out).otherwise(c)
+    def escaped(x: Column) -> Column:
+        out = F.translate(x, XML_INVALID_CHARS, "\ufffd" * len(XML_INVALID_CHARS))
+        for a, b in XML_ESCAPES:
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+    return F.when(c.rlike("[&<>\"'\\x00-\\x1F\\uFFFE\\uFFFF]"), apart(c, escaped)).otherwise(c)
 
 
 def _string_field(feed: Feed, name: str, default: str) -> Column:
@@ -323,18 +339,18 @@ def rss_document(feed: Feed, title: str = "", description: str = "", link: str =
 # Webhook payloads
 # ---------------------------------------------------------------------------
 
-def webhook_payloads(feed: Feed, batch_size: int = 1000) -> DataFrame:
-    """Payloads of at most ``batch_size`` items each, in feed order:
-    batch = (global position - 1) // batch_size, the global position coming
-    from ``global_rank`` (no single-partition window). Every payload has the
+def webhook_batches(feed: Feed, batch_size: int = 1000) -> tuple[DataFrame, int]:
+    """Payloads of at most ``batch_size`` items each, in feed order, and
+    the number of items: batch = (global position - 1) // batch_size, the global
+    position coming from ``global_rank`` (no single-partition window). Every payload has the
     same form, however many there are: ``batch`` (from 0) of ``batches``,
-    ``count`` items here of ``total``, and ``items``."""
+    ``count`` items here of ``total``, and ``items``. The sort runs when this is
+    called (the total is part of every payload), so it is for batch feeds."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    lines, at = _staged(feed, item_json(feed), "webhook")
-    ranked = global_rank(lines, "__pos").df
+    with Staged(feed, {"text": item_json(feed)}, "webhook") as staged:
+        ranked = global_rank(staged.text("text"), "__pos").df
     total = ranked.agg(F.max("__pos").alias("n")).first()["n"] or 0
-    discard(feed.df.sparkSession, at)
     batches = -(-total // batch_size)
     df = ranked.select(F.floor((col("__pos") - 1) / F.lit(batch_size)).alias("batch"),
                        F.struct(col("__pos").alias("r"), col("text").alias("j")).alias("e"))
@@ -345,4 +361,9 @@ def webhook_payloads(feed: Feed, batch_size: int = 1000) -> DataFrame:
                       F.concat(F.lit('{"batch":'), col("batch").cast("string"), F.lit(f',"batches":{batches},"count":'),
                                col("count").cast("string"), F.lit(',"items":['),
                                F.array_join(F.transform(col("es"), lambda e: e["j"]), ","),
-                               F.lit(f'],"total":{total}}}')).alias("payload"))
+                               F.lit(f'],"total":{total}}}')).alias("payload")), total
+
+
+def webhook_payloads(feed: Feed, batch_size: int = 1000) -> DataFrame:
+    """The payloads of ``webhook_batches``."""
+    return webhook_batches(feed, batch_size)[0]

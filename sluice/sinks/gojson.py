@@ -10,6 +10,10 @@ schema (one expression per field, recursing into structs, arrays and
 maps) and runs as JVM expressions; Spark's ``to_json`` supplies the basic
 string escaping, which is then adjusted to the fixed rules below.
 
+A text appears once in the expression of its object: whether an object is empty
+is told from its fields, not from their text, so expressions grow with the
+schema and not with a power of its depth.
+
 NULL fields are left out (a missing key and a JSON null are both NULL in
 columns; missing is the common case). VARIANT values (mixed-type fields)
 are rendered compactly by ``to_json`` without these adjustments.
@@ -35,18 +39,34 @@ CONTROL_RESPELL = [("b", "u0008"), ("f", "u000c"), ("u000B", "u000b"), ("u000E",
 _ESCAPE_PREFIX = r"(?<!\\)(?<lead>(?:\\\\)*)\\"
 
 
+#: Texts without these are their own JSON text; of the others, only those with RARE need respelling.
+_SPECIAL = r"[\x00-\x1F\"\\<>&\u2028\u2029]"
+_RARE = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+def apart(x: Column, f) -> Column:
+    """``f(x)`` as a higher-order step: it is evaluated outside the generated
+    code of its row, which stays small enough to be compiled, and binds ``x``
+    once. For branches that few rows take."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def json_string(x: Column) -> Column:
-    """A string as a JSON string literal (``null`` for NULL)."""
+    """A string as a JSON string literal (``null`` for NULL). Most texts hold
+    nothing special: one search spares them the rest."""
+    return F.when(x.isNull(), F.lit("null")).when(~x.rlike(_SPECIAL), F.concat(F.lit('"'), x, F.lit('"'))) \
+        .otherwise(apart(x, _any_string))
+
+
+def _any_string(x: Column) -> Column:
     arr = F.to_json(F.array(x))                       # ["..."], base escaping
-    s = arr.substr(F.lit(2), F.length(arr) - 2)
+    s = F.regexp_replace(arr, r"^\[|\]$", "")         # the array's brackets, made and read once
     for a, b in HTML_ESCAPES:
         s = F.replace(s, F.lit(a), F.lit(b))
     respelled = s
     for a, b in CONTROL_RESPELL:
         respelled = F.regexp_replace(respelled, _ESCAPE_PREFIX + a, "${lead}\\\\" + b)
-    # the respelling only runs where a \b, \f or \u escape exists at all
-    return F.when(x.isNull(), F.lit("null")).otherwise(
-        F.when(s.rlike(r"\\[bfu]"), respelled).otherwise(s))
+    return F.when(~x.rlike(_RARE), s).otherwise(respelled)
 
 
 def json_key(name: str) -> str:
@@ -71,7 +91,14 @@ def json_key(name: str) -> str:
 
 
 def json_float(x: Column) -> Column:
-    """Go's JSON float spelling from Java's shortest digits."""
+    """Go's JSON float spelling from Java's shortest digits. Whole numbers and
+    the range that Java writes plainly take short ways."""
+    size = F.abs(x)
+    return (F.when((size < 1e15) & (size > 0) & (F.floor(x) == x), x.cast("bigint").cast("string"))
+            .when((size < 1e7) & (size >= 1e-3), x.cast("string")).otherwise(apart(x, _any_float)))
+
+
+def _any_float(x: Column) -> Column:
     s = x.cast("string")
     pat = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
     sign = F.regexp_extract(s, pat, 1)
@@ -112,13 +139,14 @@ def render(x: Column, dtype: T.DataType, indent: str | None = None, level: int =
         return (F.when(x.isNull(), F.lit("null")).when(F.size(x) == 0, F.lit("[]"))
                 .otherwise(F.concat(F.lit("[" + inner), body, F.lit(outer + "]"))))
     if isinstance(dtype, T.StructType):
-        entries = []
+        entries, there = [], F.lit(False)
         for f in sorted(dtype.fields, key=lambda f: f.name.encode("utf-8")):
             v = x.getField(f.name)
+            there = there | v.isNotNull()
             entries.append(F.when(v.isNotNull(), F.concat(F.lit(json_key(f.name) + sep),
                                                           render(v, f.dataType, indent, level + 1))))
         body = F.concat_ws("," + inner, *entries) if entries else F.lit("")
-        return (F.when(x.isNull(), F.lit("null")).when(body == "", F.lit("{}"))
+        return (F.when(x.isNull(), F.lit("null")).when(~there, F.lit("{}"))
                 .otherwise(F.concat(F.lit("{" + inner), body, F.lit(outer + "}"))))
     if isinstance(dtype, T.MapType):
         vt = dtype.valueType
@@ -129,6 +157,8 @@ def render(x: Column, dtype: T.DataType, indent: str | None = None, level: int =
         body = F.array_join(F.transform(F.array_sort(F.map_keys(x)), entry), "," + inner)
         return (F.when(x.isNull(), F.lit("null")).when(F.size(x) == 0, F.lit("{}"))
                 .otherwise(F.concat(F.lit("{" + inner), body, F.lit(outer + "}"))))
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):  # nothing to escape
+        return F.coalesce(F.concat(F.lit('"'), x.cast("string"), F.lit('"')), F.lit("null"))
     if isinstance(dtype, T.VariantType):
         return F.coalesce(F.to_json(x), F.lit("null"))
     return json_string(x.cast("string"))

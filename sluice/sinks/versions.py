@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import path_exists
@@ -54,10 +54,9 @@ def save_output(spark: SparkSession, table_path: str, flow_id: str, fmt: str,
                             F.col("document").alias("content"), F.lit(content_type).alias("content_type"),
                             F.lit(ts).cast("bigint").alias("created_at"),
                             F.lit(_next_seq()).cast("bigint").alias("seq"), chunk.alias("chunk"))
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(table_path)
-    return n
+    seen = Observation()  # the rows are made once: counted while they are written
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(table_path)
+    return int(seen.get["n"])
 
 
 def latest_versions(versions: DataFrame, keys=("flow_id", "format"), ts="created_at",

@@ -29,6 +29,6 @@ def test_run_flow_job(tmp_path):
     assert proc.returncode == 0, proc.stderr[-2000:]
     result = json.loads(proc.stdout.strip().splitlines()[-1])
     assert result["status"] == "success" and result["items_processed"] == 5
-    lines = [json.loads(x) for f in sorted((out / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    lines = [json.loads(x) for f in sorted((out / "out" / "_versions").glob("*/part-*")) for x in f.read_text().splitlines()]
     assert len(lines) == 5 and all(d["lang"] == "en" for d in lines)
     assert [d["doc_id"] for d in lines] == sorted(d["doc_id"] for d in lines)

@@ -101,3 +101,22 @@ def test_render_matches_mirror(spark, indent):
                "list": [{"t": t, "v": v} for t, v in r[4]], "m": r[5]}
         assert got[r[0]] == m_json(obj, indent), r
         json.loads(got[r[0]])  # and it is valid JSON
+
+
+def test_expressions_grow_with_the_schema_not_with_its_depth(spark):
+    from pyspark.sql import types as T
+
+    def size(depth):
+        t = T.StringType()
+        for _ in range(depth):
+            t = T.StructType([T.StructField("a", t), T.StructField("b", T.StringType())])
+        df = spark.createDataFrame([], T.StructType([T.StructField("x", t)]))
+        return len(df.select(render(F.col("x"), t).alias("j"))._jdf.queryExecution().analyzed().toString())
+    a, b, c = size(2), size(4), size(6)
+    assert c - b < 1.6 * (b - a)
+
+
+def test_each_text_is_made_once_in_every_branch(spark):
+    df = spark.createDataFrame([("x",)], "a string")
+    plan = df.select(render(F.struct("a"), df.schema).alias("j"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json") + plan.count("toJson") <= 2 or plan.count("StructsToJson") <= 2

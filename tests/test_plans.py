@@ -13,7 +13,7 @@ def plan(df) -> str:
 
 
 SIDE_EFFECT = {"flow_run_record", "stream_dedupe", "stream_incremental", "stream_top_per_batch",
-               "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs", "flow_feed_items_json",
+               "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs", "flow_feed_items_json", "flow_unordered_output", "flow_published_again", "webhook_ledger",
                "flow_rss_output", "flow_limit_large", "saved_versions_latest"}
 
 
@@ -75,3 +75,36 @@ def test_payloads_are_parsed_once(spark):
 
 def test_text_dedupe_reads_its_input_once(spark):
     assert plan(catalog.QUERIES["dedupe_text_copies"](spark, SF_SMALL)).count("FileScan") == 1
+
+
+def test_run_log_has_no_join_on_the_run_key(spark):
+    p = plan(catalog.QUERIES["run_log"](spark, SF_SMALL))
+    assert "SortMergeJoin" not in p and "ShuffledHashJoin" not in p
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_numbers_carry_over_partition_borders(spark, partitions):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sluice.feed import Feed
+    from sluice.plans.rank import rank_within
+    r = random.Random(partitions)
+    keys = ["hot"] * 300 + [None] * 90 + [f"k{i}" for i in range(40) for _ in range(r.randint(1, 9))]
+    rows = [(k, i % 50, i) for i, k in enumerate(keys)]
+    r.shuffle(rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = rank_within(Feed.from_table(spark.createDataFrame(rows, "k string, t int, n int"), ["t", "n"]), ["k"]).items()
+        assert df.columns == ["k", "t", "n", "rank"]
+        got = {x["n"]: x["rank"] for x in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {}
+    for key in set(keys):
+        for pos, (_, _, n) in enumerate(sorted((x for x in rows if x[0] == key), key=lambda x: x[1:]), 1):
+            want[n] = pos
+    assert got == want
+    assert rank_within(Feed.from_table(spark.createDataFrame([], "k string, t int").select("*", F.lit(1).alias("z")), "t"), ["k"]).df.count() == 0

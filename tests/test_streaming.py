@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from sluice.streaming.incremental import changed_payloads, dedupe_stream, incremental_run, read_stream
+from sluice.sinks.publish import current_output
 
 SCHEMA = "event_id bigint, user_id bigint, ts timestamp"
 
@@ -116,7 +117,7 @@ def test_flow_runs_once_per_new_landing(spark, scratch):
     run()
     got = {}
     for d in sorted(os.listdir(out)):
-        lines = spark.read.text(os.path.join(out, d, "out")).collect()
+        lines = spark.read.text(current_output(spark, os.path.join(out, d, "out"))).collect()
         got[d] = [_json.loads(r["value"])["title"] for r in lines]
     assert list(got.values()) == [["spark a", "spark b"], ["Spark z"]]
     assert sorted(r["items_processed"] for r in spark.read.parquet(runs).collect()) == [1, 2]
