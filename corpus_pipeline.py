@@ -22,6 +22,9 @@ from sluice.llm.quality import keep_good
 from sluice.llm.sharding import assign_shards
 
 
+ITEM_WORDS = 5
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a risk-controlled cutoff go."""
     return keep_good(docs, table(spark, sf_dir, "labels"), policy=POLICY)
@@ -33,8 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item of ``ITEM_WORDS`` words or more go
+    (a shorter one, say a one-word answer, would take every text with the word)."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), min_words=ITEM_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

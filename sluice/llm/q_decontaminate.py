@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import find_items
+from .decontaminate import find_matches
 
 
 def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = find_items(table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", F.explode(found(docs["text"])).alias("m")) \
-        .select("doc_id", "m.item_id", "m.first_word", "m.n_words", "m.edits")
+    return find_matches(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op7_cgk_decontamination": op7_cgk_decontamination}

@@ -187,3 +187,43 @@ def test_short_items_are_found_verbatim(spark):
     table = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(r["doc_id"] for r in D.decontaminate(df, table).collect()) == [2, 4]
     assert sorted(r["doc_id"] for r in D.decontaminate(df, table, min_words=6).collect()) == [0, 2, 4]
+
+
+def test_sampling_reaches_its_recall_in_every_length_class():
+    """Fresh random edits, up to as many as allowed, in texts with other words around; only what the samples find counts."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    sizes = [5, 9, 14, 20, 30, 45, 60, 90, 150, 300]
+    items = [(k * 30 + i, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate(sizes) for i in range(30)]
+    index = D.Index([(i, t.encode()) for i, t in items], D.MAX_EDITS, 1)
+    assert set(index.recall) == {D.length_class(n) for n in sizes} and min(index.recall.values()) >= 0.9
+    texts, wanted = [], []
+    for i, t in items:
+        words = t.split()
+        copy = edited(rng, words, rng.randrange(D.edits_allowed(len(words), D.MAX_EDITS) + 1))
+        around = [[rng.choice(vocabulary) for _ in range(40)] for _ in range(2)]
+        texts.append(" ".join(around[0] + copy + around[1]))
+        wanted.append(i)
+    got = [{m[0]: m for m in found} for found in index.search(texts, {})]
+    assert all(i in found for i, found in zip(wanted, got))  # the pieces lose none
+    for k, n in enumerate(sizes):
+        mine = [found[i][4] for i, found in zip(wanted[k * 30:k * 30 + 30], got[k * 30:k * 30 + 30])]
+        assert sum(mine) >= 0.9 * len(mine), (n, sum(mine))
+    assert any(m[4] and m[5] for found in got for m in found.values())
+
+
+def test_verbatim_items_agree_in_every_repetition():
+    item = "one two three four five six seven eight nine".split()
+    index = D.Index([(1, " ".join(item).encode())], D.MAX_EDITS, 1)
+    assert [m[4:] for m in index.search(["x y " + " ".join(item) + " one two one", "one two three"], {})[0]] == [(True, True)]
+
+
+def test_block_after_block_equals_one_block(spark, planted):
+    docs, items = planted
+    df = spark.createDataFrame([(n, t, n % 3) for n, (_, t) in enumerate(docs)], "doc_id long, text string, item_id int")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted((r[0], r[1], r[4]) for r in rows)
+    whole = key(D.find_matches(df.drop("item_id"), "doc_id", table).collect())
+    assert key(D.find_matches(df.drop("item_id"), "doc_id", table, block_words=1500).collect()) == whole
+    clean = sorted(r["doc_id"] for r in D.decontaminate(df, table, block_words=1500).collect())
+    assert clean == sorted(set(range(len(docs))) - {d for d, _, _ in whole}) and D.decontaminate(df, table).columns == df.columns
