@@ -56,7 +56,7 @@ def perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
                         F.when(name == "", F.lit("unknown")).otherwise(name).alias("role"),
                         _defused(F.coalesce(quoted(text), F.lit(""))).alias("text"))
     speakers = rows.filter(F.col("role") != SYSTEM).select(F.col("conv").alias("c2"), F.col("role").alias("speaker")).distinct()
-    rows = rows.withColumn("tie", F.md5(F.concat("role", F.lit("|"), "text"))).dropDuplicates(["conv", "turn", "tie"])
+    rows = rows.withColumn("tie", F.md5(F.concat(F.length("role").cast("string"), F.lit("|"), "role", F.lit("|"), "text"))).dropDuplicates(["conv", "turn", "tie"])
     bucket = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(_LAST))
     rows = rows.withColumn("bucket", bucket)
     sizes = rows.groupBy(F.col("conv").alias("c3"), F.col("bucket").alias("b3")).agg(F.count(F.lit(1)).alias("rows")) \

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .licenses import EQUIVALENT, KNOWN, known_licenses, scan
+from .licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, known_licenses, scan
 
 
 def op8_canonical_digest_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     spelled = "map {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in EQUIVALENT.items()) + "}"
     lines = f"""list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')),
-    '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)),
+    {quote(COPYRIGHT_LINE)}, '\\1', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)),
     lambda x: array_to_string(list_transform(list_filter(string_split(x, ' '), lambda w: w <> ''),
       lambda w: coalesce(spelled[w], w)), ' '))"""
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)

@@ -20,7 +20,7 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(slim, "doc_id", TOPOLOGY)
     placed = assign_shards(placed, "doc_id", GROWN, names=("__g_region", "__g_rack", "grown_shard")) \
         .drop("__g_region", "__g_rack")
-    return number_slots(placed, "shard", "doc_id").select(
+    return number_slots(placed, "shard", "doc_id", by=["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "slot", "grown_shard")
 
 
@@ -60,7 +60,7 @@ ids as (select distinct coalesce(doc_id::varchar, '\\N') as k from documents),
 d as (select doc_id, coalesce(doc_id::varchar, '\\N') as k, encode(coalesce(text, '')) as b from documents),
 s as (select doc_id, k, octet_length(b)::bigint + 8 as size, {sql_crc("b")}::bigint as text_crc32 from d, crc_table)
 select doc_id, size, text_crc32, 'key' as law, r.num as region, q.num as rack, c.num as shard,
-  row_number() over (partition by c.num order by substr(md5(k), 1, 3), doc_id nulls first, size, text_crc32) - 1 as slot,
+  row_number() over (partition by c.num order by substr(md5(k || '|' || size || '|' || text_crc32), 1, 3), doc_id nulls first, size, text_crc32) - 1 as slot,
   g.num as grown_shard
 from s join cur_region r using (k) join cur_rack q using (k) join cur_shard c using (k) join grown_shard g using (k)"""
 

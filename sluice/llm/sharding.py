@@ -100,16 +100,18 @@ def assign_shards(df: DataFrame, key: str, topology: list[Shard], seed: str = "s
         .drop(region_at, rack_at, shard_at)
 
 
-def number_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
+def number_slots(df: DataFrame, shard: str, key: str, slot: str = "slot", by: list[str] | None = None) -> DataFrame:
     """Slim rows with a gapless position from 0 inside each shard, ordered by
-    the key's hash bucket, the key and the remaining columns. Rows equal in
-    all columns take neighbouring positions. A null key comes first in its
-    bucket."""
+    the row's hash bucket, the key and the remaining columns. The bucket comes from
+    the columns ``by`` (all but the shard if not given), so one key with many
+    different rows is spread over all buckets. Rows equal in all columns take
+    neighbouring positions. A null key comes first in its bucket."""
     names = df.columns
     df = df.toDF(*[f"c{i}" for i in range(len(names))])
+    spread = [f"c{names.index(c)}" for c in by or [c for c in names if c != shard]]
     key, shard = f"c{names.index(key)}", f"c{names.index(shard)}"
     columns = [quoted(c) for c in df.columns]
-    bucket = F.conv(F.substring(F.md5(F.coalesce(quoted(key).cast("string"), F.lit("\\N"))), 1, 3), 16, 10).cast("int")
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(quoted(c).cast("string"), F.lit("\\N")) for c in spread])), 1, 3), 16, 10).cast("int")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", bucket)
     # at most (shards x BUCKETS) rows, whatever the input: small enough to broadcast
     sizes = counted.groupBy(quoted(shard), "__bucket").agg(F.sum("__n").alias("__size"))

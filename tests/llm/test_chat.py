@@ -53,6 +53,13 @@ def test_long_conversations_come_in_parts(spark, monkeypatch, one_turn):
     got = sorted((k[2], r) for k, r in views(df).items() if k[1] == "r0")
     assert len(got) > 2 and max(r["n_turns"] for _, r in got) <= 256
     import hashlib
-    tie = lambda r, x: hashlib.md5(f"{r}|{x}".encode()).hexdigest()
+    tie = lambda r, x: hashlib.md5(f"{len(r)}|{r}|{x}".encode()).hexdigest()
     ordered = [(r, x) for t, r, x in sorted(turns, key=lambda t: (t[0], tie(t[1], t[2])))]
     assert "".join(r["text"] for _, r in got) == render(ordered, "r0")[0]
+
+
+def test_roles_and_texts_with_bars_stay_two_turns(spark):
+    df = spark.createDataFrame([(1, 0, "a|b", "c", "x"), (1, 0, "a", "b|c", "x"), (1, 0, "a", "b|c", "again")], SCHEMA)
+    got = views(df)
+    assert {k[1] for k in got} == {"a", "a|b"} and all(r["n_turns"] == 2 for r in got.values())
+    assert all("\nc<|im_end|>" in r["text"] and "\nb|c<|im_end|>" in r["text"] for r in got.values())

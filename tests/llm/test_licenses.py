@@ -24,3 +24,22 @@ def test_join_without_broadcast_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
     assert sorted(tuple(r) for r in L.scan(docs, L.known_licenses(spark)).collect()) == want
     assert {r[1] for r in want} == {"Apache-2.0", "CC-BY-NC-4.0", "GPL-3.0", "MIT"}
+
+
+def test_wrapped_texts_and_spellings_are_found(spark):
+    import textwrap
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    whole = [(i, t) for i, t in L.KNOWN if len(t) > 500]
+    assert {i for i, _ in whole} == {"BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT"}
+    rows, want = [], set()
+    for k, (i, t) in enumerate(whole):
+        for width in (23, 31, 47, 60, 72, 79, 100):
+            doc = k * 1000 + width
+            notice = ["Copyright (c) 2020 A. Author", "copyright 1999, 2001 by B", "© 2024 C", "Copyright by D", "(C) E"][width % 5]
+            rows.append((doc, notice + "\n\n" + wrap(t, width).upper().replace("WARRANTIES", "Warranties")))
+            want.add((doc, i))
+    rows.append((9999, "Wilful acts of the licence.\ncopyright notice of this licence"))
+    known = L.known_licenses(spark, spark.createDataFrame([("OWN", "willful acts of the license; copyright notice of this license")],
+                                                          "license_id string, text string"))
+    got = {(r["doc_id"], r["license_id"]) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect() if r["unit"] == "text"}
+    assert got == want | {(9999, "OWN")}

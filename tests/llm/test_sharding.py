@@ -70,6 +70,14 @@ def test_slots_are_gapless_with_a_hot_row(spark):
     assert number_slots(none.limit(0), "shard", "doc_id").collect() == []
 
 
+def test_one_key_with_many_rows_is_spread(spark):
+    rows = spark.range(20_000).selectExpr("cast(7 as long) as doc_id", "id as size", "0 as shard")
+    out = number_slots(rows, "shard", "doc_id").orderBy("slot").collect()
+    assert [r["slot"] for r in out] == list(range(20_000))
+    jumps = sum(a["size"] > b["size"] for a, b in zip(out, out[1:]))
+    assert jumps > 1000  # many buckets, each in order of its own
+
+
 def test_query_covers_all_documents(spark):
     import zlib
     sf = "/root/testdata/sf0.001"
