@@ -247,11 +247,23 @@ def _verify(batches):
 
 
 def _elements(batches):
+    """One row per element of a node: batches of about ``ELEMENT_ROWS`` rows, of many nodes."""
+    def out(held):
+        nodes, keys, counts = zip(*held)
+        sizes = list(map(len, keys))
+        named = pa.array(nodes, pa.string()).take(pa.array(np.repeat(np.arange(len(nodes)), sizes)))
+        return pa.RecordBatch.from_arrays([named, pa.array(np.concatenate(keys)), pa.array(weights(np.concatenate(counts)))],
+                                          ["node", "element", "weight"])
     for batch in batches:
+        held, rows = [], 0
         for node, e, c in zip(*(batch.column(x).to_pylist() for x in ("node", "elements", "counts"))):
-            keys, w = np.frombuffer(e, np.int64), weights(np.frombuffer(c, np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys), pa.array(w)],
-                                             ["node", "element", "weight"])
+            held.append((node, np.frombuffer(e, np.int64), np.frombuffer(c, np.uint32)))
+            rows += len(held[-1][1])
+            if rows >= ELEMENT_ROWS:
+                yield out(held)
+                held, rows = [], 0
+        if held:
+            yield out(held)
 
 
 def flatten(parents: DataFrame) -> tuple[DataFrame, str]:
@@ -303,7 +315,7 @@ def _check_pairs(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     side = lambda s: shingles.select(F.col("node").alias(s), F.col("elements").alias(f"e_{s}"),
                                      F.col("counts").alias(f"c_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b") \
-        .select("a", "b", "e_a", "c_a", "e_b", "c_b").mapInArrow(_verify, "a long, b long, similarity double, inside double") \
+        .select("a", "b", "e_a", "c_a", "e_b", "c_b").mapInArrow(_verify, "a string, b string, similarity double, inside double") \
         .withColumn("alike", F.col("similarity") >= SIMILARITY - 1e-12)
 
 
@@ -332,7 +344,7 @@ def _known(open_: DataFrame, shingles: DataFrame, signed: DataFrame, hubs: DataF
     others may share outside of those, and the sketch."""
     nodes, nodes_at = materialize(open_.select("node").distinct(), "dedup-nodes")
     own, own_at = materialize(shingles.join(nodes, "node"), "dedup-shingles")
-    elements = own.mapInArrow(_elements, "node long, element long, weight double")
+    elements = own.mapInArrow(_elements, "node string, element long, weight double")
     private = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"),
                                               F.min("weight").alias("weight")).filter("n = 1") \
         .groupBy("node").agg(F.sum("weight").alias("private"))
@@ -371,6 +383,8 @@ def _may_be_alike() -> Column:
 
 #: Words of the filter that spares texts outside any bucket the shuffle.
 FILTER_WORDS = 1 << 20
+#: Rows of a batch of elements that goes back to Spark.
+ELEMENT_ROWS = 100_000
 
 
 def _likely(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -390,12 +404,12 @@ def _likely(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, node (64-bit hash of the text) and
+    """One row per input row: id, node (128-bit hash of the text) and
     component (a node); texts of one component are near-duplicates."""
     spark = docs.sparkSession
     t = F.coalesce(quoted(text), F.lit(""))
-    rows = docs.select(quoted(key).alias("id"), F.xxhash64(t).alias("node"), t.alias("text"))
-    signed, _ = materialize(rows.mapInArrow(_sign, f"id {docs.schema[key].dataType.simpleString()}, node long, "
+    rows = docs.select(quoted(key).alias("id"), F.md5(F.encode(t, "UTF-8")).alias("node"), t.alias("text"))
+    signed, _ = materialize(rows.mapInArrow(_sign, f"id {docs.schema[key].dataType.simpleString()}, node string, "
                                                    "bands array<bigint>, sketch array<bigint>, total double"), "dedup-signed", TEXT_ROWS)
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
     members = nodes.select("node", "id", F.explode("bands").alias("bucket"))
@@ -412,7 +426,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                        (F.col("node") == F.col("n2")) & F.col("id").eqNullSafe(F.col("id2"))) \
         .groupBy("id", "node").agg(F.first("text").alias("text"))
     shingles, _ = materialize(picked.select("node", "text").mapInArrow(
-        _shingle, "node long, elements binary, counts binary"), "dedup-shingles", TEXT_ROWS)
+        _shingle, "node string, elements binary, counts binary"), "dedup-shingles", TEXT_ROWS)
 
     centre = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("c"))
     pairs = members.join(centre, "bucket").groupBy(F.col("node").alias("a")).agg(F.max("c").alias("c")) \
@@ -484,7 +498,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     node, kept_id, kept_node, row = (fresh(x) for x in ("node", "kept_id", "kept_node", "row"))
     kept = found.groupBy("component").agg(F.min(first).alias("k")).select(
         F.col("k.id").alias(kept_id), F.col("k.node").alias(kept_node))
-    rows = docs.withColumn(node, F.xxhash64(F.coalesce(quoted(text), F.lit("")))).join(
+    rows = docs.withColumn(node, F.md5(F.encode(F.coalesce(quoted(text), F.lit("")), "UTF-8"))).join(
         kept, (quoted(node) == quoted(kept_node)) & quoted(key).eqNullSafe(quoted(kept_id)))
     one = rows.withColumn(row, F.row_number().over(
         Window.partitionBy(kept_id, kept_node).orderBy(*_orderable(docs))))

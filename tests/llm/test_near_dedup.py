@@ -143,3 +143,13 @@ def test_query_matches_brute_force(spark):
 def test_tiny_tables(spark, n):
     df = spark.createDataFrame([(5, "hello")][:n], "doc_id long, text string")
     assert [tuple(r) for r in N.class_table(df).collect()] == [(5, 5, 1)][:n]
+
+
+def test_a_text_is_known_by_128_bits(spark):
+    import hashlib
+
+    from sluice.llm.near_dedup import near_classes
+    texts = [None, "", "one text of more than five words here", "another text of more than five words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["node"] for r in near_classes(df).collect()}
+    assert got == {i: hashlib.md5((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
