@@ -757,26 +757,71 @@ def _stream_out(spark, name):
     return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
 
 
-def _three_landings(spark, sf, base):
-    """events landed as three files, streamed one per micro-batch."""
+_PART = "case when event_id is null then cast(0 as bigint) else ((event_id % 3) + 3) % 3 end"
+
+
+def _landings(spark, sf, base):
+    """events landed in three parts, one after another: after each landing a
+    stream over the folder, for a run that takes what is new (one micro-batch)."""
     from .streaming.incremental import read_stream
     ev = table(spark, sf, "events")
     for part in range(3):
-        ev.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/land")
-    return read_stream(spark, f"{base}/land", ev.schema, max_files_per_trigger=1)
+        ev.where(F.coalesce(F.pmod("event_id", F.lit(3)), F.lit(0)) == part).write.mode("append").parquet(f"{base}/land")
+        yield read_stream(spark, f"{base}/land/", ev.schema)
 
 
 @query("stream_dedupe", "select distinct user_id from events")
 def q_stream_dedupe(spark, sf):
-    """First seen per key over three micro-batches; the delay spans the data, so no key is forgotten."""
+    """First seen per key over three landings; the delay spans the data, so no key is forgotten."""
     from .streaming.incremental import dedupe_stream, incremental_run
     base = _stream_out(spark, "dedupe")
-    s = _three_landings(spark, sf, base)
-    d = dedupe_stream(s.select("event_id", "user_id", "ts"), ["user_id"], "ts", "36500 days")
-    incremental_run(d, lambda f: f, f"{base}/out", "dedupe", f"{base}/_ckpt")
+    for s in _landings(spark, sf, base):
+        d = dedupe_stream(s.select("event_id", "user_id", "ts"), ["user_id"], "ts", "36500 days")
+        incremental_run(d, lambda f: f, f"{base}/out", "dedupe", f"{base}/_ckpt")
     return spark.read.parquet(f"{base}/out").select("user_id")
 
 
+@query("stream_dedupe_returning", f"""
+select {_PART} as landing, event_id, user_id, event_type from events
+qualify row_number() over (partition by user_id, event_type order by landing, event_id) = 1""")
+def q_stream_dedupe_returning(spark, sf):
+    """Keys that return in later landings, whatever the time between: the state table knows them."""
+    from .streaming.state import dedupe_forever
+    base = _stream_out(spark, "dedupe-returning")
+    for s in _landings(spark, sf, base):
+        dedupe_forever(s, ["user_id", "event_type"], ["event_id"], f"{base}/out", f"{base}/state", "returning", f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("bigint").alias("landing"), "event_id", "user_id", "event_type")
+
+
+@query("stream_top_overall", """
+select event_id, value, row_number() over (order by value desc nulls last, event_id) as rank from events qualify rank <= 50""")
+def q_stream_top_overall(spark, sf):
+    """The top of all landings so far, carried from batch to batch."""
+    from .feed import OrderKey
+    from .streaming.state import latest_top, top_overall
+    base = _stream_out(spark, "top-overall")
+    order = [OrderKey("value", descending=True), OrderKey("event_id")]
+    for s in _landings(spark, sf, base):
+        top_overall(s.select("event_id", "value"), order, 50, f"{base}/state", "top-overall", f"{base}/_ckpt")
+    return ranked(Feed(latest_top(spark, f"{base}/state", "event_id bigint, value double"), order), "event_id", "value")
+
+
+@query("stream_skip_unchanged", f"""
+with e as (select {_PART} as landing, event_id, user_id, event_type, ts, sha256(event_type) as h from events)
+select landing, event_id, user_id, event_type from e
+qualify lag(h) over (partition by user_id order by landing, ts, h, event_id) is distinct from h""")
+def q_stream_skip_unchanged(spark, sf):
+    """Events as fetches of their user's payload (the event type): only changes come out."""
+    from .streaming.state import changed_payloads_stream
+    base = _stream_out(spark, "skip-unchanged")
+    for s in _landings(spark, sf, base):
+        # the time is made unique by the id, so that equal payloads of one moment have an order
+        fetched = F.struct("ts", F.sha2("event_type", 256).alias("h"), "event_id")
+        changed_payloads_stream(s.withColumn("fetched", fetched), f"{base}/out", f"{base}/state", "skip", "user_id", "event_type",
+                                "fetched", f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("bigint").alias("landing"), "event_id", "user_id", "event_type")
+
+
 @query("stream_incremental", """
 select event_id, user_id as who, value as amount from events where event_type = 'purchase'""")
 def q_stream_incremental(spark, sf):
@@ -901,19 +946,20 @@ def q_flow_node_counts(spark, sf):
 
 
 @query("stream_top_per_batch", """
-select event_id % 3 as part, event_id, value,
-       row_number() over (partition by event_id % 3 order by value desc, event_id) as rank
-from events where event_type = 'purchase' qualify rank <= 10""")
+select cast(part as bigint) as part, event_id, value,
+       row_number() over (partition by part order by value desc, event_id) as rank
+from (select *, """ + _PART + """ as part from events) where event_type = 'purchase' qualify rank <= 10""")
 def q_stream_top_per_batch(spark, sf):
-    """The top of each of three micro-batches."""
+    """The top of each of three landings."""
     from .streaming.incremental import foreach_batch_top
     base = _stream_out(spark, "top")
 
     def per_batch(f):
         f = limit_items(sort_items(filter_items(f, "event_type", "equals", "purchase"), "value", "desc"), 10)
         return Feed(f.df.withColumn("rank", rank_column(f)), f.ordering)
-    foreach_batch_top(_three_landings(spark, sf, base), per_batch, f"{base}/out", "top", ["event_id"], f"{base}/_ckpt")
-    return spark.read.parquet(f"{base}/out").select((F.col("event_id") % 3).alias("part"), "event_id", "value", "rank")
+    for s in _landings(spark, sf, base):
+        foreach_batch_top(s, per_batch, f"{base}/out", "top", ["event_id"], f"{base}/_ckpt")
+    return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("bigint").alias("part"), "event_id", "value", "rank")
 
 
 STREAM_FLOW = {

@@ -10,7 +10,7 @@ retried job resumes where it stopped:
   Parquet table.
 * X2 ``dedupe_stream``: dedupe across runs with
   ``dropDuplicatesWithinWatermark`` -- bounded state, late duplicates
-  beyond the watermark are not remembered.
+  beyond the watermark are not remembered (``state.dedupe_forever`` remembers all).
 * X3 ``foreach_batch_top``: sort/limit/outputs need a complete input, so
   they run per micro-batch in ``foreachBatch`` (sorting a stream directly
   is an analysis error).
@@ -91,8 +91,9 @@ def payload_hash(payload_col: str = "payload"):
 def changed_payloads(incoming: DataFrame, seen: DataFrame, key: str = "feed_url",
                      payload_col: str = "payload", seen_ts: str = "fetched_at") -> DataFrame:
     """Incoming payloads whose hash differs from the last seen hash of
-    the same feed (or that have never been seen)."""
-    last = latest_versions(seen.select(key, "payload_hash", seen_ts), keys=[key], ts=seen_ts) \
+    the same feed (or that have never been seen); of fetches at one time the
+    greatest hash counts."""
+    last = latest_versions(seen.select(key, "payload_hash", seen_ts), keys=[key], ts=seen_ts, tie="payload_hash") \
         .select(key, "payload_hash")
     return incoming.withColumn("payload_hash", payload_hash(payload_col)) \
         .join(last, [key, "payload_hash"], "left_anti")

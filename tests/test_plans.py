@@ -12,7 +12,8 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SIDE_EFFECT = {"flow_run_record", "stream_dedupe", "stream_incremental", "stream_top_per_batch",
+SIDE_EFFECT = {"flow_run_record", "stream_dedupe", "stream_incremental", "stream_top_per_batch", "stream_dedupe_returning",
+               "stream_top_overall", "stream_skip_unchanged",
                "json_lines_out", "webhook_delivery", "flow_node_counts", "stream_flow_runs", "flow_feed_items_json", "flow_unordered_output", "flow_published_again", "webhook_ledger",
                "flow_rss_output", "flow_limit_large", "saved_versions_latest"}
 
