@@ -353,6 +353,29 @@ def q_regex_replace_named(spark, sf):
     return f.df.select("p_partkey", "p_name")
 
 
+@query("regex_empty_matches", """
+select doc_id, regexp_replace(regexp_replace(text, '[a-z]*', '-', 'g'), '(x)|\\b', '<\\1>', 'g') as text from documents""")
+def q_regex_empty_matches(spark, sf):
+    f = regex_replace(items(spark, sf, "documents", "doc_id"), "text", "[a-z]*", "-", spark)
+    f = regex_replace(f, "text", r"(x)|\b", "<$1>", spark)
+    return f.df.select("doc_id", "text")
+
+
+@query("filter_deep_list", """
+select l_orderkey, l_linenumber from lineitem
+where l_linenumber % 2 = 1 and l_returnflag = 'R' and l_quantity > 25""")
+def q_filter_deep_list(spark, sf):
+    """Equality with a list of four levels that holds a map."""
+    line = table(spark, sf, "lineitem")
+    deep = F.to_json(F.struct(
+        F.col("l_orderkey"), F.col("l_linenumber"),
+        F.array(F.array(F.array(F.struct(F.col("l_returnflag").alias("m"), (F.col("l_linenumber") % 2).alias("a"),
+                                         F.array((F.col("l_quantity") > 25).cast("boolean")).alias("q"))))).alias("v")))
+    rows = line.select("l_orderkey", "l_linenumber", F.parse_json(deep).alias("j"))
+    f = Feed(rows.select("l_orderkey", "l_linenumber", F.variant_get("j", "$.v", "variant").alias("v")))
+    return filter_items(f, "v", "equals", "[[[map[a:1 m:R q:[true]]]]]").df.select("l_orderkey", "l_linenumber")
+
+
 @query("strip_html", "select page_id, " + SQL_STRIP.replace("@X@", "html") + " as text from pages")
 def q_strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", strip_html(F.col("html")).alias("text"))

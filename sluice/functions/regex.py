@@ -223,6 +223,22 @@ def _one_sided_boundary(p: str, start: int, end: int, word: bool, out: list[str]
     return None
 
 
+_NEVER_EMPTY = re.compile(r"(?:[^\\*?{|^$()\[\]]|\\[^bBAzQEpP0-9])*")
+
+
+def replaceable(p: str, t: Translated) -> str:
+    """The Java pattern for replacing every match of ``p``.
+
+    RE2 takes no empty match right where the previous match ended, Java does;
+    Java also finds empty matches between the two halves of a surrogate pair.
+    Patterns that may match empty are therefore wrapped: the match is made as
+    ever (atomic, so no other one is tried instead) and must end away from the
+    end of the last one (``\\G``), except at the start of the text."""
+    if _NEVER_EMPTY.fullmatch(p):
+        return t.pattern
+    return r"(?!\p{Cs})(?>" + t.pattern + r")(?:(?!\G)|\A)"
+
+
 def translate_pattern(p: str) -> Translated:
     out: list[str] = ["(?d)"]
     names: dict[str, int] = {}

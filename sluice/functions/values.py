@@ -171,12 +171,38 @@ def _inner_text(x: Column, dtype: T.DataType) -> Column:
 
 
 VARIANT_DEPTH = 2
+# What stands for an escaped backslash and an escaped quote while a JSON text
+# is cut up: control characters, which JSON texts hold only as escapes.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+_JSON_TOKEN = '"[^"]*+"|[{}\\[\\],:]|[^"{}\\[\\],:]++'
+
+
+def json_text(j: Column) -> Column:
+    """Text (%v) of a list or object given as the compact JSON text of a
+    VARIANT, at any depth: the text is cut into its tokens, each is respelled
+    by itself, and they are joined again. Object keys come in order already."""
+    cut = F.replace(F.replace(j, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+    def respell(t):
+        whole = F.replace(F.replace(t, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+        number = t.cast("double")
+        return (F.when(t.startswith('"') & t.contains("\\") | t.contains(_BACKSLASH) | t.contains(_QUOTE),
+                       F.try_variant_get(F.try_parse_json(whole), "$", "string"))
+                .when(t.startswith('"'), t.substr(F.lit(2), F.length(t) - F.lit(2)))
+                .when(t == ",", F.lit(" ")).when(t == "{", F.lit("map[")).when(t == "}", F.lit("]"))
+                .when(t == "null", F.lit(NIL_TEXT))
+                .when(t.rlike("^-?[0-9]{16,}$") & (F.abs(number) > float(1 << 53)), t)
+                .when(t.rlike("^-?[0-9]"), float_text(number))
+                .otherwise(t))
+    return F.array_join(F.transform(F.regexp_extract_all(cut, F.lit(_JSON_TOKEN), F.lit(0)), respell), "")
 
 
 def variant_text(v: Column, depth: int = VARIANT_DEPTH) -> Column:
-    """Text of a VARIANT value as %v: scalars, and lists and objects down to
-    ``depth`` levels (deeper ones as JSON text). JSON numbers are doubles in
-    the item model; integers beyond 2^53 keep their digits."""
+    """Text of a VARIANT value as %v: scalars, lists and objects at any depth.
+    JSON numbers are doubles in the item model; integers beyond 2^53 keep
+    their digits. Lists and objects go by their JSON text, which spells an
+    infinite number like a string; only where it might hold one, the upper
+    ``depth`` levels are told apart value by value."""
     kind = F.schema_of_variant(v)
     number = F.try_variant_get(v, "$", "double")
     whole = F.try_variant_get(v, "$", "bigint")
@@ -186,9 +212,12 @@ def variant_text(v: Column, depth: int = VARIANT_DEPTH) -> Column:
                  .otherwise(F.lit("false")))
            .when(kind.startswith("BIGINT") & (F.abs(number) > float(1 << 53)), whole.cast("string"))
            .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), float_text(number)))
+    j = F.to_json(v)
+    nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
     if depth > 0:
         def inner(e):
             return F.coalesce(variant_text(e, depth - 1), F.lit(NIL_TEXT))
+        out = out.when(nested & ~j.contains('Infinity"'), json_text(j))
         items = F.try_variant_get(v, "$", "array<variant>")
         members = F.try_variant_get(v, "$", "map<string,variant>")
         out = out.when(kind.startswith("ARRAY"), F.concat(
@@ -196,7 +225,9 @@ def variant_text(v: Column, depth: int = VARIANT_DEPTH) -> Column:
         out = out.when(kind.startswith("OBJECT"), F.concat(F.lit("map["), F.array_join(F.transform(
             F.array_sort(F.map_keys(members)), lambda k: F.concat(k, F.lit(":"), inner(F.element_at(members, k)))), " "),
             F.lit("]")))
-    return out.otherwise(F.to_json(v))
+    else:
+        out = out.when(nested, json_text(j))
+    return out.otherwise(j)
 
 
 def canonical_text(x: Column, dtype: T.DataType) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..feed import Feed, check_case, col
-from ..functions.regex import compile_re2, translate_replacement
+from ..functions.regex import compile_re2, replaceable, translate_replacement
 from ..functions.text import DEFAULT_MAX_LENGTH, DEFAULT_SUFFIX, truncate_text
 from ..functions.values import _inner_text, is_numeric, resolve_flat, resolve_path
 
@@ -63,13 +63,14 @@ def map_fields(feed: Feed, mappings: str | dict = "", keep_original: bool = Fals
 
 def regex_replace(feed: Feed, field: str = "", pattern: str = "", replacement: str = "",
                   spark=None) -> Feed:
-    """Replace every match in a string field; a bad pattern raises."""
+    """Replace every match in a string field (an empty one only where no match
+    has just ended); a bad pattern raises."""
     if not field or not pattern:
         return feed
     t = compile_re2(pattern, spark)  # raises RegexError
     x, dtype = resolve_flat(feed.df.schema, field)
-    repl = translate_replacement(replacement, t)
-    return _on_strings(feed, field, x, dtype, lambda s: F.regexp_replace(s, t.pattern, repl))
+    java, repl = replaceable(pattern, t), translate_replacement(replacement, t)
+    return _on_strings(feed, field, x, dtype, lambda s: F.regexp_replace(s, java, repl))
 
 
 def _on_strings(feed: Feed, field: str, x, dtype, fn) -> Feed:

@@ -1,9 +1,11 @@
 """Hand-computed seeds (FIXTURES.md section 2) for filter, sort, limit, merge, map."""
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import feed_of, ordered_values
-from sluice.operators.fields import map_fields
+from sluice.operators.fields import map_fields, regex_replace
 from sluice.operators.filter import filter_items
 from sluice.operators.limit import limit_items
 from sluice.operators.merge import merge
@@ -170,6 +172,27 @@ def test_nested_variant_text(spark):
     assert ordered_values(filter_items(f, "v", "equals", "map[a:1.5 k:[true]]"), "i") == [3.0]
 
 
+def test_variant_text_at_any_depth(spark):
+    from sluice.functions.values import canonical_text
+    deep = '[[[[{"b":[1,{"z":"q\\"\\\\n,{}:","a":[null,true,1e10,0.5]}],"a \\\\":""}, 12345678901234567890, "\\u00e9,"]]]]'
+    df = spark.createDataFrame([(deep,), ("[[[[]]]]",), ("[[[{}]]]",), ('{"a":{"b":{"c":{"d":[1,[2,[3]]]}}}}',),
+                                ('[[["' + "x\\\\," * 20000 + '"]]]',)], "j string")
+    got = [r[0] for r in df.select(F.parse_json("j").alias("v")).select(
+        canonical_text(F.col("v"), T.VariantType())).collect()]
+    assert got[0] == '[[[[map[a \\: b:[1 map[a:[<nil> true 1e+10 0.5] z:q"\\n,{}:]]] 12345678901234567890 é,]]]]'
+    assert got[1:4] == ["[[[[]]]]", "[[[map[]]]]", "map[a:map[b:map[c:map[d:[1 [2 [3]]]]]]]"]
+    assert got[4] == "[[[" + "x\\," * 20000 + "]]]"
+
+
+def test_regex_empty_matches(spark):
+    f = feed_of(spark, [(1, "baaac"), (2, ""), (3, "\U0001f600b"), (4, "aab")], "i int, s string")
+    value = lambda p, r: [x[0] for x in regex_replace(f, "s", p, r, spark).df.orderBy("i").select("s").collect()]
+    assert value("a*", "x") == ["xbxcx", "x", "x\U0001f600xbx", "xbx"]
+    assert value("a*?", "x") == ["xbxaxaxaxcx", "x", "x\U0001f600xbx", "xaxaxbx"]
+    assert value("(a)|", "<$1>") == ["<>b<a><a><a>c<>", "<>", "<>\U0001f600<>b<>", "<a><a>b<>"]
+    assert value(r"\b", "|") == ["|baaac|", "", "\U0001f600|b|", "|aab|"]
+
+
 def test_zeros_differ_as_texts(spark):
     f = feed_of(spark, [(1, 0.0), (2, -0.0)], "i int, v double")
     assert ids(filter_items(f, "v", "equals", "0")) == [1]
