@@ -17,15 +17,18 @@ documents, per stratum, so that good documents are rejected rarely:
   wins, the most lenient one at a tie. A rule with no passing cutoff, or
   whose passing cutoffs reject no bad document, rejects nothing there.
 
-With probability of at least ``1 - error`` every stratum's false rejection
-stays below ``risk``; with few labels nothing is rejected.
+With probability of at least ``1 - error`` every stratum's false rejection by
+the rules stays below ``risk`` (the base rule rejects by itself, outside this
+guarantee); with few labels the rules reject nothing.
 
 Defined cases: a null text is the empty text (0 words; fails the base rule);
 an unknown or null stratum value belongs to the stratum ``other``; equal
 texts count once in the holdout (copies are not independent trials; good if
 any label of theirs says so); null labels are no labels; several labels of a
 document: good if any is; empty tables give empty results; columns of the
-input keep their names and values whatever they are called.
+input keep their names and values whatever they are called, but for those
+named as an added column, which is the one that stays; very long texts are
+measured whole, one text in memory at a time.
 
 All of it is DataFrame expressions. The measures are computed once and
 written to the shared folder; the labels join on slim columns; the cutoffs
@@ -165,8 +168,9 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """``df`` with its measures (under ``prefix``), ``<prefix>base_failed`` and
     ``<prefix>kept``. ``labels``: key and quality (1 good, 0 bad). Without
     ``keep_text`` the text column is left out and never written."""
-    p = prefix
-    columns = [c for c in df.columns if keep_text or c != text]
+    p = fresh("m")  # no input column is called so
+    added = [prefix + m for m in (*MEASURES, "stratum", "base_failed", "kept")]
+    columns = [c for c in df.columns if (keep_text or c != text) and c not in added]
     measured = with_measures(df, text, p).withColumns({
         f"{p}stratum": stratum_of(quoted(stratum), policy),
         f"{p}digest": F.xxhash64(F.md5(F.coalesce(quoted(text), F.lit(""))))})
@@ -185,8 +189,9 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for r in policy.rules:
         over = over | F.coalesce(_rejects(r, quoted(f"{p}cutoffs")[r.name], p), F.lit(False))
     failed = base_failed(p)
-    return joined.select(*[quoted(c) for c in columns], *[quoted(p + m) for m in MEASURES],
-                         quoted(f"{p}stratum"), failed.alias(f"{p}base_failed"), (~failed & ~over).alias(f"{p}kept"))
+    return joined.select(*[quoted(c) for c in columns], *[quoted(p + m).alias(prefix + m) for m in MEASURES],
+                         quoted(f"{p}stratum").alias(f"{prefix}stratum"), failed.alias(f"{prefix}base_failed"),
+                         (~failed & ~over).alias(f"{prefix}kept"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:

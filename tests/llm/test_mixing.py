@@ -51,5 +51,20 @@ def test_edge_rows_and_clashing_names(spark):
     sampled = M.sample(docs, {"source": {"x": 1.0}}, {"source": F.col("source")}, 1.0)
     assert sampled.columns == docs.columns and set(r["probability"] for r in sampled.collect()) <= {9.0, 1.0, 2.0, 3.0}
     assert marked(spark, docs.limit(0), {"source": {"x": 1.0}}).collect() == []
-    with pytest.raises(ValueError):
-        marked(spark, docs, {"source": {str(i): 1 for i in range(2000)}, "text": {str(i): 1 for i in range(2000)}})
+    wide = {"source": {str(i): 1 for i in range(2000)}, "text": {str(i): 1 for i in range(2000)}}
+    assert len(marked(spark, docs, wide).collect()) == 5  # only cells that occur count
+
+
+def test_many_cells_are_raked_as_a_table(spark):
+    docs = spark.range(3_000).selectExpr(
+        "id as doc_id", "repeat('w ', cast(1 + id % 11 as int)) as text", "concat('s', id % 13) as source",
+        "if(id % 7 < 5, 'en', if(id % 2 = 0, 'de', null)) as lang")
+    targets = {"source": {f"s{i}": 1 / 12 for i in range(12)}, "lang": {"en": 0.65, "de": 0.35}}
+    few, many = marked(spark, docs, targets, 0.3), marked(spark, docs, targets, 0.3, max_cells=1)
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    left = M.residuals(few, targets, {d: F.col(d) for d in targets}, 0.3).collect()
+    assert {r["dimension"] for r in left} == {"source", "lang"} and len(left) == 16
+    assert max(abs(r["residual"]) for r in left) < 1e-3
+    empty = docs.limit(0)
+    assert marked(spark, empty, targets, max_cells=0).collect() == []
+    assert M.residuals(marked(spark, empty, targets), targets, {d: F.col(d) for d in targets}, 0.3).collect() == []

@@ -90,3 +90,13 @@ def test_copies_count_once_and_edge_rows(spark):
     assert Q.keep_good(docs.limit(0), labels).collect() == []
     found = {(r["lang"], r["q_stratum"]) for r in Q.judge(docs, labels, prefix="q_").collect()}
     assert found == {("en", "en"), (None, "other"), ("xx", "other")}
+
+
+def test_added_columns_replace_those_of_the_same_name(spark):
+    docs, labels = corpus(spark, 60, 0.1)
+    clash = docs.selectExpr("*", "'x' as m_kept", "'y' as m_n_words", "'z' as m_digest")
+    plain = {r["doc_id"]: r["m_kept"] for r in Q.judge(docs, labels).collect()}
+    out = Q.judge(clash, labels)
+    assert len(set(out.columns)) == len(out.columns) and "m_digest" in out.columns
+    assert {r["doc_id"]: r["m_kept"] for r in out.collect()} == plain
+    assert Q.keep_good(clash, labels).columns == clash.columns
